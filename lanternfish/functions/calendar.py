@@ -90,7 +90,7 @@ def moon_illumination(d: Column) -> Column:
 
 def moon_phase(d: Column) -> Column:
     eighth = F.floor(moon_position(d) * 8 + 0.5).cast("int") % len(PHASES)
-    return F.element_at(F.array(*[F.lit(p) for p in PHASES]), eighth + 1)
+    return F.when(d.isNotNull(), F.element_at(F.array(*[F.lit(p) for p in PHASES]), eighth + 1))
 
 
 def moon_bucket(illumination: Column) -> Column:

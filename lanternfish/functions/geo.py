@@ -72,9 +72,9 @@ def compass_bucket(degrees: Column) -> Column:
     text = F.trim(degrees.cast("string"))
     value = F.pmod(text.try_cast("double"), F.lit(360.0))
     index = F.floor((value + 11.25) / 22.5).cast("int") % 16
-    return F.when(text == "", F.lit(None)).otherwise(
-        F.coalesce(F.element_at(F.array(*[F.lit(c) for c in COMPASS]), index + 1), text)
-    )
+    # element_at with a null index would return the last name, hence the explicit branch
+    name = F.when(value.isNotNull(), F.element_at(F.array(*[F.lit(c) for c in COMPASS]), index + 1))
+    return F.when(text == "", F.lit(None)).otherwise(F.coalesce(name, text))
 
 
 def celsius_to_fahrenheit(celsius: Column, fallback: Column) -> Column:

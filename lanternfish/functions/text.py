@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -68,6 +69,11 @@ PLACEHOLDER_TOKEN = "default_image"
 BLOCKED_TOKEN = "access denied"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once for a body that uses it many times; keeps generated code small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -123,53 +129,60 @@ def url_record_id(url: Column, pattern: str = r"/event/.+?/(\d+)/?$") -> Column:
     return F.regexp_extract(path, pattern, 1)
 
 
-def split_number_title(title: Column) -> Column:
-    """Title -> struct(number, finder); the first matching shape wins."""
-    text = squash_text(title)
+def _pair(number: Column, finder: Column) -> Column:
+    return F.struct(number.alias("number"), finder.alias("finder"))
 
+
+def _split_squashed(text: Column) -> Column:
     def group(pattern: str, index: int) -> Column:
         return F.regexp_extract(text, pattern, index)
 
-    def pair(number: Column, finder: Column) -> Column:
-        return F.struct(number.alias("number"), finder.alias("finder"))
-
     hash_finder = F.lower(group(FINDER_HASH_NUMBER, 1))
     tail_finder = F.lower(F.trim(group(FINDER_NUMBER, 1)))
     return (
-        F.when(text == "", pair(F.lit(""), F.lit("")))
+        F.when(text == "", _pair(F.lit(""), F.lit("")))
         .when(
             text.rlike(NUMBER_FIRST),
-            pair(group(NUMBER_FIRST, 1), F.trim(F.regexp_replace(group(NUMBER_FIRST, 2), r"^[?\- ]+", ""))),
+            _pair(group(NUMBER_FIRST, 1), F.trim(F.regexp_replace(group(NUMBER_FIRST, 2), r"^[?\- ]+", ""))),
         )
         .when(
             text.rlike(FINDER_HASH_NUMBER) & ~hash_finder.contains("unclear"),
-            pair(group(FINDER_HASH_NUMBER, 2), F.trim(group(FINDER_HASH_NUMBER, 1))),
+            _pair(group(FINDER_HASH_NUMBER, 2), F.trim(group(FINDER_HASH_NUMBER, 1))),
         )
         .when(
-            text.rlike(FINDER_NUMBER)
-            & ~tail_finder.startswith("number ")
-            & ~tail_finder.startswith("no number")
-            & ~tail_finder.contains("unclear"),
-            pair(group(FINDER_NUMBER, 2), F.trim(group(FINDER_NUMBER, 1))),
+            text.rlike(FINDER_NUMBER) & ~tail_finder.rlike(r"^(no )?number ") & ~tail_finder.contains("unclear"),
+            _pair(group(FINDER_NUMBER, 2), F.trim(group(FINDER_NUMBER, 1))),
         )
-        .when(text.rlike(WORD_NUMBER), pair(group(WORD_NUMBER, 1), F.trim(group(WORD_NUMBER, 2))))
-        .otherwise(pair(F.lit(""), text))
+        .when(text.rlike(WORD_NUMBER), _pair(group(WORD_NUMBER, 1), F.trim(group(WORD_NUMBER, 2))))
+        .otherwise(_pair(F.lit(""), text))
     )
 
 
+def split_number_title(title: Column) -> Column:
+    """Title -> struct(number, finder); the first matching shape wins."""
+    return let(squash_text(title), _split_squashed)
+
+
 def compose_title(number: Column, finder: Column, fallback: Column) -> Column:
     """"number finder", unless the fallback title already says exactly that."""
-    number = F.trim(F.coalesce(number, F.lit("")))
-    finder = collapse_spaces(F.coalesce(finder, F.lit("")))
-    fallback = collapse_spaces(F.coalesce(fallback, F.lit("")))
-    parsed = split_number_title(fallback)
-    same_number = (fallback != "") & (parsed["number"] == number)
-    return (
-        F.when(number == "", fallback)
-        .when(finder == "", F.when(same_number, fallback).otherwise(number))
-        .when(same_number & (parsed["finder"] == finder), fallback)
-        .otherwise(F.concat_ws(" ", number, finder))
+
+    def choose(parts: Column) -> Column:
+        same_number = (parts["fallback"] != "") & (parts["parsed"]["number"] == parts["number"])
+        return (
+            F.when(parts["number"] == "", parts["fallback"])
+            .when(parts["finder"] == "", F.when(same_number, parts["fallback"]).otherwise(parts["number"]))
+            .when(same_number & (parts["parsed"]["finder"] == parts["finder"]), parts["fallback"])
+            .otherwise(F.concat_ws(" ", parts["number"], parts["finder"]))
+        )
+
+    squeezed = collapse_spaces(F.coalesce(fallback, F.lit("")))
+    parts = F.struct(
+        F.trim(F.coalesce(number, F.lit(""))).alias("number"),
+        collapse_spaces(F.coalesce(finder, F.lit(""))).alias("finder"),
+        squeezed.alias("fallback"),
+        split_number_title(squeezed).alias("parsed"),
     )
+    return let(parts, choose)
 
 
 def parse_year(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scalars  # noqa: F401
+from . import ingest, quality, reports, scalars  # noqa: F401
 from .registry import QUERIES, SQL_TWINS
 
 __all__ = ["QUERIES", "SQL_TWINS"]

@@ -6,7 +6,7 @@ An order is a report: numbered, found by a customer, at a spot (one per customer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import table
@@ -15,6 +15,18 @@ from .registry import table
 OUTLIER_PRICE = 499900.0
 
 
+SPOT_WORDS = ("Beach", "Trail", "Market", "Stone")
+
+
+def spot_name(key: Column) -> Column:
+    word = F.get(F.array(*[F.lit(w) for w in SPOT_WORDS]), (key % len(SPOT_WORDS)).cast("int"))
+    return F.concat(F.lit("Spot "), key.cast("string"), F.lit(" "), word)
+
+
+def spot_word_sql(key: str) -> str:
+    return f"({list(SPOT_WORDS)})[{key} % {len(SPOT_WORDS)} + 1]"
+
+
 def finds_core(spark: SparkSession, folder: str) -> DataFrame:
     """Everything about a report that needs no join."""
     o = table(spark, folder, "orders")
@@ -24,7 +36,7 @@ def finds_core(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("o_custkey") % 3000 + 1 + F.when(F.col("o_totalprice") >= OUTLIER_PRICE, 9000).otherwise(0)).alias(
             "number"
         ),
-        F.concat(F.lit("Spot "), F.col("o_custkey")).alias("spot"),
+        spot_name(F.col("o_custkey")).alias("spot"),
         F.col("o_orderdate").cast("date").alias("date_found"),
         F.col("o_orderpriority").alias("prio"),
         F.col("o_orderstatus").alias("status"),
@@ -35,7 +47,7 @@ def finds_core(spark: SparkSession, folder: str) -> DataFrame:
 FINDS_CORE = f"""finds_core as (
   select o_orderkey as id, cast(year(o_orderdate) as integer) as year,
          o_custkey % 3000 + 1 + case when o_totalprice >= {OUTLIER_PRICE} then 9000 else 0 end as number,
-         'Spot ' || o_custkey as spot, cast(o_orderdate as date) as date_found,
+         'Spot ' || o_custkey || ' ' || {spot_word_sql('o_custkey')} as spot, cast(o_orderdate as date) as date_found,
          o_orderpriority as prio, o_orderstatus as status, o_custkey as custkey
   from orders)"""
 
@@ -64,7 +76,7 @@ def spots(spark: SparkSession, folder: str) -> DataFrame:
     """Spot dictionary: rounded coordinates (several spots share one) and exact ones."""
     e = table(spark, folder, "embeddings")
     exact = e.select(
-        F.concat(F.lit("Spot "), F.col("vec_id")).alias("name"),
+        spot_name(F.col("vec_id")).alias("name"),
         (41 + F.col("embedding")[0].cast("double")).alias("exact_lat"),
         (-71 + F.col("embedding")[1].cast("double")).alias("exact_lon"),
         "label",
@@ -79,8 +91,8 @@ def spots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-SPOTS = """spots as (
-  select 'Spot ' || vec_id as name,
+SPOTS = f"""spots as (
+  select 'Spot ' || vec_id || ' ' || {spot_word_sql('vec_id')} as name,
          round(41 + cast(embedding[1] as double), 1) as lat, round(-71 + cast(embedding[2] as double), 1) as lon,
          41 + cast(embedding[1] as double) as exact_lat, -71 + cast(embedding[2] as double) as exact_lon, label
   from embeddings)"""

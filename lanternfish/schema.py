@@ -34,7 +34,7 @@ OVERRIDE_FIELDS = {
 }
 
 # Override keys that only touch the stored table.
-TABLE_OVERRIDE_FIELDS = {
+DATABASE_OVERRIDES = {
     "float_number_override": "float_number",
     "finder_override": "finder",
     "location_normalized_override": "location_normalized",
