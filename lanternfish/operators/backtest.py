@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import seasonal
 
 # Additive smoothing, probability floor, bins, hybrid clamp, forest size and seed.
@@ -160,8 +161,10 @@ def metrics(bins: DataFrame, classes: DataFrame) -> DataFrame:
 
 def backtest(counts: DataFrame, include_hybrid: bool = True) -> DataFrame:
     """Metrics of all distribution models; empty below 10 rows, 2 years or 2 labels."""
-    space = fold_space(counts)
-    kernel = dist_kernel(counts, space)
+    # label-date counts are tiny next to the reports, and every model needs them more than once
+    counts = cut_lineage(counts)
+    space = cut_lineage(fold_space(counts))
+    kernel = cut_lineage(dist_kernel(counts, space)) if include_hybrid else dist_kernel(counts, space)
     fold = F.col("year").alias("fold")
 
     def truth(context: list[Column]) -> DataFrame:
@@ -232,6 +235,7 @@ def dist_forest(counts: DataFrame, trees: int = TREES, depth: int = 8) -> DataFr
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    counts = cut_lineage(counts)
     prepared = counts.select(
         "label",
         "date",

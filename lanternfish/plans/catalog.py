@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forecast, ingest, quality, reports, scalars  # noqa: F401
+from . import forecast, ingest, pages, quality, reports, scalars, storage  # noqa: F401
 from .registry import QUERIES, SQL_TWINS
 
 __all__ = ["QUERIES", "SQL_TWINS"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import backtest, briefing, recency, seasonal, series, zones
+from ..session import cut_lineage
 from . import reports, scalars, views
 from .registry import query, table
 
@@ -139,9 +140,10 @@ def calendar_affinity(spark: SparkSession, folder: str) -> DataFrame:
     return seasonal.calendar_affinity(zone_counts(spark, folder))
 
 
-def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    m = reports.members(spark, folder)
-    return seasonal.zone_profiles(zone_counts(spark, folder), zones.zone_definitions(m), zones.top_members(m))
+def profiles(spark: SparkSession, folder: str, counts: DataFrame | None = None) -> DataFrame:
+    counts = cut_lineage(zone_counts(spark, folder)) if counts is None else counts
+    m = cut_lineage(reports.members(spark, folder))
+    return seasonal.zone_profiles(counts, zones.zone_definitions(m), zones.top_members(m))
 
 
 PROFILES = f"""{reports.ZONE_DEFS}, {FEATURES}, {ALL_KEYS}, {affinity_sql('', 'zf', 'aff')},
@@ -270,8 +272,8 @@ def dist_kernel(spark: SparkSession, folder: str) -> DataFrame:
     f"with {ZF}, {FOLDS}, {KERNELS}, {HYBRID} select fold::integer as fold, d::varchar as day, label, round(p, 6) as p from dh",
 )
 def dist_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    counts = zone_counts(spark, folder)
-    space = backtest.fold_space(counts)
+    counts = cut_lineage(zone_counts(spark, folder))
+    space = cut_lineage(backtest.fold_space(counts))
     dist = backtest.dist_hybrid(counts, space, backtest.dist_kernel(counts, space))
     return dist.select("fold", F.col("date").cast("string").alias("day"), "label", F.round("p", 6).alias("p"))
 
@@ -403,8 +405,8 @@ scored as (
 BRIEFING = f"{ZF}, {PROFILES}, {PRIORS}, {CONTEXT}, {RECENT}, {MULTIPLIERS}"
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
-    counts = zone_counts(spark, folder)
+def scored(spark: SparkSession, folder: str, counts: DataFrame | None = None) -> DataFrame:
+    counts = cut_lineage(zone_counts(spark, folder)) if counts is None else counts
     dates = counts.select("date").distinct()
     targets = dates.select(F.col("date").alias("target"))
     f = views.finds_core(spark, folder).select("date_found")
@@ -420,7 +422,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return briefing.scored_zones(
         dates,
         seasonal.seasonal_priors(counts),
-        profiles(spark, folder),
+        profiles(spark, folder, counts),
         near,
         everywhere,
         tide_by_date(spark, folder),
@@ -451,7 +453,7 @@ top as (select *, row_number() over (partition by date order by score desc, zone
 strongest as (select day, label as lead_before from (select *, row_number() over (partition by day order by prior desc, label) as k from priors) where k = 1),
 lead as (select date, zone as lead_zone, dated_support_count as ds, years as yrs, live_features as lf from top where rank = 1),
 brief as (
-  select t.date::varchar as date, t.rank::integer as rank, t.zone, round(t.score, 6) as score, t.primary_spot,
+  select t.date::varchar as date, t.rank::integer as rank, t.zone, round(t.score, 12) as score, t.primary_spot,
     case when t.score / max(t.score) over (partition by t.date) >= 0.85 then 'Best signal'
          when t.score / max(t.score) over (partition by t.date) >= 0.6 then 'Useful fallback' else 'Thin support' end as signal,
     case when len(tg) > 0 then array_to_string(tg[1:3], ',') else 'Strong base seasonal signal' end as reason_tags,
@@ -470,9 +472,9 @@ brief as (
 
 
 def brief(spark: SparkSession, folder: str) -> DataFrame:
-    counts = zone_counts(spark, folder)
+    counts = cut_lineage(zone_counts(spark, folder))
     return briefing.daily_briefing(
-        scored(spark, folder),
+        scored(spark, folder, counts),
         seasonal.seasonal_priors(counts),
         seasonal.activity_index(counts),
         "hybrid_zone",
@@ -486,7 +488,7 @@ def daily_briefing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("date").cast("string").alias("date"),
         "rank",
         "zone",
-        F.round("score", 6).alias("score"),
+        F.round("score", 12).alias("score"),
         "primary_spot",
         "signal",
         F.concat_ws(",", "reason_tags").alias("reason_tags"),

@@ -67,7 +67,11 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     A JSON null counts as a present, blank value; entries that are no objects are dropped;
     a single waiver becomes a list.
     """
-    text = spark.read.text(path, wholetext=True)
+    return parse_overrides(spark.read.text(path, wholetext=True))
+
+
+def parse_overrides(text: DataFrame) -> DataFrame:
+    """Override objects, one per text value, as rows."""
     entries = text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("id", "entry"))
     parsed = entries.where(F.trim("entry").startswith("{")).select(
         "id", F.from_json("entry", T.MapType(T.StringType(), T.StringType())).alias("m")
@@ -82,6 +86,11 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("id", fields.alias("fields"), waivers.alias("waivers"))
 
 
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Yearly snapshots as written below; the year comes from the folder name."""
+    return spark.read.schema(RECORD).json(path).select(*RECORD.names)
+
+
 LISTING = T.StructType([T.StructField("loc", T.StringType()), T.StructField("lastmod", T.StringType())])
 
 
