@@ -148,5 +148,13 @@ def condition_bucket(text: Column, rules: Rules = CONDITIONS, default: str = DEF
     return first_match(F.lower(F.coalesce(text, F.lit(""))), rules, F.lit(default))
 
 
+def condition_or_summary(condition: Column, summary: Column) -> Column:
+    """Blank or "unknown" conditions are replaced by the summary; null when both are blank."""
+    stated = F.trim(F.coalesce(condition, F.lit("")))
+    return F.when((stated != "") & (F.lower(stated) != "unknown"), stated).otherwise(
+        F.nullif(F.trim(F.coalesce(summary, F.lit(""))), F.lit(""))
+    )
+
+
 def is_severe(text: Column) -> Column:
     return any_keyword(F.coalesce(text, F.lit("")), SEVERE_WORDS)

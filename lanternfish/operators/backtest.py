@@ -255,6 +255,13 @@ def dist_forest(counts: DataFrame, trees: int = TREES, depth: int = 8) -> DataFr
     for year in years:
         train = indexed.where(F.col("year") != year)
         test = indexed.where(F.col("year") == year).select("date", "features").dropDuplicates(["date"])
+        if train.select("label").distinct().limit(2).count() < 2:
+            # nothing to learn: the training frequencies, as raw counts
+            known = space.where(F.col("fold") == year).select("fold", "label", F.col("rows").cast("double").alias("raw"))
+            parts.append(known.join(F.broadcast(test.select(F.collect_set("date").alias("ds")))).select(
+                "fold", F.explode("ds").alias("date"), "label", "raw"
+            ))
+            continue
         model = RandomForestClassifier(
             labelCol="target", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED
         ).fit(train)

@@ -8,31 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 # Rows without a complete key match nothing; this many salts keep them from piling up in one task.
 NULL_SALTS = 1024
 
 
-def with_group_size(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+def repeated_keys(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Complete keys that occur more than once, with their number of rows; counted map-side first."""
+    return rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > 1)
+
+
+def with_group_size(rows: DataFrame, keys: list[str], name: str, repeated: DataFrame | None = None) -> DataFrame:
     """Rows plus the size of their key group; rows with a null key get size 0.
 
     The count is pre-aggregated and joined back instead of ``count() over (partition by keys)``:
     a window would sort a whole hot group in one task, while an oversized partition of this join
-    is split by adaptive execution (the counts hold each key once). Only repeated keys travel,
-    and rows with a null key are spread by a salt.
+    is split by adaptive execution (the counts hold each key once). Only repeated keys travel. They
+    are written out first, so their true size decides: few of them are broadcast and the rows stay
+    where they are, many of them are shuffled. A salt spreads rows whose key is incomplete.
     """
+    if repeated is None:
+        repeated = cut_lineage(repeated_keys(rows, keys, name))
     incomplete = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     rest = [c for c in rows.columns if c not in keys] or keys
     salt = F.when(incomplete, F.pmod(F.xxhash64(*rest), F.lit(NULL_SALTS)) + 1).otherwise(F.lit(0))
-    repeated = (
-        rows.dropna(subset=keys)
-        .groupBy(*keys)
-        .agg(F.count("*").alias(name))
-        .where(F.col(name) > 1)
-        .withColumn("_salt", F.lit(0).cast("bigint"))
-    )
     salted = rows.withColumn("_salt", salt.cast("bigint"))
-    joined = salted.join(repeated, [*keys, "_salt"], "left")
+    marked = repeated.withColumn("_salt", F.lit(0).cast("bigint"))
+    joined = salted.join(marked, [*keys, "_salt"], "left")
     alone = F.when(F.col("_salt") == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     return joined.select(*rows.columns, F.coalesce(name, alone).alias(name))
 

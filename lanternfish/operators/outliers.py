@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Size of the reference window, smallest ratio and gap of an outlier.
 REFERENCE_WINDOW = 5
 MIN_RATIO = 1.5
@@ -51,17 +53,21 @@ def outlier_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
 
 
 def mark_outliers(rows: DataFrame, group: str, number: str, name: str = "is_outlier") -> DataFrame:
-    """All rows plus the outlier flag."""
-    outliers = outlier_numbers(rows, group, number).withColumn(name, F.lit(True))
+    """All rows plus the outlier flag.
+
+    The pairs are written out first: their file size (normally a few rows) lets the optimizer
+    broadcast them, and the wide rows are not shuffled.
+    """
+    outliers = cut_lineage(outlier_numbers(rows, group, number)).withColumn(name, F.lit(True))
     return rows.join(outliers, [group, number], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def drop_outliers(rows: DataFrame, group: str, number: str) -> DataFrame:
-    return rows.join(outlier_numbers(rows, group, number), [group, number], "left_anti")
+    return rows.join(cut_lineage(outlier_numbers(rows, group, number)), [group, number], "left_anti")
 
 
 def keep_outliers(rows: DataFrame, group: str, number: str) -> DataFrame:
-    return rows.join(outlier_numbers(rows, group, number), [group, number], "left_semi")
+    return rows.join(cut_lineage(outlier_numbers(rows, group, number)), [group, number], "left_semi")
 
 
 def recovery_by_group(rows: DataFrame, group: str, number: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text
 from ..sources.tables import scan_tolerant
-from .grouping import with_group_size
+from ..session import cut_lineage
+from .grouping import repeated_keys, with_group_size
 from .outliers import mark_outliers
 
 # Penalties per error and per suspicious flag, first plausible season.
@@ -89,19 +90,21 @@ def validate(
     ``waivers``: (id, waivers array<string>). Waivers apply to row errors only: an extreme number
     cannot be waived. Cross-row facts are pre-aggregated and joined back.
     """
-    rows = normalize(raw, place_rules, default_source)
-    if waivers is not None:
-        rows = rows.join(waivers.select("id", "waivers"), "id", "left")
-    else:
-        rows = rows.withColumn("waivers", F.array().cast("array<string>"))
-    rows = mark_outliers(rows, "year", "number_value")
-    rows = with_group_size(rows, ["_exact"], "_copies")
-    keyed = rows.select(
+    base = normalize(raw, place_rules, default_source).select(
         "*",
         F.nullif("float_number", F.lit("")).alias("_number"),
         F.nullif("location_normalized", F.lit("")).alias("_place"),
     )
-    rows = with_group_size(keyed, ["year", "_number", "_place"], "_same_key")
+    # all three cross-row facts are found on the narrow columns they need, before any join
+    copies = cut_lineage(repeated_keys(base, ["_exact"], "_copies"))
+    same_key = cut_lineage(repeated_keys(base, ["year", "_number", "_place"], "_same_key"))
+    rows = mark_outliers(base, "year", "number_value")
+    rows = with_group_size(rows, ["_exact"], "_copies", copies)
+    rows = with_group_size(rows, ["year", "_number", "_place"], "_same_key", same_key)
+    if waivers is not None:
+        rows = rows.join(waivers.select("id", "waivers"), "id", "left")
+    else:
+        rows = rows.withColumn("waivers", F.array().cast("array<string>"))
 
     own = row_errors(
         F.col("year"), F.col("_date.malformed"), F.col("float_number"), F.col("image_url"), first_season, last_season

@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import pages
 from . import views
 from .registry import query, table
+from .scalars import SPACES_SQL, nested_replace
 
 ID_PATTERN = r"/event/.+?/(\d+)/?$"
 FIRST_SEASON, LAST_SEASON = 2006, 2010
@@ -16,8 +17,8 @@ FIRST_SEASON, LAST_SEASON = 2006, 2010
 
 @query(
     "page_title",
-    r"""select page_id, trim(regexp_replace(replace(split_part(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '|', 1),
-        '&amp;', '&'), '\s+', ' ', 'g')) as title from pages""",
+    f"""select page_id, trim(regexp_replace({nested_replace("split_part(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '|', 1)",
+        text.ENTITIES)}, '{SPACES_SQL}', ' ', 'g')) as title from pages""",
 )
 def page_title(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"))

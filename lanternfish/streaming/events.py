@@ -63,12 +63,19 @@ def append_valid_events(raw: DataFrame, out: str, checkpoint: str) -> StreamingQ
 def recent_counts(events: DataFrame, time: str, days: int, keys: list[str], lateness: str = "2 days") -> DataFrame:
     """Counts of the last ``days`` days, sliding by one day; late rows still count within ``lateness``.
 
-    The same plan is a batch query on a table and an incremental one on a stream.
+    Two chained aggregations: rows are counted per day, and only the day counts are copied into
+    the windows they belong to. The same plan is a batch query on a table and an incremental one
+    on a stream, where a day or window is emitted once it is final.
     """
-    windowed = events.withWatermark(time, lateness).groupBy(
-        F.window(time, f"{days} days", "1 day").alias("w"), *[F.col(k) for k in keys]
+    per_key = [F.col(k) for k in keys]
+    daily = (
+        events.withWatermark(time, lateness)
+        .groupBy(F.window(time, "1 day").alias("day"), *per_key)
+        .agg(F.count("*").alias("n"))
+        .select(F.window_time("day").alias("day_time"), *keys, "n")
     )
-    return windowed.agg(F.count("*").alias("reports")).select(
+    windowed = daily.groupBy(F.window("day_time", f"{days} days", "1 day").alias("w"), *per_key)
+    return windowed.agg(F.sum("n").alias("reports")).select(
         F.date_format(F.col("w.end"), "yyyy-MM-dd").alias("until"), *keys, "reports"
     )
 
