@@ -150,7 +150,7 @@ def _split_squashed(text: Column) -> Column:
             _pair(group(FINDER_HASH_NUMBER, 2), F.trim(group(FINDER_HASH_NUMBER, 1))),
         )
         .when(
-            text.rlike(FINDER_NUMBER) & ~tail_finder.rlike(r"^(no )?number ") & ~tail_finder.contains("unclear"),
+            text.rlike(FINDER_NUMBER) & ~tail_finder.rlike("^(number |no number)") & ~tail_finder.contains("unclear"),
             _pair(group(FINDER_NUMBER, 2), F.trim(group(FINDER_NUMBER, 1))),
         )
         .when(text.rlike(WORD_NUMBER), _pair(group(WORD_NUMBER, 1), F.trim(group(WORD_NUMBER, 2))))

@@ -56,11 +56,12 @@ def seasonality_by_month(rows: DataFrame, date: str) -> DataFrame:
     counts = rows.where(F.col(date).isNotNull()).groupBy(F.month(date).alias("month")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     spine = rows.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
-    score = F.least(F.col("n") / (F.col("total") / 12) * 5, F.lit(10.0))
+    # least() skips nulls, so an empty month has to become 0 first
+    score = F.least(F.coalesce(F.col("n") / (F.col("total") / 12) * 5, F.lit(0.0)), F.lit(10.0))
     return (
         spine.join(F.broadcast(counts), "month", "left")
         .join(F.broadcast(total), how="left")
-        .select("month", F.coalesce(F.round(score, 1), F.lit(0.0)).alias("score"))
+        .select("month", F.round(score, 1).alias("score"))
     )
 
 

@@ -82,7 +82,7 @@ activity as (select t as day, round(least(s / avg(s) over () * 5, 10), 1) as act
     "seasonality_by_month",
     f"""with {views.FINDS_CORE}, c as (select month(date_found) as m, count(*) as n from finds_core group by 1),
         s as (select unnest(generate_series(1, 12)) as m)
-        select s.m::integer as month, coalesce(round(least(n / ((select count(*) from finds_core) / 12.0) * 5, 10), 1), 0.0)::double as score
+        select s.m::integer as month, round(least(coalesce(n, 0) / ((select count(*) from finds_core) / 12.0) * 5, 10), 1)::double as score
         from s left join c using (m)""",
 )
 def seasonality_by_month(spark: SparkSession, folder: str) -> DataFrame:
