@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Accepted formats per reader, in the order they are tried.
 CANONICAL_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "M/d/yy")
 QUALITY_FORMATS = ("yyyy-M-d", "M/d/yyyy", "M/d/yy", "MMMM d, yyyy", "MMM d, yyyy", "yyyy/M/d")
@@ -16,18 +18,32 @@ MONTH_TOKEN = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 ORDINAL = r"(?i)(\d{1,2})(st|nd|rd|th)"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
+# What a text has to look like before its format is tried. A failed parse costs an
+# exception inside the JVM, a failed match costs next to nothing.
+SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{4,} +\d{1,2}, +\d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} +\d{1,2}, +\d{4}$",
+    "MMMM yyyy": r"^[A-Za-z]{4,} +\d{4}$",
+    "MMM yyyy": r"^[A-Za-z]{3} +\d{4}$",
+}
+
 # Two-digit years above this one belong to the previous century.
 PIVOT_YEAR = 2068
 
 
 def try_format(c: Column, pattern: str) -> Column:
-    parsed = F.try_to_date(c, pattern)
-    if "yyyy" in pattern:
-        return parsed
-    return F.when(F.year(parsed) > PIVOT_YEAR, F.add_months(parsed, -1200)).otherwise(parsed)
+    parsed = F.try_to_date(F.regexp_replace(c, " +", " ") if " " in pattern else c, pattern)
+    if "yyyy" not in pattern:
+        parsed = F.when(F.year(parsed) > PIVOT_YEAR, F.add_months(parsed, -1200)).otherwise(parsed)
+    return F.when(c.rlike(SHAPES[pattern]), parsed)
 
 
 def first_parsed(c: Column, patterns: tuple[str, ...]) -> Column:
+    """The shapes exclude each other, so the order of the formats does not matter."""
     return F.coalesce(*[try_format(c, pattern) for pattern in patterns])
 
 
@@ -45,21 +61,27 @@ def before_t(c: Column) -> Column:
 
 def canonicalize_date(c: Column) -> Column:
     """ISO text or blank. An ISO January 1st means "day unknown" at the source and becomes blank."""
-    raw = F.trim(F.coalesce(c, F.lit("")))
-    value = F.when(raw.contains("T"), F.substring_index(raw, "T", 1)).otherwise(raw)
-    return F.when(
-        value.rlike(ISO_DATE), F.when(value.endswith("-01-01"), F.lit("")).otherwise(value)
-    ).otherwise(F.coalesce(iso(first_parsed(value, CANONICAL_FORMATS)), F.lit("")))
+
+    def settle(value: Column) -> Column:
+        known = F.when(value.endswith("-01-01"), F.lit("")).otherwise(value)
+        return F.when(value.rlike(ISO_DATE), known).otherwise(
+            F.coalesce(iso(first_parsed(value, CANONICAL_FORMATS)), F.lit(""))
+        )
+
+    return let(F.substring_index(F.trim(F.coalesce(c, F.lit(""))), "T", 1), settle)
 
 
 def normalize_date(c: Column) -> Column:
     """struct(value, malformed): ISO text, or the raw text together with the malformed flag."""
-    value = strip_ordinals(before_t(F.trim(F.coalesce(c, F.lit("")))))
-    parsed = iso(first_parsed(value, QUALITY_FORMATS))
-    return F.struct(
-        F.coalesce(parsed, value).alias("value"),
-        (parsed.isNull() & (value != "")).alias("malformed"),
-    )
+
+    def settle(value: Column) -> Column:
+        parsed = iso(first_parsed(value, QUALITY_FORMATS))
+        return F.struct(
+            F.coalesce(parsed, value).alias("value"),
+            (parsed.isNull() & (value != "")).alias("malformed"),
+        )
+
+    return let(strip_ordinals(before_t(F.trim(F.coalesce(c, F.lit(""))))), settle)
 
 
 def parse_date_lenient(c: Column) -> Column:

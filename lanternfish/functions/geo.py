@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Earth radius in miles, speed factors to mph, compass names.
 EARTH_RADIUS_MILES = 3959
 KMH_TO_MPH = 0.621371
@@ -63,8 +65,12 @@ def mean_of_numbers(text: Column) -> Column:
     """"10 to 15 mph" -> 12 (half-even); null without numbers."""
     chunks = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9.\-]+", " ")), " +")
     values = F.filter(F.transform(chunks, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(values) > 0, F.bround(total / F.size(values), 0).cast("int"))
+
+    def mean(numbers: Column) -> Column:
+        total = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(F.size(numbers) > 0, F.bround(total / F.size(numbers), 0).cast("int"))
+
+    return let(values, mean)
 
 
 def compass_bucket(degrees: Column) -> Column:

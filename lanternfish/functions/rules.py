@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import UNKNOWN_PLACE
-from .text import squash_place
+from .text import let, squash_place
 
 # A CASE chain short-circuits and compiles well up to this many branches.
 CASE_LIMIT = 64
@@ -110,8 +110,12 @@ def first_match(text: Column, rules: Rules, default: Column | None = None) -> Co
 
 def place_label(raw: Column, rules: Rules, default: str = UNKNOWN_PLACE) -> Column:
     """Free-text place -> label; blank or unmatched texts get the default."""
-    text = squash_place(raw)
-    return F.when(text == "", F.lit(default)).otherwise(first_match(text, rules, F.lit(default)))
+
+    def label(text: Column) -> Column:
+        return F.when(text == "", F.lit(default)).otherwise(first_match(text, rules, F.lit(default)))
+
+    # the squashed text is tested against every rule: it is bound once, not once per branch
+    return let(squash_place(raw), label)
 
 
 def gated_label(
@@ -124,14 +128,18 @@ def gated_label(
     default: str = UNKNOWN_PLACE,
 ) -> Column:
     """Numbered references and anchors apply only behind a gate token; then the general rules."""
-    text = squash_place(raw)
-    gate = text.rlike("|".join(gates))
-    number = F.regexp_extract(text, number_pattern, 1)
     lookup = F.create_map(*[F.lit(x) for pair in numbered.items() for x in pair])
-    specific = F.when(gate, F.coalesce(F.try_element_at(lookup, number), first_match(text, anchors)))
-    return F.when(text == "", F.lit(default)).otherwise(
-        F.coalesce(specific, first_match(text, rules, F.lit(default)))
-    )
+
+    def label(text: Column) -> Column:
+        number = F.regexp_extract(text, number_pattern, 1)
+        specific = F.when(
+            text.rlike("|".join(gates)), F.coalesce(F.try_element_at(lookup, number), first_match(text, anchors))
+        )
+        return F.when(text == "", F.lit(default)).otherwise(
+            F.coalesce(specific, first_match(text, rules, F.lit(default)))
+        )
+
+    return let(squash_place(raw), label)
 
 
 def any_keyword(text: Column, keywords: Sequence[str]) -> Column:
@@ -145,7 +153,7 @@ def tag_list(flags: dict[str, Column], default: str = "mixed") -> Column:
 
 
 def condition_bucket(text: Column, rules: Rules = CONDITIONS, default: str = DEFAULT_CONDITION) -> Column:
-    return first_match(F.lower(F.coalesce(text, F.lit(""))), rules, F.lit(default))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: first_match(lowered, rules, F.lit(default)))
 
 
 def condition_or_summary(condition: Column, summary: Column) -> Column:

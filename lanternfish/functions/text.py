@@ -104,7 +104,8 @@ def squash_place(c: Column) -> Column:
 
 def html_unescape(c: Column) -> Column:
     """Decode the entities above; ``&amp;`` last, so nothing is decoded twice."""
-    return reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), ENTITIES.items(), c)
+    decoded = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), ENTITIES.items(), c)
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def absolutize_url(c: Column, base: str) -> Column:

@@ -52,8 +52,12 @@ def page_title(html: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text without scripts, styles and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    return collapse_spaces(html_unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")))
+
+    def strip(markup: Column) -> Column:
+        bare = F.regexp_replace(markup, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+        return F.when(markup.contains("<"), F.regexp_replace(bare, r"(?s)<[^>]*>", " ")).otherwise(markup)
+
+    return let(let(html, strip), lambda t: collapse_spaces(html_unescape(t)))
 
 
 def embedded_data(html: Column) -> Column:
@@ -61,9 +65,10 @@ def embedded_data(html: Column) -> Column:
 
     def parse(pattern: str) -> Column:
         # an unparsable text gives a struct of nulls
-        parsed = F.from_json(F.regexp_extract(html, pattern, 1), EMBEDDED)
-        filled = F.coalesce(*[parsed[f.name].cast("string") for f in EMBEDDED.fields])
-        return F.when(filled.isNotNull(), parsed)
+        def filled(parsed: Column) -> Column:
+            return F.when(F.coalesce(*[parsed[f.name].cast("string") for f in EMBEDDED.fields]).isNotNull(), parsed)
+
+        return let(F.from_json(F.nullif(F.regexp_extract(html, pattern, 1), F.lit("")), EMBEDDED), filled)
 
     return F.coalesce(parse(DATA_BEFORE_DATES), parse(DATA))
 
@@ -137,13 +142,15 @@ def place_from_prose(text: Column) -> Column:
         return reduce(lambda c, pattern: F.regexp_replace(c, pattern, ""), LEAD_INS, sentence)
 
     def find(plain: Column) -> Column:
-        sentences = F.transform(
-            F.split(plain, r"(?<=[.!?])\s+"), lambda s: strip_lead(F.regexp_replace(s, r"^[ \-]+|[ \-]+$", ""))
-        )
         words = "|".join(PLACE_WORDS)
-        hit = F.get(
-            F.filter(sentences, lambda s: F.concat(F.lit(" "), F.lower(s), F.lit(" ")).rlike(words)), F.lit(0)
-        )
+
+        def has_place(sentence: Column) -> Column:
+            return F.concat(F.lit(" "), F.lower(sentence), F.lit(" ")).rlike(words)
+
+        # dropping a lead-in never adds a word, so only sentences with one are cleaned and tested again
+        sentences = F.filter(F.split(plain, r"(?<=[.!?])\s+"), has_place)
+        cleaned = F.transform(sentences, lambda s: strip_lead(F.regexp_replace(s, r"^[ \-]+|[ \-]+$", "")))
+        hit = F.get(F.filter(cleaned, has_place), F.lit(0))
         whole = F.when(F.length(plain) <= SHORT_TEXT, plain).otherwise(F.lit(""))
         return F.regexp_replace(F.coalesce(F.trim(hit), whole), r"[.!?]+$", "")
 
