@@ -91,10 +91,13 @@ def parse_date_lenient(c: Column) -> Column:
 
 def month_of_text(c: Column) -> Column:
     """Month number of a date text, else of the first month name in it, else null."""
-    value = strip_ordinals(F.trim(F.coalesce(c, F.lit(""))))
-    token = F.lower(F.regexp_extract(value, MONTH_TOKEN, 1))
-    by_name = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), token), F.lit(0))
-    return F.coalesce(F.month(parse_date_lenient(value)), by_name.cast("int"))
+
+    def month(value: Column) -> Column:
+        token = F.lower(F.regexp_extract(value, MONTH_TOKEN, 1))
+        by_name = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), token), F.lit(0))
+        return F.coalesce(F.month(parse_date_lenient(value)), by_name.cast("int"))
+
+    return let(strip_ordinals(F.trim(F.coalesce(c, F.lit("")))), month)
 
 
 def local_timestamp_text(ts: Column, zone: str = "America/New_York") -> Column:

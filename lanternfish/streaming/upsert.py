@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
 from ..schema import RECORD, STATE
+from ..session import cut_lineage
 
 # Fetched pages as they land: status and the extracted record (or why there is none).
 LANDED = T.StructType(
@@ -24,33 +25,43 @@ LANDED = T.StructType(
 )
 
 
-def _versions(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
-    """The table as the last batch before ``before`` left it; empty in the beginning."""
-    done = [b for b in _batches(spark, path) if b < before]
-    if not done:
+def _known(spark: SparkSession, path: str, schema: T.StructType, before: int, ids: DataFrame | None = None) -> DataFrame:
+    """Newest version of every row written by batches before ``before``, optionally of some ids only.
+
+    The tables are logs: a batch adds the rows it changed in a folder of its own and touches
+    nothing older, so the work of a batch grows with the batch, not with the archive.
+    """
+    if not [b for b in _batches(spark, path) if b < before]:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/batch={max(done)}")
+    logged = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(logged).parquet(path).where(F.col("batch") < before)
+    if ids is not None:
+        rows = rows.join(ids, "id", "left_semi")
+    fields = [c for c in schema.names if c != "id"]
+    newest = rows.groupBy("id").agg(F.max_by(F.struct(*fields), "batch").alias("row"))
+    return newest.select("id", *[F.col(f"row.{c}").alias(c) for c in fields])
 
 
 def apply_batch(batch: DataFrame, number: int, root: str, now: str) -> None:
-    """Merge one micro-batch into records and state.
+    """Merge one micro-batch into the logs of records and state.
 
-    Each batch writes new versions of both tables from the versions before it and never changes
-    them, so replaying a batch after a failure gives the same tables.
+    Only batches before this one are read and only this one's folders are written, so replaying
+    a batch after a failure gives the same tables.
     """
     spark = batch.sparkSession
-    records = _versions(spark, f"{root}/records", RECORD, number)
-    state = _versions(spark, f"{root}/state", STATE, number)
     # the newest landing of an id counts
-    newest = batch.groupBy("id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "id"]), "sitemap_lastmod").alias("f"))
+    fields = [c for c in batch.columns if c != "id"]
+    newest = cut_lineage(batch.groupBy("id").agg(F.max_by(F.struct(*fields), "sitemap_lastmod").alias("f")))
+    ids = newest.select("id")
+    records = _known(spark, f"{root}/records", RECORD, number, ids)
+    state = _known(spark, f"{root}/state", STATE, number, ids)
     fetched = newest.select("id", "f.status_code", "f.rejection", "f.warning", "f.record")
     landed = newest.select("id", "f.url", "f.sitemap_lastmod")
     joined = ingest.join_sources(landed, records, state, fetched)
-    ingest.merge_upsert(joined).write.mode("overwrite").parquet(f"{root}/records/batch={number}")
-    # rows outside of this batch were not looked at: keep their state as it is
-    touched = ingest.next_state(joined.where("listed is not null"), now)
-    kept = state.join(landed.select("id"), "id", "left_anti")
-    touched.unionByName(kept).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+    ingest.merge_upsert(joined.where(ingest.fetch_status() == "ok")).write.mode("overwrite").parquet(
+        f"{root}/records/batch={number}"
+    )
+    ingest.next_state(joined, now).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
 
 
 def stream_upsert(landing: DataFrame, root: str, checkpoint: str, now: str) -> StreamingQuery:
@@ -65,11 +76,11 @@ def stream_upsert(landing: DataFrame, root: str, checkpoint: str, now: str) -> S
 def latest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Records and state after the last finished batch."""
     upto = max(_batches(spark, f"{root}/state"), default=-1) + 1
-    return _versions(spark, f"{root}/records", RECORD, upto), _versions(spark, f"{root}/state", STATE, upto)
+    return _known(spark, f"{root}/records", RECORD, upto), _known(spark, f"{root}/state", STATE, upto)
 
 
 def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions that were written completely."""
+    """Numbers of the batches that were written completely."""
     jvm = spark.sparkContext._jvm
     marks = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
     files = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

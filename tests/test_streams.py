@@ -41,3 +41,20 @@ def test_recent_counts_batch_and_stream(spark):
 def test_upsert_stream_keeps_earlier_batches(spark):
     got = QUERIES["stream_upsert"](spark, SMALL)
     assert got.count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+
+
+def test_upsert_log_across_batches(spark, tmp_path):
+    """A later failed fetch keeps the record; replaying a batch changes nothing."""
+    from lanternfish.streaming import upsert
+
+    record = ("2026", "1 Ann", "u1", "i", "p", "2026-05-05")
+    first = spark.createDataFrame([("1", "u1", "a", 200, "", "", record), ("2", "u2", "a", 404, "", "", None)], upsert.LANDED)
+    second = spark.createDataFrame([("1", "u1", "b", 404, "", "", None), ("3", "u3", "b", 200, "", "", record)], upsert.LANDED)
+    root = str(tmp_path)
+    upsert.apply_batch(first, 0, root, "t0")
+    upsert.apply_batch(second, 1, root, "t1")
+    upsert.apply_batch(second, 1, root, "t1")
+    records, state = upsert.latest(spark, root)
+    assert sorted(r["id"] for r in records.collect()) == ["1", "3"]
+    got = {r["id"]: (r["fetch_status"], r["first_seen_at"], r["last_seen_at"]) for r in state.collect()}
+    assert got == {"1": ("http_404", "t0", "t1"), "2": ("http_404", "t0", "t0"), "3": ("ok", "t1", "t1")}
