@@ -160,9 +160,11 @@ def metrics(bins: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def backtest(counts: DataFrame, include_hybrid: bool = True) -> DataFrame:
-    """Metrics of all distribution models; empty below 10 rows, 2 years or 2 labels."""
-    # label-date counts are tiny next to the reports, and every model needs them more than once
-    counts = cut_lineage(counts)
+    """Metrics of all distribution models; empty below 10 rows, 2 years or 2 labels.
+
+    ``counts``: label, date, year, n - best written out with ``cut_lineage``, it is read often.
+    """
+    # compact results that every model needs more than once; ``counts`` should be a table already
     space = cut_lineage(fold_space(counts))
     kernel = cut_lineage(dist_kernel(counts, space)) if include_hybrid else dist_kernel(counts, space)
     fold = F.col("year").alias("fold")
@@ -235,7 +237,6 @@ def dist_forest(counts: DataFrame, trees: int = TREES, depth: int = 8) -> DataFr
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    counts = cut_lineage(counts)
     prepared = counts.select(
         "label",
         "date",

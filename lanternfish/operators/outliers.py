@@ -73,10 +73,10 @@ def keep_outliers(rows: DataFrame, group: str, number: str) -> DataFrame:
 def recovery_by_group(rows: DataFrame, group: str, number: str) -> DataFrame:
     """Per group: distinct clean numbers, highest clean number, recovery rate, number of reports.
 
-    One pre-aggregation by (group, number) feeds everything; what follows works on distinct
-    numbers and, for the outliers, on the top values only.
+    One pre-aggregation by (group, number) is the only pass over the reports; it is written out
+    because two branches need it. The outlier branch then sees the top values only.
     """
-    per_number = rows.groupBy(group, number).agg(F.count("*").alias("reports"))
+    per_number = cut_lineage(rows.groupBy(group, number).agg(F.count("*").alias("reports")))
     totals = per_number.groupBy(group).agg(
         F.count(number).alias("numbers"), F.sum("reports").cast("bigint").alias("report_count")
     )

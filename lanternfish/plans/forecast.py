@@ -14,14 +14,20 @@ from .registry import query, table
 
 
 def zone_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Reports per (zone, date). Reports are counted per (spot, date) before they meet the zones."""
-    per_spot = (
+    """Reports per (zone, date), written out.
+
+    One pass over the reports counts them per (spot, date). Spot totals, zones and everything after
+    that come from these counts.
+    """
+    per_spot = cut_lineage(
         views.finds_core(spark, folder)
         .groupBy("spot", F.col("date_found").alias("date"))
         .agg(F.count("*").alias("n"))
     )
-    zoned = zones.label_to_zone(per_spot, reports.members(spark, folder), "spot")
-    return (
+    totals = per_spot.groupBy("spot").agg(F.sum("n").alias("reports"))
+    members = zones.zone_members(totals, views.spots(spark, folder), "spot")
+    zoned = zones.label_to_zone(per_spot, members, "spot")
+    return cut_lineage(
         zoned.groupBy(F.col("zone").alias("label"), "date")
         .agg(F.sum("n").alias("n"))
         .withColumn("year", F.year("date"))
@@ -29,7 +35,8 @@ def zone_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def place_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return seasonal.label_dates(views.finds(spark, folder), "place", "date_found")
+    """Reports per (place, date), written out."""
+    return cut_lineage(seasonal.label_dates(views.finds(spark, folder), "place", "date_found"))
 
 
 ZF = f"""{views.FINDS_CORE}, {views.SPOTS}, {reports.MEMBERS},
@@ -141,7 +148,7 @@ def calendar_affinity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, folder: str, counts: DataFrame | None = None) -> DataFrame:
-    counts = cut_lineage(zone_counts(spark, folder)) if counts is None else counts
+    counts = zone_counts(spark, folder) if counts is None else counts
     m = cut_lineage(reports.members(spark, folder))
     return seasonal.zone_profiles(counts, zones.zone_definitions(m), zones.top_members(m))
 
@@ -272,7 +279,7 @@ def dist_kernel(spark: SparkSession, folder: str) -> DataFrame:
     f"with {ZF}, {FOLDS}, {KERNELS}, {HYBRID} select fold::integer as fold, d::varchar as day, label, round(p, 6) as p from dh",
 )
 def dist_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    counts = cut_lineage(zone_counts(spark, folder))
+    counts = zone_counts(spark, folder)
     space = cut_lineage(backtest.fold_space(counts))
     dist = backtest.dist_hybrid(counts, space, backtest.dist_kernel(counts, space))
     return dist.select("fold", F.col("date").cast("string").alias("day"), "label", F.round("p", 6).alias("p"))
@@ -280,7 +287,7 @@ def dist_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("dist_forest")
 def dist_forest(spark: SparkSession, folder: str) -> DataFrame:
-    counts = seasonal.label_dates(views.finds(spark, folder), "zone", "date_found")
+    counts = cut_lineage(seasonal.label_dates(views.finds(spark, folder), "zone", "date_found"))
     return backtest.forest_metrics(counts)
 
 
@@ -351,7 +358,7 @@ def tide_by_date(spark: SparkSession, folder: str) -> DataFrame:
     """Noon context per date: the lowest station that has one (primary first, then fallback)."""
     r = shifted_readings(spark, folder)
     noon = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))
-    probes = r.select("station", noon.alias("probe_ts")).distinct()
+    probes = cut_lineage(r.select("station", noon.alias("probe_ts")).distinct())
     context = series.tide_context(probes, r)
     chosen = context.groupBy(F.col("probe_ts").cast("date").alias("date")).agg(
         F.min_by(F.struct("stage", "daily_range"), "station").alias("t")
@@ -406,7 +413,7 @@ BRIEFING = f"{ZF}, {PROFILES}, {PRIORS}, {CONTEXT}, {RECENT}, {MULTIPLIERS}"
 
 
 def scored(spark: SparkSession, folder: str, counts: DataFrame | None = None) -> DataFrame:
-    counts = cut_lineage(zone_counts(spark, folder)) if counts is None else counts
+    counts = zone_counts(spark, folder) if counts is None else counts
     dates = counts.select("date").distinct()
     targets = dates.select(F.col("date").alias("target"))
     f = views.finds_core(spark, folder).select("date_found")
@@ -472,7 +479,7 @@ brief as (
 
 
 def brief(spark: SparkSession, folder: str) -> DataFrame:
-    counts = cut_lineage(zone_counts(spark, folder))
+    counts = zone_counts(spark, folder)
     return briefing.daily_briefing(
         scored(spark, folder, counts),
         seasonal.seasonal_priors(counts),

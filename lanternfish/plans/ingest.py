@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import checks, dedupe, ingest
-from ..schema import RECORD_FIELDS
+from ..session import cut_lineage
 from . import scalars, views
 from .registry import query, table
 
@@ -131,7 +131,8 @@ def select_work_new_only(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    chosen = work(spark, folder)
+    # the work list is handed to a crawl, so it is a table: classified once
+    chosen = cut_lineage(work(spark, folder))
     joined = ingest.join_sources(
         listing(spark, folder), known_records(spark, folder), state(spark, folder), fetched(spark, folder, chosen)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo, rules
 from ..operators import archive, checks, grouping, nearest, outliers, recency, series, zones
+from ..session import cut_lineage
 from ..sources import tables
 from ..streaming import events as growth
 from . import scalars, views
@@ -254,7 +255,7 @@ PROBES = """probes as (select distinct station, cast(ts as date) + interval 12 h
 def noon_probes(spark: SparkSession, folder: str) -> DataFrame:
     """One probe per station and day, at noon."""
     noon = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))
-    return views.readings(spark, folder).select("station", noon.alias("probe_ts")).distinct()
+    return cut_lineage(views.readings(spark, folder).select("station", noon.alias("probe_ts")).distinct())
 
 
 TIDE = f"""{PROBES},
