@@ -41,10 +41,13 @@ def fold_space(counts: DataFrame) -> DataFrame:
 
 
 def normalized(raw: DataFrame, context: list[str]) -> DataFrame:
-    """raw + alpha, scaled to 1 per context; a context holds one row per label."""
+    """raw + alpha, scaled to 1 per context.
+
+    A context holds one row per label, so the window is small; joining totals back would work out
+    the scores twice.
+    """
     adjusted = F.col("raw") + ALPHA
-    totals = raw.groupBy(*context).agg(F.sum(adjusted).alias("_total"))
-    return raw.join(totals, context).select(*context, "label", (adjusted / F.col("_total")).alias("p"))
+    return raw.select(*context, "label", (adjusted / F.sum(adjusted).over(W.partitionBy(*context))).alias("p"))
 
 
 def dist_global(space: DataFrame) -> DataFrame:
@@ -69,9 +72,9 @@ def dist_month(counts: DataFrame, space: DataFrame) -> DataFrame:
             (F.coalesce("all_n", F.lit(0)) - F.coalesce("held_n", F.lit(0))).alias("month_rows"),
         )
     )
-    seen = raw.groupBy("fold", "month").agg(F.sum("month_rows").alias("seen"))
-    chosen = raw.join(seen, ["fold", "month"]).select(
-        "fold", "month", "label", F.when(F.col("seen") > 0, F.col("month_rows")).otherwise(F.col("rows")).alias("raw")
+    seen = F.sum("month_rows").over(W.partitionBy("fold", "month"))
+    chosen = raw.select(
+        "fold", "month", "label", F.when(seen > 0, F.col("month_rows")).otherwise(F.col("rows")).alias("raw")
     )
     return normalized(chosen, ["fold", "month"])
 
@@ -117,14 +120,14 @@ def dist_hybrid(counts: DataFrame, space: DataFrame, kernel: DataFrame) -> DataF
 
 def ranked(dist: DataFrame, context: list[str]) -> DataFrame:
     """Floored and renormalised probabilities with rank and the confidence of the context."""
-    q = F.greatest("p", F.lit(FLOOR))
-    floored = dist.select(*context, "label", q.alias("q"))
-    totals = floored.groupBy(*context).agg(F.sum("q").alias("_t"), F.max("q").alias("_m"))
-    scaled = floored.join(totals, context).select(
-        *context, "label", (F.col("q") / F.col("_t")).alias("q"), (F.col("_m") / F.col("_t")).alias("confidence")
+    each = W.partitionBy(*context)
+    floored = dist.select(*context, "label", F.greatest("p", F.lit(FLOOR)).alias("q"))
+    scaled = floored.select(*context, "label", (F.col("q") / F.sum("q").over(each)).alias("q"))
+    return scaled.select(
+        "*",
+        F.max("q").over(each).alias("confidence"),
+        F.row_number().over(each.orderBy(F.col("q").desc(), F.col("label").asc())).alias("rank"),
     )
-    order = W.partitionBy(*context).orderBy(F.col("q").desc(), F.col("label").asc())
-    return scaled.withColumn("rank", F.row_number().over(order))
 
 
 def scored(dist: DataFrame, truth: DataFrame, context: list[str], model: str) -> DataFrame:

@@ -7,6 +7,7 @@ and on the number of labels, never on the number of reports.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -87,11 +88,12 @@ def activity_index(counts: DataFrame) -> DataFrame:
     """Index of each day 1..366: 5 = average, capped at 10, one decimal; zeros without rows."""
     daily = counts.groupBy(F.dayofyear("date").alias("day_of_year")).agg(F.sum("n").alias("n"))
     scores = kernel_scores(daily, [])
-    mean = scores.agg(F.avg("score").alias("mean"))
+    # 366 rows at most from here on
+    mean = F.avg("score").over(W.partitionBy(F.lit(1)))
     spine = counts.sparkSession.range(1, PERIOD + 1).select(F.col("id").cast("int").alias("day"))
-    scored = scores.withColumnRenamed("target_day", "day").join(F.broadcast(mean))
-    index = F.round(F.least(F.col("score") / F.col("mean") * 5, F.lit(10.0)), 1)
-    return spine.join(scored.select("day", index.alias("activity")), "day", "left").select(
+    index = F.round(F.least(F.col("score") / mean * 5, F.lit(10.0)), 1)
+    indexed = scores.select(F.col("target_day").alias("day"), index.alias("activity"))
+    return spine.join(indexed, "day", "left").select(
         "day", F.coalesce("activity", F.lit(0.0)).alias("activity")
     )
 
@@ -101,12 +103,10 @@ def seasonal_priors(counts: DataFrame) -> DataFrame:
     daily = counts.groupBy("label", F.dayofyear("date").alias("day_of_year")).agg(F.sum("n").alias("n"))
     enough = daily.agg(F.sum("n").alias("rows")).where(F.col("rows") >= MIN_TRAINING_ROWS)
     scores = kernel_scores(daily, ["label"]).where("score > 0")
-    totals = scores.groupBy("target_day").agg(F.sum("score").alias("total"))
-    return (
-        scores.join(totals, "target_day")
-        .join(F.broadcast(enough))
-        .select(F.col("target_day").alias("day"), "label", F.round(F.col("score") / F.col("total"), 6).alias("prior"))
-    )
+    # one row per label and day: the window saves working out the scores twice
+    total = F.sum("score").over(W.partitionBy("target_day"))
+    shares = scores.select(F.col("target_day").alias("day"), "label", F.round(F.col("score") / total, 6).alias("prior"))
+    return shares.join(F.broadcast(enough)).select("day", "label", "prior")
 
 
 # ---------------------------------------------------------------- calendar affinity

@@ -56,6 +56,42 @@ def _hours(n: int) -> Column:
     return F.make_dt_interval(hours=F.lit(n))
 
 
+def _bucket_edges(mixed: DataFrame) -> DataFrame:
+    """Per (station, bucket): the readings next to the bucket, before and after it.
+
+    ``back``/``ahead`` are the nearest readings outside of the bucket, ``back2``/``ahead2`` the
+    ones beyond those; empty buckets are skipped. One row per bucket.
+    """
+    is_reading = F.col("is_probe") == 0
+    edges = mixed.groupBy("station", "bucket").agg(
+        F.min_by("item", F.when(is_reading, F.struct("ts", "event_id"))).alias("first"),
+        F.max_by("item", F.when(is_reading, F.struct("ts", -F.col("event_id")))).alias("last"),
+        F.min_by("second", F.when(is_reading, F.struct("ts", "event_id"))).alias("after_first"),
+        F.max_by("second_last", F.when(is_reading, F.struct("ts", -F.col("event_id")))).alias("before_last"),
+    )
+    across = W.partitionBy("station").orderBy("bucket")
+    earlier, later = across.rowsBetween(W.unboundedPreceding, -1), across.rowsBetween(1, W.unboundedFollowing)
+    outside = edges.select(
+        "*",
+        F.last("last", ignorenulls=True).over(earlier).alias("back"),
+        F.first("first", ignorenulls=True).over(later).alias("ahead"),
+    )
+    # a bucket with a single reading continues outside of it
+    filled = outside.select(
+        "*",
+        F.when(F.col("last").isNotNull(), F.struct(F.coalesce("before_last", "back").alias("v"))).alias("_b2"),
+        F.when(F.col("first").isNotNull(), F.struct(F.coalesce("after_first", "ahead").alias("v"))).alias("_a2"),
+    )
+    return filled.select(
+        "station",
+        "bucket",
+        "back",
+        "ahead",
+        F.last("_b2", ignorenulls=True).over(earlier)["v"].alias("back2"),
+        F.first("_a2", ignorenulls=True).over(later)["v"].alias("ahead2"),
+    )
+
+
 def nearest_reading(
     probes: DataFrame,
     readings: DataFrame,
@@ -64,51 +100,71 @@ def nearest_reading(
     after: int = HOURS_AFTER,
     unit: str = "day",
 ) -> DataFrame:
-    """Per probe (station, probe_ts): ``found`` = struct of the reading with the smallest time distance.
+    """Per probe (station, probe_ts): ``found`` = the reading with the smallest time distance, and the
+    readings ``prev`` and ``next`` around it (structs of ts and payload, or null).
 
     An as-of join in both directions: probes and readings are put in one time order per bucket,
-    the last reading before and the first one after are looked up, and bucket summaries carry
-    them over empty buckets. The earlier reading wins a tie.
+    the readings before and after are looked up, and bucket summaries carry them over bucket
+    edges and empty buckets. The earlier reading wins a tie; readings outside of
+    [probe - before, probe + after] do not exist for the probe.
     """
     item = F.struct(F.col("ts").alias("ts"), *[F.col(c).alias(c) for c in payload])
     r = _bucketed(readings, unit).select("station", "bucket", "ts", "event_id", F.lit(0).alias("is_probe"), item.alias("item"))
+    kind = r.schema["item"].dataType
+    inside = W.partitionBy("station", "bucket").orderBy("ts", "event_id")
+    r = r.select("*", F.lag("item").over(inside).alias("second_last"), F.lead("item").over(inside).alias("second"))
+    nothing = F.lit(None).cast(kind)
     p = _bucketed(probes.withColumnRenamed("probe_ts", "ts"), unit).select(
-        "station", "bucket", "ts", F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("is_probe"),
-        F.lit(None).cast(r.schema["item"].dataType).alias("item"),
+        "station",
+        "bucket",
+        "ts",
+        F.lit(None).cast("long").alias("event_id"),
+        F.lit(1).alias("is_probe"),
+        nothing.alias("item"),
+        nothing.alias("second_last"),
+        nothing.alias("second"),
     )
     mixed = r.unionByName(p)
     part = W.partitionBy("station", "bucket")
     # among readings at one instant the first one counts, in both directions
     back = part.orderBy("ts", "is_probe", F.col("event_id").desc()).rowsBetween(W.unboundedPreceding, 0)
     ahead = part.orderBy("ts", "is_probe", F.col("event_id").asc()).rowsBetween(1, W.unboundedFollowing)
+    # each reading travels with its own neighbours in the bucket
+    trio = F.when(F.col("is_probe") == 0, F.struct("item", "second_last", "second"))
     looked = mixed.select(
         "station",
         "bucket",
         "ts",
         "is_probe",
-        F.last("item", ignorenulls=True).over(back).alias("_back"),
-        F.first("item", ignorenulls=True).over(ahead).alias("_ahead"),
+        F.last(trio, ignorenulls=True).over(back).alias("_back"),
+        F.first(trio, ignorenulls=True).over(ahead).alias("_ahead"),
     ).where("is_probe = 1")
-    edges = mixed.groupBy("station", "bucket").agg(
-        F.min_by("item", F.when(F.col("is_probe") == 0, F.struct("ts", "event_id"))).alias("first"),
-        F.max_by("item", F.when(F.col("is_probe") == 0, F.struct("ts", -F.col("event_id")))).alias("last"),
-    )
-    across = W.partitionBy("station").orderBy("bucket")
-    edges = edges.select(
+    joined = looked.join(_bucket_edges(mixed), ["station", "bucket"])
+    start, end = F.col("ts") - _hours(before), F.col("ts") + _hours(after)
+
+    def usable(reading: Column) -> Column:
+        return F.when(reading["ts"].between(start, end), reading)
+
+    # the two readings before the probe and the two after it
+    b1 = F.coalesce("_back.item", "back")
+    b2 = F.when(F.col("_back").isNotNull(), F.coalesce("_back.second_last", "back")).otherwise(F.col("back2"))
+    a1 = F.coalesce("_ahead.item", "ahead")
+    a2 = F.when(F.col("_ahead").isNotNull(), F.coalesce("_ahead.second", "ahead")).otherwise(F.col("ahead2"))
+    around = joined.select(
         "station",
-        "bucket",
-        F.last("last", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("_carry_back"),
-        F.first("first", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("_carry_ahead"),
+        F.col("ts").alias("probe_ts"),
+        *[usable(c).alias(n) for n, c in (("b1", b1), ("b2", b2), ("a1", a1), ("a2", a2))],
+    )
+    gap_back = F.timestamp_diff("MICROSECOND", F.col("b1.ts"), F.col("probe_ts"))
+    gap_ahead = F.timestamp_diff("MICROSECOND", F.col("probe_ts"), F.col("a1.ts"))
+    earlier = F.col("b1").isNotNull() & (F.col("a1").isNull() | (gap_back <= gap_ahead))
+
+    def choose(if_back: str, if_ahead: str, name: str) -> Column:
+        return F.when(earlier, F.col(if_back)).otherwise(F.col(if_ahead)).alias(name)
+
+    return around.select(
+        "station", "probe_ts", choose("b1", "a1", "found"), choose("b2", "b1", "prev"), choose("a1", "a2", "next")
     )
-    joined = looked.join(edges, ["station", "bucket"])
-    back_item = F.coalesce("_back", "_carry_back")
-    ahead_item = F.coalesce("_ahead", "_carry_ahead")
-    usable_back = F.when(back_item["ts"] >= F.col("ts") - _hours(before), back_item)
-    usable_ahead = F.when(ahead_item["ts"] <= F.col("ts") + _hours(after), ahead_item)
-    gap_back = F.timestamp_diff("MICROSECOND", usable_back["ts"], F.col("ts"))
-    gap_ahead = F.timestamp_diff("MICROSECOND", F.col("ts"), usable_ahead["ts"])
-    found = F.when(usable_ahead.isNull() | (gap_back <= gap_ahead), usable_back).otherwise(usable_ahead)
-    return joined.select("station", F.col("ts").alias("probe_ts"), found.alias("found"))
 
 
 def range_around(probes: DataFrame, readings: DataFrame, before: int = HOURS_BEFORE, after: int = HOURS_AFTER) -> DataFrame:
@@ -145,19 +201,12 @@ def range_around(probes: DataFrame, readings: DataFrame, before: int = HOURS_BEF
 
 def tide_context(probes: DataFrame, readings: DataFrame) -> DataFrame:
     """Height now, stage and range for every probe."""
-    neighbors = with_neighbors(readings)
-    near = nearest_reading(
-        probes, neighbors, ["height", "prev_ts", "prev_height", "next_ts", "next_height"]
-    ).where("found is not null")
-    start, end = F.col("probe_ts") - _hours(HOURS_BEFORE), F.col("probe_ts") + _hours(HOURS_AFTER)
-    f = F.col("found")
-    prev = F.when(f["prev_ts"] >= start, f["prev_height"])
-    following = F.when(f["next_ts"] <= end, f["next_height"])
+    near = nearest_reading(probes, readings, ["height"]).where("found is not null")
     staged = near.select(
         "station",
         "probe_ts",
-        F.round(f["height"], 2).alias("height_now"),
-        stage(prev, following, f["height"]).alias("stage"),
+        F.round("found.height", 2).alias("height_now"),
+        stage(F.col("prev.height"), F.col("next.height"), F.col("found.height")).alias("stage"),
     )
     spread = range_around(probes, readings).select(
         "station", "probe_ts", F.round(F.col("high") - F.col("low"), 2).alias("daily_range")
