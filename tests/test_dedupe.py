@@ -13,7 +13,7 @@ def label():
 
 def test_pair_is_merged(spark):
     rows = [
-        ("1039", "2024", "332 L. Mcguire", "u1", "", "The Hollow", ""),
+        ("1039", "2024", "332 L. Marsh", "u1", "", "The Hollow", ""),
         ("3931", "2024", "332", "u2", "https://i.org/a.jpg", "hollow", "2024-07-08"),
         ("7", "2024", "332 Else", "u3", "", "nowhere", ""),
         ("8", "2024", "332 Else", "u4", "", "nowhere", ""),
@@ -23,7 +23,7 @@ def test_pair_is_merged(spark):
     assert set(merged) == {"3931", "7", "8"}
     kept = merged["3931"]
     assert (kept["title"], kept["date_found"], kept["location"], kept["image"]) == (
-        "332 L. Mcguire", "2024-07-08", "The Hollow", "https://i.org/a.jpg",
+        "332 L. Marsh", "2024-07-08", "The Hollow", "https://i.org/a.jpg",
     )
     report = dedupe.merge_report(df, label()).collect()
     assert sorted((r["kept_id"], r["merged_id"]) for r in report) == [("3931", "1039"), ("3931", "3931")]

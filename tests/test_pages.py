@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.operators import pages
 
-URL = "https://h.org/event/glassy-thing/{0}/"
+URL = "https://h.org/event/a-thing/{0}/"
 EMBEDDED = (
     '<html><head><title>x | y</title><script type="application/ld+json">{"@type": "Event", "name": "LD name", "startDate": "2026-03-12"}</script>'
     '</head><script>var data = {"recid": "5741", "title": "12 Ann &amp; Bo", "location": "Clay Head", "categories": '
@@ -72,14 +72,14 @@ def test_listing(spark):
     html = (
         '<div class="item" data-type="ads" data-recid="1">no</div>'
         '<div class="x item" data-type="events" data-recid="6001"><a href="/event/a/6001/"><img src="b.gif" data-lazy-src="r.jpg"></a>'
-        '<h4 class="title">321 - <i>Alex</i> P.</h4><ul class="locations"><li>Clay Head</li></ul></div>'
-        '<div class="item" data-type="events" data-recid="6000"><a href="/event/b/6000/"></a><h4 class="title">120 Kim</h4></div>'
+        '<h4 class="title">321 - <i>Avery</i> P.</h4><ul class="locations"><li>Clay Head</li></ul></div>'
+        '<div class="item" data-type="events" data-recid="6000"><a href="/event/b/6000/"></a><h4 class="title">120 Kai</h4></div>'
         '<div class="pager"><a class="nxt" href="?x=1&amp;skip=24">next</a></div>'
     )
     df = spark.createDataFrame([(html,)], "html string")
     got = [tuple(r) for r in pages.listing_items(df, "2026").orderBy("id").collect()]
     assert got == [
-        ("6000", "2026", "120 Kim", "/event/b/6000/", "", ""),
-        ("6001", "2026", "321 - Alex P.", "/event/a/6001/", "r.jpg", "Clay Head"),
+        ("6000", "2026", "120 Kai", "/event/b/6000/", "", ""),
+        ("6001", "2026", "321 - Avery P.", "/event/a/6001/", "r.jpg", "Clay Head"),
     ]
     assert df.select(pages.next_skip(F.col("html"))).first()[0] == 24

@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 from lanternfish.functions import text
 
 TITLES = {
-    "267 - B. Massoia": ("267", "B. Massoia"),
-    "245 Amy K.": ("245", "Amy K."),
+    "267 - B. Marlow": ("267", "B. Marlow"),
+    "245 Ivy K.": ("245", "Ivy K."),
     "305": ("305", ""),
-    "#253, Laura Pepper": ("253", "Laura Pepper"),
-    "#67-Denise Souza": ("67", "Denise Souza"),
-    "Number 355, Austin Powell": ("355", "Austin Powell"),
-    "Gabrielle #170": ("170", "Gabrielle"),
-    "207/Chris Abate": ("207", "Chris Abate"),
+    "#253, Lena Pike": ("253", "Lena Pike"),
+    "#67-Dora Sand": ("67", "Dora Sand"),
+    "Number 355, Arlo Penn": ("355", "Arlo Penn"),
+    "Gwendolyn #170": ("170", "Gwendolyn"),
+    "207/Cole Abbot": ("207", "Cole Abbot"),
     "Finder Only": ("", "Finder Only"),
     "12 – Long  Dash": ("12", "Long Dash"),
     "Someone 88?": ("88", "Someone"),
