@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules
+from . import bpe, license_scan, line_dedup, mixing, one_bit_search, quality_rules, secret_scan, url_filter
 from .common import table
 
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
 
@@ -23,6 +26,51 @@ def query(sql: str | None = None):
     return register
 
 
+URL_SQL = r"""
+with captures as (
+  select page_id, url, cast(ts as date) as fetched_on,
+         lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''),
+                              '\.?(:[0-9]*)?$', '')) as host,
+         list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as parts
+  from pages left join events on event_id = page_id),
+entries as (
+  select case when event_type in ('error', 'signup') then 'host:' || host else 'path:' || host || '/' || parts[1] end as pattern,
+         case when event_type in ('error', 'view') then 'add' else 'remove' end as action, cast(ts as date) as dated_on, event_id as seq
+  from events join (select distinct page_id, host, parts from captures) on user_id = page_id),
+daily as (select pattern, dated_on, arg_max(action, seq) as action from entries where pattern is not null and dated_on is not null group by 1, 2),
+spans as (select *, coalesce(lead(dated_on) over (partition by pattern order by dated_on), date '9999-12-31') as valid_to from daily),
+keys as (
+  select page_id, fetched_on, unnest(
+    list_concat(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'host:' || array_to_string(string_split(host, '.')[i:], '.')),
+                list_transform(range(1, len(parts) + 1), lambda i: 'path:' || host || '/' || array_to_string(parts[1:i], '/')))) as pattern
+  from captures where host <> ''),
+hits as (
+  select page_id, min(k.pattern) as pattern
+  from keys k join spans s on k.pattern = s.pattern and dated_on <= fetched_on and fetched_on < valid_to
+  where action = 'add' group by 1)
+select page_id, url, fetched_on, pattern is not null as blocked, pattern from captures left join hits using (page_id)
+"""
+
+
+@query(URL_SQL)
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages are fetched on the day of the event of their number; the event log is the change log of the list: errors
+    and sign-ups of a user add and remove the host of the page of the user's number, other events its first directory."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    events = table(spark, folder, "events")
+    day = F.col("ts").cast("date")
+    captures = pages.join(events.select(F.col("event_id").alias("page_id"), day.alias("fetched_on")), "page_id", "left")
+    host, part = url_filter.host_of(F.col("url")), F.filter(F.split(url_filter.path_of(F.col("url")), "/"), lambda x: x != "")
+    whole = F.col("event_type").isin("error", "signup")
+    entries = events.join(pages.withColumnRenamed("page_id", "user_id"), "user_id").select(
+        F.when(whole, F.concat(F.lit("host:"), host)).otherwise(F.concat(F.lit("path:"), host, F.lit("/"), F.get(part, 0))).alias("pattern"),
+        F.when(F.col("event_type").isin("error", "view"), "add").otherwise("remove").alias("action"),
+        day.alias("dated_on"),
+        F.col("event_id").alias("seq"),
+    )
+    return url_filter.block(captures, entries)
+
+
 @query()
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents"))
@@ -58,7 +106,49 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("rejected_by")
 
 
+
+@query()
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY)).drop("ids")
+
+
+def _licence_sql() -> str:
+    known = ", ".join("'" + license_scan.normalised(s) + "'" for s in license_scan.SENTENCES)
+    steps = [
+        f"""t0 as (
+  select doc_id, array_to_string(list_transform(ids, lambda i: ',' || i || ','), '') as rest, len(ids) as n, cast([] as varchar[]) as names
+  from (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?:;][\\x20\\x09-\\x0D]+|[.!?:;]$|\\n+'),
+          lambda s: coalesce(list_position([{known}], trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), 0)), lambda i: i > 0) as ids
+        from documents))"""
+    ]
+    for k, (name, numbers) in enumerate(license_scan.RULES):
+        seq = "," + ",,".join(map(str, numbers)) + ","
+        steps.append(
+            f"t{k + 1} as (select doc_id, replace(rest, '{seq}', '|') as rest, n, "
+            f"case when contains(rest, '{seq}') and not list_contains(names, '{name}') then list_append(names, '{name}') else names end as names from t{k})"
+        )
+    return "with " + ",\n".join(steps) + f"\nselect doc_id, cast(n as bigint) as n_sentences, array_to_string(names, ',') as licences from t{len(steps) - 1}"
+
+
+@query(_licence_sql())
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op8_one_bit_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return one_bit_search.nearest(vectors, vectors.where("id % 20 = 0"))
+
+
 @query()
 def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
