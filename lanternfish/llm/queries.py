@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, mixing, one_bit_search, quality_rules, secret_scan, url_filter
+from . import bpe, license_scan, line_dedup, mixing, near_dedup, one_bit_search, quality_rules, secret_scan, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -114,6 +114,11 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY)).drop("ids")
 
 
+@query()
+def op6_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def _licence_sql() -> str:
     known = ", ".join("'" + license_scan.normalised(s) + "'" for s in license_scan.SENTENCES)
     steps = [
