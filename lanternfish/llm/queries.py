@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, mixing, near_dedup, one_bit_search, quality_rules, secret_scan, url_filter
+from . import bpe, license_scan, line_dedup, mixing, near_dedup, one_bit_search, quality_rules, secret_scan, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -107,6 +107,12 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 @query()
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
