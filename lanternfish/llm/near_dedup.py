@@ -8,8 +8,8 @@ longer prefixes, and every class is held against
   prefix and then by hash, so the depth adapts to the region and no task gets a large one.
 
 Candidates whose sizes or signatures rule out the similarity are dropped (the signature bound is five standard
-deviations below the threshold). The most similar candidate of every class is confirmed on the full sets first; after
-that only candidates that would join two components are. A pair at the threshold meets in some region with probability
+deviations below the threshold). The most similar leader of every class is confirmed on the full sets first; after that
+only candidates that would join two components are looked at. A pair at the threshold meets in some region with probability
 1 - (1 - 0.75^3)^24 > 0.999997, more similar pairs more surely.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; documents with equal sets are linked;
@@ -40,7 +40,7 @@ DEPTHS = (3, 4, 6, 9, 14)
 #: Classes in one piece of an order, about.
 PIECE = 500
 #: Neighbours that follow a class in an order and are held against it.
-NEIGHBOURS = 8
+NEIGHBOURS = 24
 
 _FACTS = pa.schema(
     [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.list_(pa.int32()))]
@@ -92,37 +92,51 @@ def _prefix(tree: Column, depth: int) -> Column:
     return F.xxhash64(tree, F.lit(depth), *[F.get("sig", p.cast("int")) for p in places])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes that the forest proposes, each once, a < b; classes: (node, n, sig)."""
+def forest(classes: DataFrame) -> DataFrame:
+    """(node, n, score, crowd, d3, d4, ...): for every order in which a class shares its region, the size of that region
+    and the names of the regions of longer prefixes; classes: (node, n, sig)."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(shingles.TREES - 1)))
     planted = classes.withColumn("tree", tree).select("node", "tree", _prefix(F.col("tree"), DEPTHS[0]).alias("region"))
     # most classes are alone everywhere; only regions of two or more go on
     crowded = planted.groupBy("region").agg(F.count("*").alias("crowd")).where("crowd > 1")
     members = cut_lineage(planted.join(crowded, "region"))
     involved = members.groupBy("node").agg(F.sum("crowd").alias("score"), F.collect_set(F.struct("tree", "crowd")).alias("trees"))
-    rows = cut_lineage(
+    return (
         involved.join(classes, "node")
         .select("node", "n", "score", "sig", F.explode("trees").alias("t"))
         .select("node", "n", "score", "t.crowd", *[_prefix(F.col("t.tree"), d).alias(f"d{d}") for d in DEPTHS])
     )
-    fits = lambda m, n: F.least(m, n) >= SIMILAR * F.greatest(m, n)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
+
+def _fits(m: Column, n: Column) -> Column:
+    return F.least(m, n) >= SIMILAR * F.greatest(m, n)
+
+
+def _pairs(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def led(rows: DataFrame) -> DataFrame:
+    """(a, b): every class with the leaders of its regions, each pair once."""
     regions = rows.select("node", "n", "score", F.explode(F.array(*[f"d{d}" for d in DEPTHS])).alias("region"))
     leaders = regions.groupBy("region").agg(F.max(F.struct("score", "node", "n")).alias("top"), F.count("*").alias("crowd")).where("crowd > 1")
-    led = regions.join(leaders, "region").where((F.col("node") != F.col("top.node")) & fits(F.col("n"), F.col("top.n")))
-    led = led.select(*pair(F.col("node"), F.col("top.node")))
+    pairs = regions.join(leaders, "region").where((F.col("node") != F.col("top.node")) & _fits(F.col("n"), F.col("top.n")))
+    return pairs.select(*_pairs(F.col("node"), F.col("top.node"))).distinct()
+
 
+def neighbours(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): neighbours in an order that are in different components still; roots: (node, root)."""
+    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # large regions are ordered in pieces dealt out by hash, and again in those of a longer prefix
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / PIECE))
     pieces = [F.xxhash64(f"d{d}", salt) for d in (DEPTHS[0], DEPTHS[2])]
-    deep = F.when(F.col("crowd") <= PIECE, F.array(f"d{DEPTHS[0]}")).otherwise(F.array(*pieces))
+    piece = F.explode(F.when(F.col("crowd") <= PIECE, F.array(f"d{DEPTHS[0]}")).otherwise(F.array(*pieces)))
     order = Window.partitionBy("piece").orderBy(*[f"d{d}" for d in DEPTHS], "node")
-    ordered = rows.withColumn("piece", F.explode(deep))
-    following = F.array(*[F.lead(F.struct("node", "n"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    near = ordered.withColumn("following", following).withColumn("next", F.explode("following")).where(F.col("next").isNotNull() & fits(F.col("n"), F.col("next.n")))
-    near = near.select(*pair(F.col("node"), F.col("next.node")))
-    return led.unionByName(near).where("a <> b").distinct()
+    following = F.array(*[F.lead(F.struct("node", "n", "root"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
+    ordered = placed.withColumn("piece", piece).withColumn("following", following)
+    other = lambda x: x.isNotNull() & (x["root"] != F.col("root")) & _fits(F.col("n"), x["n"])
+    near = ordered.select("node", F.explode_outer(F.filter("following", other)).alias("next")).where(F.col("next").isNotNull())
+    return near.select(*_pairs(F.col("node"), F.col("next.node"))).distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -178,18 +192,20 @@ def groups(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text_hash")).alias("one")
     classes = named.groupBy("f1", "f2", "n_shingles").agg(least, F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"))
     classes = cut_lineage(classes.select(F.col("f1").alias("node"), F.col("n_shingles").alias("n"), "one", "id", "sig"))
-    pairs = cut_lineage(_likely(candidates(classes.select("node", "n", "sig")), classes))
+    grown = cut_lineage(forest(classes.select("node", "n", "sig")))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
+    wanted = grown.select("node").distinct().join(classes, "node")
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), "text"
     ).join(wanted.select("one.id", "one.text_hash", "node"), ["id", "text_hash"])
     sets = cut_lineage(texts.select("node", "text").mapInArrow(_sets, "f1 bigint, shingles array<bigint>").dropDuplicates(["f1"]))
 
+    pairs = cut_lineage(_likely(led(grown), classes))
     ends = pairs.select(F.col("a").alias("node"), "alike", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "alike", "a", "b"))
     best = ends.groupBy("node").agg(F.max(F.struct("alike", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     links = cut_lineage(_confirmed(best, sets))
-    more = cut_lineage(_across(pairs, components(links)))
+    roots = components(links)
+    more = _across(pairs, roots).unionByName(_likely(neighbours(grown, roots), classes).select("a", "b")).distinct()
     links = cut_lineage(links.unionByName(_confirmed(more, sets)))
 
     rooted = classes.select("node", "id").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "id")
