@@ -32,11 +32,14 @@ from .shipping import ship
 LEXICON_WORDS = 40_000
 #: Different words that a task counts before it hands its counts on.
 COUNTED_AT_ONCE = 200_000
-#: Words that a worker remembers; when it is full it starts anew.
-REMEMBERED = 250_000
+#: Words that a worker remembers in each of two generations; when the younger is full, the older is dropped.
+REMEMBERED = 300_000
 
 # Fixed value: the pattern of words of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
+NO_MERGE = 1 << 62
+#: One object for each number, so that remembered ids take little memory.
+NUMBERS = list(range(1 << 17))
 WORD = regex.compile(PATTERN)
 #: Characters whose class may differ between Unicode versions: not assigned, or assigned lately.
 UNSURE = regex.compile(r"[\p{Cn}\p{Co}]")
@@ -67,6 +70,7 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merge[ids[a], ids[b]] = rank, ids[a + b]
+        self.packed = {a << 20 | b: rank << 20 | new for (a, b), (rank, new) in self.merge.items()}
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self._path, self._splitter = path, None
 
@@ -89,12 +93,17 @@ class Vocabulary:
         return self._merged_long(ids) if len(ids) > 48 else self._merged_short(ids)
 
     def _merged_short(self, ids: list[int]) -> list[int]:
-        merge = self.merge.get
-        while len(ids) > 1:
-            best = min((m[0], k, m[1]) if (m := merge(pair)) else (1 << 60, k, 0) for k, pair in enumerate(itertools.pairwise(ids)))
-            if best[0] == 1 << 60:
-                break
-            ids[best[1] : best[1] + 2] = [best[2]]
+        get = self.packed.get
+        # for each pair its rank and, below it, the merged id: the least number is the pair to merge
+        ranks = [get(a << 20 | b, NO_MERGE) for a, b in itertools.pairwise(ids)]
+        while ranks and (least := min(ranks)) != NO_MERGE:
+            k = ranks.index(least)
+            ids[k : k + 2] = [least & 0xFFFFF]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 20 | ids[k], NO_MERGE)
+            if k < len(ranks):
+                ranks[k] = get(ids[k] << 20 | ids[k + 1], NO_MERGE)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -207,26 +216,30 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, remembered: int = REMEMBERED):
         self.vocabulary, self.lexicon, self.remembered = vocabulary, lexicon, remembered
         self._memory: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _word(self, word: str) -> tuple[tuple[int, ...], str]:
-        spelled = word.encode()
-        ids = self.lexicon.find(spelled)
-        if ids is None:
-            ids = self.vocabulary.merged(spelled)
-        if len(word) > 64:
-            return tuple(ids), ",".join(map(str, ids))
-        if len(self._memory) >= self.remembered:
-            self._memory.clear()
-        out = self._memory[word] = tuple(ids), ",".join(map(str, ids))
+        out = self._older.get(word)
+        if out is None:
+            spelled = word.encode()
+            ids = self.lexicon.find(spelled)
+            if ids is None:
+                ids = self.vocabulary.merged(spelled)
+            out = tuple(map(NUMBERS.__getitem__, ids)), ",".join(map(str, ids))
+        if len(word) <= 64:
+            if len(self._memory) >= self.remembered:
+                self._memory, self._older = {}, self._memory
+            self._memory[word] = out
         return out
 
     def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        out, get, fresh = [], self._memory.get, self._word
+        out, fresh = [], self._word
         for k, part in enumerate(self.vocabulary.parts(text)):
             if k % 2:
                 i = self.vocabulary.special[part]
                 out.append(((i,), str(i)))
             else:
+                get = self._memory.get
                 out += [get(w) or fresh(w) for w in self.vocabulary.words(part)]
         return out
 
