@@ -135,8 +135,11 @@ def neighbours(rows: DataFrame, roots: DataFrame) -> DataFrame:
     following = F.array(*[F.lead(F.struct("node", "n", "root"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
     ordered = placed.withColumn("piece", piece).withColumn("following", following)
     other = lambda x: x.isNotNull() & (x["root"] != F.col("root")) & _fits(F.col("n"), x["n"])
-    near = ordered.select("node", F.explode_outer(F.filter("following", other)).alias("next")).where(F.col("next").isNotNull())
-    return near.select(*_pairs(F.col("node"), F.col("next.node"))).distinct()
+    # the neighbours of all orders are put together before they become rows: 24 orders of 48 at most for each class
+    found = ordered.select("node", F.transform(F.filter("following", other), lambda x: x["node"]).alias("others"))
+    found = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    near = found.select("node", F.explode_outer("others").alias("next")).where(F.col("next").isNotNull())
+    return near.select(*_pairs(F.col("node"), F.col("next"))).distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
