@@ -96,6 +96,7 @@ def repeated_chunks(docs: DataFrame, cut_bits: int = CUT_BITS, long_line: int =
     members = same.unionByName(apart)
     place = F.struct("id", "text_hash", "k")
     firsts = members.groupBy("g", "id", "text_hash").agg(F.min("k").alias("k")).groupBy("g").agg(F.min(place).alias("first"))
+    firsts = cut_lineage(firsts)  # a join of two plain exchanges can be split where a chunk is everywhere
     lost = members.join(firsts, "g").where(place != F.col("first"))
     return lost.groupBy("id", "text_hash").agg(F.collect_set("k").alias("gone"))
 

@@ -27,7 +27,7 @@ MOST_TIMES = 3
 #: Slots whose ranks are counted in one group.
 CHUNK = 4096
 #: Documents expected in one group of the shuffled order.
-RUN = 2000
+RUN = 400
 
 PHI_FRACTION = (math.sqrt(5) - 1) / 2
 
