@@ -50,7 +50,7 @@ CLASSES = (("hex", "^[0-9A-Fa-f]+$", 3.0), ("lower", "^[a-z0-9]+$", 3.6), ("uppe
 
 #: Candidates that are no secrets.
 ALLOWED = (
-    r"^[-+/_=]*([A-Za-z]+[-+/_=]*)+$",
+    r"^[-A-Za-z+/_=]+$",
     r"^[0-9+/_=-]+$",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"0123456789|(?i:abcdefghij|example|placeholder|xxxxxx)|(.)\1{7}",
