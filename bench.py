@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -51,7 +52,8 @@ def main() -> None:
     spark = build_session(
         f"local[{cpus}]",
         "lanternfish-bench",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     # start the engine once; every query is then timed as it is

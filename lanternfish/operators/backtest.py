@@ -25,6 +25,10 @@ TREES = 100
 SEED = 42
 
 # The richer model must reach this multiple of the kernel's top-3 accuracy.
+# Texts of the gate.
+GATE_CLEARED = "Hybrid scorer cleared the gate with top-3 %.4f vs kernel %.4f and lower log loss %.4f vs %.4f."
+GATE_KEPT = "Kernel seasonal baseline remains primary because the richer scorer did not clear the top-3 and log-loss gate."
+
 GATE = 1.10
 
 
@@ -207,16 +211,11 @@ def model_gate(measured: DataFrame) -> DataFrame:
     )
     wins = (F.col("k3") > 0) & (F.col("h3") >= F.col("k3") * GATE) & (F.col("hl") < F.col("kl"))
     wins = F.coalesce(wins, F.lit(False))
-    cleared = F.format_string(
-        "Hybrid scorer cleared the gate with top-3 %.4f vs kernel %.4f and lower log loss %.4f vs %.4f.", "h3", "k3", "hl", "kl"
-    )
-    kept = (
-        "Kernel seasonal baseline remains primary because the richer scorer did not clear the top-3 and log-loss gate."
-    )
+    cleared = F.format_string(GATE_CLEARED, "h3", "k3", "hl", "kl")
     reason = (
         F.when(F.col("k3").isNull(), F.lit("Cluster evaluation data is unavailable."))
         .when(wins, cleared)
-        .otherwise(F.lit(kept))
+        .otherwise(F.lit(GATE_KEPT))
     )
     eligible = (
         F.when(F.col("k3").isNull(), F.lit(""))

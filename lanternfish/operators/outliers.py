@@ -13,10 +13,8 @@ REFERENCE_WINDOW = 5
 MIN_RATIO = 1.5
 MIN_GAP = 500
 
-# Every popped value is at least 1.5 times the value three places below it, so a group of 64-bit
-# numbers can pop at most 3 * (log1.5(2**63) + 1) < 330 values. The top 400 distinct values
-# therefore always hold all outliers, the highest clean value and its reference window.
-TOP_VALUES = 400
+# Numbers are looked at in value ranges of this width, so no task sees all numbers of a group.
+RANGE_WIDTH = 4096
 
 
 def distinct_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
@@ -24,32 +22,42 @@ def distinct_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
     return rows.where(F.col(number).isNotNull()).select(group, number).distinct()
 
 
-def top_numbers(distinct: DataFrame, group: str, number: str) -> DataFrame:
-    """Top values of each group with the outlier flag.
+def flag_numbers(distinct: DataFrame, group: str, number: str) -> DataFrame:
+    """Every distinct number of each group with the outlier flag.
 
-    Repeatedly popping the top value while it is extreme against the median of the five below
-    equals: everything above the highest value that is not extreme. The median of five sorted
-    values is the third one. ``rank <= TOP_VALUES`` is a group limit, applied before the shuffle.
+    Repeatedly popping the top value while it is extreme against the median of the five below equals: everything above
+    the highest value that is not extreme. The median of five sorted values is the third one. The values below come
+    from the same range of values or, at its lower edge, from the highest five of the next ranges that hold any.
     """
-    order = W.partitionBy(group).orderBy(F.col(number).desc())
-    top = distinct.select(group, number, F.row_number().over(order).alias("rank")).where(
-        F.col("rank") <= TOP_VALUES
+    within = W.partitionBy(group, "range").orderBy(F.col(number).desc())
+    ranked = distinct.select(group, number, F.floor(F.col(number) / RANGE_WIDTH).alias("range")).withColumn("place", F.row_number().over(within))
+    tops = ranked.where(F.col("place") <= REFERENCE_WINDOW).groupBy(group, "range").agg(
+        F.sort_array(F.collect_list(number), asc=False).alias("top")
     )
-    reference = F.lead(number, 3).over(order)
+    downwards = W.partitionBy(group).orderBy(F.col("range").desc())
+    none = F.array().cast(tops.schema["top"].dataType)
+    following = F.flatten(F.array(*[F.coalesce(F.lead("top", k).over(downwards), none) for k in range(1, REFERENCE_WINDOW + 1)]))
+    carried = tops.withColumn("below", F.slice(following, 1, REFERENCE_WINDOW)).drop("top")
+    left = F.count("*").over(W.partitionBy(group, "range")) - F.col("place")
+    inside = ranked.withColumn("left", left)
+    for k in (3, REFERENCE_WINDOW):
+        inside = inside.withColumn(f"lower_{k}", F.lead(number, k).over(within))
+    placed = inside.join(carried, [group, "range"])
+    lower = lambda k: F.coalesce(f"lower_{k}", F.get("below", (k - 1 - F.col("left")).cast("int")))
     extreme = (
-        F.lead(number, REFERENCE_WINDOW).over(order).isNotNull()
-        & (F.col(number) >= reference * MIN_RATIO)
-        & (F.col(number) - reference >= MIN_GAP)
+        lower(REFERENCE_WINDOW).isNotNull()
+        & (F.col(number) >= lower(3) * MIN_RATIO)
+        & (F.col(number) - lower(3) >= MIN_GAP)
     )
-    flagged = top.select(group, number, "rank", F.coalesce(extreme, F.lit(False)).alias("extreme"))
-    first_clean = F.min(F.when(~F.col("extreme"), F.col("rank"))).over(W.partitionBy(group))
-    return flagged.select(group, number, (F.col("rank") < first_clean).alias("is_outlier"))
+    flagged = placed.select(group, number, F.coalesce(extreme, F.lit(False)).alias("extreme"))
+    clean = flagged.where(~F.col("extreme")).groupBy(group).agg(F.max(number).alias("highest_clean"))
+    return flagged.join(clean, group).select(group, number, (F.col(number) > F.col("highest_clean")).alias("is_outlier"))
 
 
 def outlier_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
-    """(group, number) pairs that are extreme; at most a few hundred per group."""
+    """(group, number) pairs that are extreme."""
     distinct = distinct_numbers(rows, group, number)
-    return top_numbers(distinct, group, number).where("is_outlier").select(group, number)
+    return flag_numbers(distinct, group, number).where("is_outlier").select(group, number)
 
 
 def mark_outliers(rows: DataFrame, group: str, number: str, name: str = "is_outlier") -> DataFrame:
@@ -74,13 +82,13 @@ def recovery_by_group(rows: DataFrame, group: str, number: str) -> DataFrame:
     """Per group: distinct clean numbers, highest clean number, recovery rate, number of reports.
 
     One pre-aggregation by (group, number) is the only pass over the reports; it is written out
-    because two branches need it. The outlier branch then sees the top values only.
+    because two branches need it. The outlier branch sees distinct numbers only.
     """
     per_number = cut_lineage(rows.groupBy(group, number).agg(F.count("*").alias("reports")))
     totals = per_number.groupBy(group).agg(
         F.count(number).alias("numbers"), F.sum("reports").cast("bigint").alias("report_count")
     )
-    top = top_numbers(per_number.where(F.col(number).isNotNull()), group, number)
+    top = flag_numbers(per_number.where(F.col(number).isNotNull()), group, number)
     edges = top.groupBy(group).agg(
         F.count(F.when(F.col("is_outlier"), 1)).alias("outliers"),
         F.max(F.when(~F.col("is_outlier"), F.col(number))).alias("hidden"),

@@ -12,6 +12,8 @@ WINDOWS = (7, 14, 30)
 def recent_activity(rows: DataFrame, date: str, targets: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per target date (and key): reports of the last 7, 14 and 30 days; later reports never count.
 
+    A target date without reports in 30 days has zeros. With keys, a key without reports then has no row.
+
     Reports are counted per day first; each day count is then handed to the 31 dates it can
     matter for. No range join, and the work depends on days and keys, not on reports.
     """
@@ -24,4 +26,9 @@ def recent_activity(rows: DataFrame, date: str, targets: DataFrame, keys: list[s
         F.coalesce(F.sum(F.when(F.col("age") <= days, F.col("n"))), F.lit(0)).cast("bigint").alias(f"last_{days}")
         for days in WINDOWS
     ]
-    return spread.join(targets.select("target").distinct(), "target", "left_semi").groupBy("target", *keys).agg(*sums)
+    asked = targets.select("target").where(F.col("target").isNotNull()).distinct()
+    found = spread.join(asked, "target", "left_semi").groupBy("target", *keys).agg(*sums)
+    if keys:
+        return found
+    counts = [F.coalesce(f"last_{days}", F.lit(0)).cast("bigint").alias(f"last_{days}") for days in WINDOWS]
+    return asked.join(found, "target", "left").select("target", *counts)

@@ -564,18 +564,22 @@ def archive_signal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 RECENCY_SUMS = """cast(count(*) filter (t.target - f.date_found <= 7) as bigint) as last_7,
-          cast(count(*) filter (t.target - f.date_found <= 14) as bigint) as last_14, count(*) as last_30"""
+          cast(count(*) filter (t.target - f.date_found <= 14) as bigint) as last_14, count(f.date_found) as last_30"""
 
 
 @query(
     "recent_activity",
-    f"""with {views.FINDS_CORE}, t as (select distinct date_found as target from finds_core)
+    f"""with {views.FINDS_CORE}, t as (
+            select unnest(range(min(date_found)::timestamp, max(date_found)::timestamp + interval 61 day, interval 1 day))::date as target
+            from finds_core)
         select cast(t.target as varchar) as target, {RECENCY_SUMS}
-        from t join finds_core f on f.date_found between t.target - 30 and t.target group by 1""",
+        from t left join finds_core f on f.date_found between t.target - 30 and t.target group by 1""",
 )
 def recent_activity(spark: SparkSession, folder: str) -> DataFrame:
     f = views.finds_core(spark, folder).select("date_found")
-    recent = recency.recent_activity(f, "date_found", f.select(F.col("date_found").alias("target")))
+    # every day from the first report to 60 days after the last one, with or without reports
+    days = f.agg(F.min("date_found").alias("a"), F.date_add(F.max("date_found"), 60).alias("b"))
+    recent = recency.recent_activity(f, "date_found", days.select(F.explode(F.sequence("a", "b")).alias("target")))
     return recent.withColumn("target", F.col("target").cast("string"))
 
 

@@ -40,27 +40,4 @@ DATABASE_OVERRIDES = {
     "location_normalized_override": "location_normalized",
 }
 
-FINDS = T.StructType(
-    [
-        T.StructField("id", T.LongType(), False),
-        T.StructField("year", T.IntegerType()),
-        T.StructField("float_number", T.StringType()),
-        T.StructField("finder", T.StringType()),
-        T.StructField("location_raw", T.StringType()),
-        T.StructField("location_normalized", T.StringType()),
-        T.StructField("date_found", T.StringType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("image_url", T.StringType()),
-        T.StructField("is_valid", T.BooleanType()),
-        T.StructField("validation_errors", T.ArrayType(T.StringType())),
-        T.StructField("confidence_score", T.DoubleType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("source_lastmod", T.StringType()),
-        T.StructField("source_first_seen_at", T.StringType()),
-        T.StructField("source_last_seen_at", T.StringType()),
-        T.StructField("source_fetch_status", T.StringType()),
-        T.StructField("suspicious_flags", T.ArrayType(T.StringType())),
-    ]
-)
-
 UNKNOWN_PLACE = "Other/Unknown"

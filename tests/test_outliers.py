@@ -38,7 +38,7 @@ def test_random_groups(spark):
     assert len(want) > 40 and got == want
 
 
-def test_longest_possible_chain_fits_the_top_values(spark):
+def test_longest_possible_chain(spark):
     values = [1, 2, 3, 4, 5, 6]
     while values[-1] < 2**62:
         values.append(max(values[-1] + 1, int(values[-3] * 1.5) + 600))
@@ -52,3 +52,11 @@ def test_unreported_across_years(spark):
     df = spark.createDataFrame(rows, "year int, number long")
     stats = outliers.recovery_by_group(df, "year", "number").collect()
     assert sum(r["hidden"] - r["found"] for r in stats) == 1
+
+
+def test_many_outliers_and_negative_numbers(spark):
+    values = [-600 * k for k in range(1, 1501)]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, v) for v in (-5, -4, 0, 3, 4096, 4097, 9000)], "year int, number long")
+    got = {(r["year"], r["number"]) for r in outliers.outlier_numbers(df, "year", "number").collect()}
+    want = {(1, v) for v in brute_force(values)} | {(2, v) for v in brute_force([-5, -4, 0, 3, 4096, 4097, 9000])}
+    assert len(want) > 1400 and got == want
