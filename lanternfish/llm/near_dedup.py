@@ -8,8 +8,9 @@ longer prefixes, and every class is held against
   prefix and then by hash, so the depth adapts to the region and no task gets a large one.
 
 Candidates whose sizes or signatures rule out the similarity are dropped (the signature bound is five standard
-deviations below the threshold). The most similar leader of every class is confirmed on the full sets first; after that
-only candidates that would join two components are looked at. A pair at the threshold meets in some region with probability
+deviations below the threshold). The most similar leader of every class is confirmed on the full sets first, then the
+other leaders and the next neighbour of every order, then all neighbours; each time only candidates that would join two
+components are looked at, so members of a group that have met aren't held against each other again. A pair at the threshold meets in some region with probability
 1 - (1 - 0.75^3)^24 > 0.999997, more similar pairs more surely.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; documents with equal sets are linked;
@@ -39,8 +40,9 @@ POSSIBLE = 0.5
 DEPTHS = (3, 4, 6, 9, 14)
 #: Classes in one piece of an order, about.
 PIECE = 500
-#: Neighbours that follow a class in an order and are held against it.
-NEIGHBOURS = 24
+#: Neighbours that follow a class in an order and are held against it: first the next one, which joins most of a large
+#: group, then all that are still in different components.
+NEIGHBOURS = (1, 24)
 
 _FACTS = pa.schema(
     [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.list_(pa.int32()))]
@@ -124,18 +126,19 @@ def led(rows: DataFrame) -> DataFrame:
     return pairs.select(*_pairs(F.col("node"), F.col("top.node"))).distinct()
 
 
-def neighbours(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): neighbours in an order that are in different components still; roots: (node, root)."""
+def neighbours(rows: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
+    """(a, b): classes at most `reach` places apart in an order that are in different components still;
+    roots: (node, root)."""
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # large regions are ordered in pieces dealt out by hash, and again in those of a longer prefix
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / PIECE))
     pieces = [F.xxhash64(f"d{d}", salt) for d in (DEPTHS[0], DEPTHS[2])]
     piece = F.explode(F.when(F.col("crowd") <= PIECE, F.array(f"d{DEPTHS[0]}")).otherwise(F.array(*pieces)))
     order = Window.partitionBy("piece").orderBy(*[f"d{d}" for d in DEPTHS], "node")
-    following = F.array(*[F.lead(F.struct("node", "n", "root"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
+    following = F.array(*[F.lead(F.struct("node", "n", "root"), k).over(order) for k in range(1, reach + 1)])
     ordered = placed.withColumn("piece", piece).withColumn("following", following)
     other = lambda x: x.isNotNull() & (x["root"] != F.col("root")) & _fits(F.col("n"), x["n"])
-    # the neighbours of all orders are put together before they become rows: 24 orders of 48 at most for each class
+    # the neighbours of all orders are put together before they become rows: 24 orders of 2 * reach at most for each class
     found = ordered.select("node", F.transform(F.filter("following", other), lambda x: x["node"]).alias("others"))
     found = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     near = found.select("node", F.explode_outer("others").alias("next")).where(F.col("next").isNotNull())
@@ -208,10 +211,12 @@ def groups(docs: DataFrame) -> DataFrame:
     best = ends.groupBy("node").agg(F.max(F.struct("alike", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     links = cut_lineage(_confirmed(best, sets))
     roots = components(links)
-    more = _across(pairs, roots).unionByName(_likely(neighbours(grown, roots), classes).select("a", "b")).distinct()
-    links = cut_lineage(links.unionByName(_confirmed(more, sets)))
+    for reach in NEIGHBOURS:
+        more = _across(pairs, roots).unionByName(_likely(neighbours(grown, roots, reach), classes).select("a", "b")).distinct()
+        links = cut_lineage(links.unionByName(_confirmed(more, sets)))
+        pairs, roots = pairs.limit(0), components(links)
 
-    rooted = classes.select("node", "id").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "id")
+    rooted = classes.select("node", "id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "id")
     rooted = cut_lineage(rooted)
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = rooted.join(smallest, "root").select(F.col("node").alias("f1"), "component_id")
