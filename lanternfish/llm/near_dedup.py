@@ -45,7 +45,7 @@ PIECE = 500
 NEIGHBOURS = (1, 24)
 
 _FACTS = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.list_(pa.int32()))]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.list_(pa.int32())), ("short", pa.binary())]
 )
 _SETS = pa.schema([("f1", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -69,6 +69,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([p[0] for p in prints], pa.int64()),
             pa.array([p[1] for p in prints], pa.int64()),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(sigs)),
+            pa.array([row.tobytes() for row in sigs.reshape(len(sets), -1).astype(np.uint8)], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, schema=_FACTS)
 
@@ -82,10 +83,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, f1, f2, sig): set size, fingerprint and signature of every row."""
+    """(doc_id, text_hash, n_shingles, f1, f2, sig, short): set size, fingerprint, signature of every row and its low bytes."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_facts, "doc_id bigint, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<int>")
+    return rows.mapInArrow(_facts, "doc_id bigint, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<int>, short binary")
 
 
 def _prefix(tree: Column, depth: int) -> Column:
@@ -126,23 +127,50 @@ def led(rows: DataFrame) -> DataFrame:
     return pairs.select(*_pairs(F.col("node"), F.col("top.node"))).distinct()
 
 
-def neighbours(rows: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
-    """(a, b): classes at most `reach` places apart in an order that are in different components still;
-    roots: (node, root)."""
-    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _met(reach: int):
+    """Task of `neighbours`: rows come sorted by piece and order; the last ones of a batch are held for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            numbers = [batch.column(k).to_numpy() for k in range(4)]
+            shorts = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, shingles.HASHES)
+            now = [*numbers, shorts]
+            if held is not None:
+                now = [np.concatenate(pair) for pair in zip(held, now)]
+            old = len(now[0]) - batch.num_rows
+            piece, node, n, root, short = now
+            found = []
+            for k in range(1, min(reach, len(node) - 1) + 1):
+                i = np.arange(max(old - k, 0), len(node) - k)
+                i = i[(piece[i] == piece[i + k]) & (root[i] != root[i + k])]
+                i = i[np.minimum(n[i], n[i + k]) >= SIMILAR * np.maximum(n[i], n[i + k])]
+                i = i[(short[i] == short[i + k]).sum(axis=1) >= POSSIBLE * shingles.HASHES]
+                found.append(np.stack((np.minimum(node[i], node[i + k]), np.maximum(node[i], node[i + k])), axis=1))
+            held = [x[-reach:] for x in now]
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            ones, starts = np.unique(pairs[:, 0], return_index=True)
+            ends = pa.array(np.append(starts, len(pairs)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ones), pa.ListArray.from_arrays(ends, pa.array(pairs[:, 1]))], ["a", "others"])
+
+    return run
+
+
+def neighbours(rows: DataFrame, classes: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
+    """(a, b): classes at most `reach` places apart in an order that are in different components still and whose sizes and
+    signatures allow a link; classes: (node, short), roots: (node, root)."""
+    known = classes.join(roots, "node", "left").select("node", "short", F.coalesce("root", "node").alias("root"))
     # large regions are ordered in pieces dealt out by hash, and again in those of a longer prefix
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / PIECE))
     pieces = [F.xxhash64(f"d{d}", salt) for d in (DEPTHS[0], DEPTHS[2])]
     piece = F.explode(F.when(F.col("crowd") <= PIECE, F.array(f"d{DEPTHS[0]}")).otherwise(F.array(*pieces)))
-    order = Window.partitionBy("piece").orderBy(*[f"d{d}" for d in DEPTHS], "node")
-    following = F.array(*[F.lead(F.struct("node", "n", "root"), k).over(order) for k in range(1, reach + 1)])
-    ordered = placed.withColumn("piece", piece).withColumn("following", following)
-    other = lambda x: x.isNotNull() & (x["root"] != F.col("root")) & _fits(F.col("n"), x["n"])
-    # the neighbours of all orders are put together before they become rows: 24 orders of 2 * reach at most for each class
-    found = ordered.select("node", F.transform(F.filter("following", other), lambda x: x["node"]).alias("others"))
-    found = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    near = found.select("node", F.explode_outer("others").alias("next")).where(F.col("next").isNotNull())
-    return near.select(*_pairs(F.col("node"), F.col("next"))).distinct()
+    placed = rows.join(known, "node").withColumn("piece", piece)
+    ordered = placed.repartition("piece").sortWithinPartitions("piece", *[f"d{d}" for d in DEPTHS], "node")
+    # signatures are compared where neighbours meet; what all orders found is put together before it becomes rows:
+    # 24 orders of 2 * reach at most for each class
+    found = ordered.select("piece", "node", "n", "root", "short").mapInArrow(_met(reach), "a bigint, others array<bigint>")
+    found = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    return found.select("a", F.explode("others").alias("b"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -196,11 +224,11 @@ def groups(docs: DataFrame) -> DataFrame:
     named = rows.where("n_shingles > 0")
     # one class for equal sets; the text of one of its rows stands for all
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text_hash")).alias("one")
-    classes = named.groupBy("f1", "f2", "n_shingles").agg(least, F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"))
-    classes = cut_lineage(classes.select(F.col("f1").alias("node"), F.col("n_shingles").alias("n"), "one", "id", "sig"))
+    classes = named.groupBy("f1", "f2", "n_shingles").agg(least, F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("short").alias("short"))
+    classes = cut_lineage(classes.select(F.col("f1").alias("node"), F.col("n_shingles").alias("n"), "one", "id", "sig", "short"))
     grown = cut_lineage(forest(classes.select("node", "n", "sig")))
 
-    wanted = grown.select("node").distinct().join(classes, "node")
+    wanted = cut_lineage(grown.select("node").distinct().join(classes, "node").select("node", "one", "short"))
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), "text"
     ).join(wanted.select("one.id", "one.text_hash", "node"), ["id", "text_hash"])
@@ -212,7 +240,7 @@ def groups(docs: DataFrame) -> DataFrame:
     links = cut_lineage(_confirmed(best, sets))
     roots = components(links)
     for reach in NEIGHBOURS:
-        more = _across(pairs, roots).unionByName(_likely(neighbours(grown, roots, reach), classes).select("a", "b")).distinct()
+        more = _across(pairs, roots).unionByName(neighbours(grown, wanted, roots, reach)).distinct()
         links = cut_lineage(links.unionByName(_confirmed(more, sets)))
         pairs, roots = pairs.limit(0), components(links)
 

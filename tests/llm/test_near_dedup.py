@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tables import documents  # noqa: F401
 
 from lanternfish.llm import near_dedup, shingles
@@ -82,3 +85,29 @@ def test_hashes_do_not_depend_on_the_batch():
     together = shingles.shingle_sets(texts)
     for t, s in zip(texts, together):
         assert (shingles.shingle_sets([t])[0] == s).all()
+
+
+def test_neighbours_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(2)
+    n = 90
+    piece, node = np.sort(rng.integers(0, 4, n)), rng.permutation(n)
+    size, root = rng.integers(6, 10, n), rng.integers(0, 60, n)
+    short = rng.integers(0, 2, (n, shingles.HASHES)).astype(np.uint8)
+    columns = [*map(pa.array, (piece, node, size, root)), pa.array([s.tobytes() for s in short], pa.binary())]
+    whole = pa.RecordBatch.from_arrays(columns, ["piece", "node", "n", "root", "short"])
+
+    def pairs(width, reach):
+        parts = (whole.slice(k, width) for k in range(0, n, width))
+        rows = [r for b in near_dedup._met(reach)(parts) for r in b.to_pylist()]
+        return {(r["a"], b) for r in rows for b in r["others"]}
+
+    for reach in (1, 7):
+        wanted = {
+            tuple(sorted((int(node[i]), int(node[j]))))
+            for i in range(n)
+            for j in range(i + 1, min(i + reach + 1, n))
+            if piece[i] == piece[j] and root[i] != root[j] and min(size[i], size[j]) >= 0.75 * max(size[i], size[j])
+            and 2 * (short[i] == short[j]).sum() >= shingles.HASHES
+        }
+        assert wanted and all(pairs(width, reach) == wanted for width in (1, 5, 40, n))
+    assert list(near_dedup._met(3)(iter(()))) == []
