@@ -7,7 +7,7 @@ longer prefixes, and every class is held against
 * its neighbours in the order, those with the longest common prefix. Large regions are ordered piecewise, by a deeper
   prefix and then by hash, so the depth adapts to the region and no task gets a large one.
 
-Candidates whose sizes or signatures rule out the similarity are dropped (the signature bound is five standard
+Candidates whose sizes, signatures or sketches rule out the similarity are dropped (the bounds are five standard
 deviations below the threshold). The most similar leader of every class is confirmed on the full sets first, then the
 other leaders and the next neighbour of every order, then all neighbours; each time only candidates that would join two
 components are looked at, so members of a group that have met aren't held against each other again. A pair at the threshold meets in some region with probability
@@ -69,7 +69,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([p[0] for p in prints], pa.int64()),
             pa.array([p[1] for p in prints], pa.int64()),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(sigs)),
-            pa.array([row.tobytes() for row in sigs.reshape(len(sets), -1).astype(np.uint8)], pa.binary()),
+            pa.array([v.tobytes() + shingles.sketch(s) for v, s in zip(sigs.reshape(len(sets), -1).astype(np.uint8), sets)], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, schema=_FACTS)
 
@@ -83,7 +83,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, f1, f2, sig, short): set size, fingerprint, signature of every row and its low bytes."""
+    """(doc_id, text_hash, n_shingles, f1, f2, sig, short): set size, fingerprint, signature of every row,
+    and the low bytes of the signature with a sketch."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(_facts, "doc_id bigint, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<int>, short binary")
@@ -134,7 +135,7 @@ def _met(reach: int):
         held: list[np.ndarray] | None = None
         for batch in batches:
             numbers = [batch.column(k).to_numpy() for k in range(4)]
-            shorts = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, shingles.HASHES)
+            shorts = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, shingles.HASHES + shingles.BINS)
             now = [*numbers, shorts]
             if held is not None:
                 now = [np.concatenate(pair) for pair in zip(held, now)]
@@ -145,7 +146,8 @@ def _met(reach: int):
                 i = np.arange(max(old - k, 0), len(node) - k)
                 i = i[(piece[i] == piece[i + k]) & (root[i] != root[i + k])]
                 i = i[np.minimum(n[i], n[i + k]) >= SIMILAR * np.maximum(n[i], n[i + k])]
-                i = i[(short[i] == short[i + k]).sum(axis=1) >= POSSIBLE * shingles.HASHES]
+                i = i[(short[i, : shingles.HASHES] == short[i + k, : shingles.HASHES]).sum(axis=1) >= POSSIBLE * shingles.HASHES]
+                i = i[shingles.may_be_similar(short[i, shingles.HASHES :], short[i + k, shingles.HASHES :], n[i] + n[i + k], SIMILAR)]
                 found.append(np.stack((np.minimum(node[i], node[i + k]), np.maximum(node[i], node[i + k])), axis=1))
             held = [x[-reach:] for x in now]
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)

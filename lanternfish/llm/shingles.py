@@ -12,6 +12,8 @@ WIDTH = 5
 #: Orders of the forest and values that a region shares at least.
 TREES, LEAST_DEPTH = 24, 3
 HASHES = TREES * LEAST_DEPTH
+#: Ranges of hash values in a sketch, one byte each.
+BINS = 128
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -83,3 +85,24 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     a = np.bitwise_xor.reduce(_mixed(shingles * _STEP)) if len(shingles) else np.uint64(0)
     b = np.add.reduce(_mixed(shingles + _BASE)) if len(shingles) else np.uint64(0)
     return tuple(int(x) for x in np.array([a, b], np.uint64).view(np.int64))
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """The least hash of each of `BINS` ranges, one byte each from 1 on; 0 for a range without one. Shingles are sorted."""
+    held, first = np.unique((shingles >> np.uint64(57)).astype(np.int64), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[held] = shingles[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similar: float) -> np.ndarray:
+    """Whether sets with these rows of sketches may be as similar as that; sizes: sum of the sizes of both sets.
+
+    The ranges with a value are a sample, without repetition, of the union of both sets; equal values are its part of the
+    intersection. At that similarity fewer of them than five standard deviations below it are not to be expected.
+    """
+    sample = ((x | y) != 0).sum(axis=1)
+    union = np.maximum(sizes / (1 + similar), sample)
+    deviation = np.sqrt(similar * (1 - similar) / sample * (union - sample) / np.maximum(union - 1, 1))
+    # one value more or less, for very small sets
+    return ((x == y) & (x != 0)).sum(axis=1) >= sample * (similar - 5 * deviation) - 1
