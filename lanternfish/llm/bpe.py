@@ -16,11 +16,15 @@ import heapq
 import itertools
 import json
 import mmap
+import re
 import struct
 import tempfile
+import unicodedata
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,11 +42,24 @@ REMEMBERED = 300_000
 # Fixed value: the pattern of words of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 NO_MERGE = 1 << 62
-#: One object for each number, so that remembered ids take little memory.
-NUMBERS = list(range(1 << 17))
 WORD = regex.compile(PATTERN)
 #: Characters whose class may differ between Unicode versions: not assigned, or assigned lately.
 UNSURE = regex.compile(r"[\p{Cn}\p{Co}]")
+#: Most texts have Latin characters only, whose classes are settled; they are split by the same pattern over plain sets.
+LATIN_END = 0x250
+NOT_LATIN = re.compile(rf"[^\x00-{chr(LATIN_END - 1)}]")
+
+
+def latin_word() -> re.Pattern[str]:
+    """The pattern of words for texts without characters from `LATIN_END` on."""
+    known = [chr(c) for c in range(LATIN_END)]
+    letters, numbers = ("".join(c for c in known if unicodedata.category(c)[0] == kind) for kind in "LN")
+    blanks = r"\t-\r \x85\xa0"
+    some = rf" ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+"
+    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)|{some}|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
+LATIN_WORD = latin_word()
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,11 +87,24 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merge[ids[a], ids[b]] = rank, ids[a + b]
+        # all tokens in one row of bytes, to spell ids at once
+        tokens = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
+        self._long = np.array([len(t) for t in tokens], np.int64)
+        self._first = np.cumsum(self._long) - self._long
+        self._spelled = np.frombuffer(b"".join(tokens), np.uint8)
         self.packed = {a << 20 | b: rank << 20 | new for (a, b), (rank, new) in self.merge.items()}
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self._path, self._splitter = path, None
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        long = self._long[ids]
+        ends = np.cumsum(long)
+        places = np.repeat(self._first[ids] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)
+        return self._spelled[places].tobytes()
+
     def words(self, text: str) -> list[str]:
+        if not NOT_LATIN.search(text):
+            return LATIN_WORD.findall(text)
         if UNSURE.search(text):
             if self._splitter is None:
                 from tokenizers import Tokenizer
@@ -199,55 +229,58 @@ class Lexicon:
         self._labels, self._finals = at, at + head[6]
         self.n_states, self.n_words = head[7], head[4] - 1
 
-    def find(self, word: bytes) -> list[int] | None:
+    def find(self, word: bytes) -> bytes | None:
+        """The ids of a word, four bytes each; None for words outside."""
         state, place, find, base = self.root, 0, self._map.find, self._labels
+        first, skips, targets = self.first, self.skips, self.targets
         for k in range(len(word)):
-            edge = find(word[k : k + 1], base + self.first[state], base + self.first[state + 1]) - base
+            edge = find(word[k : k + 1], base + first[state], base + first[state + 1]) - base
             if edge < 0:
                 return None
-            place += self.skips[edge]
-            state = self.targets[edge]
+            place += skips[edge]
+            state = targets[edge]
         if not self._map[self._finals + state]:
             return None
-        return self.ids[self.offsets[place] : self.offsets[place + 1]].tolist()
+        return self.ids[self.offsets[place] : self.offsets[place + 1]].tobytes()
 
 
 class Encoder:
+    """Words are remembered with their ids, as bytes and written in decimals."""
+
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, remembered: int = REMEMBERED):
         self.vocabulary, self.lexicon, self.remembered = vocabulary, lexicon, remembered
-        self._memory: dict[str, tuple[tuple[int, ...], str]] = {}
-        self._older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._memory: dict[str, tuple[bytes, str]] = {}
+        self._older: dict[str, tuple[bytes, str]] = {}
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
+    def _word(self, word: str) -> tuple[bytes, str]:
         out = self._older.get(word)
         if out is None:
             spelled = word.encode()
-            ids = self.lexicon.find(spelled)
-            if ids is None:
-                ids = self.vocabulary.merged(spelled)
-            out = tuple(map(NUMBERS.__getitem__, ids)), ",".join(map(str, ids))
+            packed = self.lexicon.find(spelled)
+            ids = array("i", self.vocabulary.merged(spelled) if packed is None else packed)
+            out = ids.tobytes(), ",".join(map(str, ids))
         if len(word) <= 64:
             if len(self._memory) >= self.remembered:
                 self._memory, self._older = {}, self._memory
             self._memory[word] = out
         return out
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
         out, fresh = [], self._word
         for k, part in enumerate(self.vocabulary.parts(text)):
             if k % 2:
                 i = self.vocabulary.special[part]
-                out.append(((i,), str(i)))
+                out.append((array("i", [i]).tobytes(), str(i)))
             else:
                 get = self._memory.get
                 out += [get(w) or fresh(w) for w in self.vocabulary.words(part)]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(ids for ids, _ in self.pieces(text)))
+        return np.frombuffer(b"".join([p[0] for p in self.pieces(text)]), np.int32).tolist()
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.vocabulary.token.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        return self.vocabulary.spell(np.asarray(ids, np.int32)).decode("utf-8", "replace")
 
 
 # What a Python worker keeps from task to task.
@@ -311,18 +344,21 @@ def encode(docs: DataFrame, path: str, n: int = LEXICON_WORDS) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                rows = []
-                for text in part.column(1):
-                    pieces = encoder.pieces(text.as_py() or "")
-                    ids = list(itertools.chain.from_iterable(p[0] for p in pieces))
-                    digest = hashlib.sha256(",".join(p[1] for p in pieces).encode()).hexdigest()
-                    rows.append((len(ids), pa.array(ids, pa.int32()), digest, hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
+                packed, counts, digests, decoded = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    pieces = encoder.pieces(text or "")
+                    packed.append(b"".join([p[0] for p in pieces]))
+                    ids = np.frombuffer(packed[-1], np.int32)
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+                flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
                 columns = [
                     part.column(0),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.ListArray.from_arrays([0, *itertools.accumulate(r[0] for r in rows)], pa.concat_arrays([r[1] for r in rows])),
-                    pa.array([r[2] for r in rows]),
-                    pa.array([r[3] for r in rows]),
+                    pa.array(counts, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(counts)], pa.int32()), flat),
+                    pa.array(digests),
+                    pa.array(decoded),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 

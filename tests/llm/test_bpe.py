@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 
 import public_tokenizers
 import pytest
@@ -44,13 +45,20 @@ def test_automaton_holds_its_words_and_shares_suffixes():
     words = {(s + e).encode(): [k, len(e)] for k, s in enumerate(stems) for e in ("ation", "ing", "")}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
     assert lexicon.n_words == len(words)
-    assert all(lexicon.find(w) == ids for w, ids in words.items())
+    assert all(lexicon.find(w) == struct.pack("<2i", *ids) for w, ids in words.items())
     assert lexicon.find(b"zzz") is None and lexicon.find(stems[0][:3].encode()) is None and lexicon.find(b"") is None
     plain = {stems[k].encode() for k in range(300)}
     assert lexicon.n_states < sum(map(len, plain)) + 20  # endings are held once
     assert bpe.Lexicon(bpe.compile_lexicon({})).find(b"a") is None
 
 
+def test_latin_texts_are_split_alike():
+    rng = random.Random(6)
+    texts = ["".join(chr(rng.randrange(rng.choice([0x80, 0x100, bpe.LATIN_END]))) for _ in range(60)) for _ in range(2000)]
+    texts += ["".join(rng.choice(" \n'sretdlvm.1²\xa0é") for _ in range(60)) for _ in range(2000)]
+    assert all(bpe.LATIN_WORD.findall(t) == bpe.WORD.findall(t) for t in texts)
+
+
 def test_long_and_short_merges_agree():
     vocabulary = bpe.vocabulary_at(PATH)
     rng = random.Random(9)
