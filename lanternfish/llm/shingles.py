@@ -12,8 +12,8 @@ WIDTH = 5
 #: Orders of the forest and values that a region shares at least.
 TREES, LEAST_DEPTH = 24, 3
 HASHES = TREES * LEAST_DEPTH
-#: Ranges of hash values in a sketch, one byte each.
-BINS = 128
+#: Ranges of hash values in a sketch, one byte each; a power of two.
+BINS = 256
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -89,7 +89,7 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 
 def sketch(shingles: np.ndarray) -> bytes:
     """The least hash of each of `BINS` ranges, one byte each from 1 on; 0 for a range without one. Shingles are sorted."""
-    held, first = np.unique((shingles >> np.uint64(57)).astype(np.int64), return_index=True)
+    held, first = np.unique((shingles >> np.uint64(65 - BINS.bit_length())).astype(np.int64), return_index=True)
     out = np.zeros(BINS, np.uint8)
     out[held] = shingles[first] % np.uint64(255) + np.uint64(1)
     return out.tobytes()
