@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from html.entities import html5
+from json import dumps
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,37 +28,13 @@ MOJIBAKE = {
 # Every character str.split() would treat as white space.
 SPACE_CLASS = "[\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
-# Named entities of titles and places; the ampersand has to come last.
-ENTITIES = {
-    "&quot;": '"',
-    "&apos;": "'",
-    "&#39;": "'",
-    "&#039;": "'",
-    "&#x27;": "'",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&trade;": "™",
-    "&deg;": "°",
-    "&middot;": "·",
-    "&hellip;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&#8211;": "–",
-    "&#8212;": "—",
-    "&#8216;": "‘",
-    "&#8217;": "’",
-    "&#8220;": "“",
-    "&#8221;": "”",
-    "&eacute;": "é",
-    "&amp;": "&",
-}
+# Named entities as HTML defines them; some are also known without a semicolon, the longest such name counts.
+NAMED = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+BARE = {name: value for name, value in html5.items() if not name.endswith(";")}
+COMMON = {name: NAMED[name] for name in ("amp", "quot", "apos", "lt", "gt", "nbsp")}
+# Numbers 128 to 159 mean characters of Windows-1252, where it has one.
+C1 = "".join(map(chr, range(128, 160)))
+C1_MEANING = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
 
 # The four title shapes, tried in this order.
 NUMBER_FIRST = r"(?i)^(?:number\s+)?#?(\d+)(?:\??\s*(?:[-,/:.!]\s*|\s+)(.+))?$"
@@ -102,28 +81,87 @@ def squash_place(c: Column) -> Column:
     return collapse_spaces(F.regexp_replace(F.lower(squash_text(repaired)), r"\s*-\s*", " "))
 
 
-def html_unescape(c: Column) -> Column:
-    """Decode the entities above; ``&amp;`` last, so nothing is decoded twice."""
-    decoded = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), ENTITIES.items(), c)
-    return F.when(c.contains("&"), decoded).otherwise(c)
+def _lookup(table: dict[str, str], name: Column) -> Column:
+    """Value of a name in a fixed table, null for others; the table is one literal."""
+    return F.try_element_at(F.from_json(F.lit(dumps(table)), "map<string,string>"), name)
 
 
-def absolutize_url(c: Column, base: str) -> Column:
-    """Resolve a link against ``base`` (scheme, host and folder); blank stays blank."""
-    scheme, _, rest = base.partition("://")
-    origin = f"{scheme}://{rest.partition('/')[0]}"
-    folder = base if base.endswith("/") else (base.rsplit("/", 1)[0] + "/" if "/" in rest else base + "/")
-    link = F.coalesce(c, F.lit(""))
+def _character(code: Column) -> Column:
+    """Character of a code point; no character for controls and noncharacters, U+FFFD outside of Unicode."""
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    control = (code < 32) & ~code.isin(9, 10, 12, 13) | (code == 127)
+    return (
+        F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(control | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE), F.lit(""))
+        .otherwise(F.translate(char, C1, C1_MEANING))
+    )
+
+
+def _decoded(piece: Column) -> Column:
+    """Text that follows an ampersand, with the entity at its start decoded."""
+    number, name = r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", r"^([^\t\n\f <&#;]{1,32});"
+    bare = f"^({'|'.join(sorted(BARE, key=len, reverse=True))})"
+    hexadecimal = F.conv(F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]{1,7})(?![0-9a-fA-F])", 1), 16, 10)
+    decimal = F.regexp_extract(piece, r"^#0*([0-9]{1,8})(?![0-9])", 1)
+    # zero and what is too long for a code point give the replacement character
+    code = F.coalesce(F.when(piece.rlike("^#[xX]"), hexadecimal).otherwise(decimal).try_cast("long"), F.lit(0))
+    whole = F.regexp_extract(piece, name, 1)
+    known = F.coalesce(_lookup(COMMON, whole), _lookup(NAMED, whole))
     return (
-        F.when(link == "", F.lit(""))
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
-        .when(link.startswith("//"), F.concat(F.lit(scheme + ":"), link))
-        .when(link.startswith("/"), F.concat(F.lit(origin), link))
-        .when(link.rlike(r"^[?#]"), F.concat(F.lit(base), link))
-        .otherwise(F.concat(F.lit(folder), F.regexp_replace(link, r"^(\./)+", "")))
+        F.when(piece.rlike(number), F.concat(_character(code), F.regexp_replace(piece, number, "")))
+        .when((whole != "") & known.isNotNull(), F.concat(known, F.regexp_replace(piece, name, "")))
+        .when(piece.rlike(bare), F.concat(_lookup(BARE, F.regexp_extract(piece, bare, 1)), F.regexp_replace(piece, bare, "")))
+        .otherwise(F.concat(F.lit("&"), piece))
     )
 
 
+def html_unescape(c: Column) -> Column:
+    """Decode numeric and named entities, once and from left to right; what is none stays."""
+
+    def decode(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _decoded)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
+    return let(c, lambda t: F.when(t.contains("&"), let(F.split(t, "&"), decode)).otherwise(t))
+
+
+def _without_dots(path: Column) -> Column:
+    """Path with its `.` and `..` segments resolved; `..` does not leave the root."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        return (
+            F.when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+            .when(segment == ".", kept)
+            .otherwise(F.concat(kept, F.array(segment)))
+        )
+
+    # a last dot segment names a folder
+    segments = F.split(F.regexp_replace(path, r"(^|/)(\.{1,2})$", "$1$2/"), "/")
+    joined = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    resolved = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), resolved).otherwise(path)
+
+
+def absolutize_url(c: Column, base: str) -> Column:
+    """Resolve a link against ``base``, dot segments too; blank stays blank."""
+    at = urlsplit(base)
+    origin, folder = f"{at.scheme}://{at.netloc}", at.path.rpartition("/")[0] + "/"
+
+    def resolve(link: Column) -> Column:
+        path, suffix = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"(?s)[?#].*$", 0)
+        relative = F.concat(F.lit(folder), F.regexp_replace(path, "/{2,}", "/"))
+        return (
+            F.when(link == "", F.lit(""))
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+            .when(link.startswith("//"), F.concat(F.lit(at.scheme + ":"), link))
+            .when(link.startswith("/"), F.concat(F.lit(origin), let(path, _without_dots), suffix))
+            .when(link.rlike(r"^[?#]"), F.concat(F.lit(base), link))
+            .otherwise(F.concat(F.lit(origin), let(relative, _without_dots), suffix))
+        )
+
+    return let(F.coalesce(c, F.lit("")), resolve)
+
+
 def url_record_id(url: Column, pattern: str = r"/event/.+?/(\d+)/?$") -> Column:
     """Digits captured by ``pattern`` in the path of the URL, else blank."""
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))

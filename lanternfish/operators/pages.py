@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import canonicalize_date
-from ..functions.text import collapse_spaces, html_unescape, let, url_record_id
+from ..functions.text import absolutize_url, collapse_spaces, html_unescape, let, url_record_id
 
 # Where the pieces of a page are found.
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 DATA_BEFORE_DATES = r"(?s)var\s+data\s*=\s*(\{.*?\});\s*var\s+dates"
 DATA = r"(?s)var\s+data\s*=\s*(\{.*?\});"
 DATES = r'var\s+dates\s*=\s*"([^"]+)"'
-LINKED_DATA = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+LINKED_DATA = r"""(?is)<script\s(?:[^>]*\s)?type\s*=\s*["']?application/ld\+json["']?(?=[\s/>])[^>]*>(.*?)</script>"""
 DATE_FOUND = r"Date Found:\s*([A-Z][a-z]+ \d{1,2}, \d{4})"
 SEASON = r"\b(20\d{2})\b"
 META_TAG = r"(?is)<meta[^>]*>"
-META_IMAGES = ('property="og:image"', 'name="og:image"', 'property="twitter:image"', 'name="twitter:image"')
+META_IMAGES = (("property", "og:image"), ("name", "og:image"), ("property", "twitter:image"), ("name", "twitter:image"))
 
 # Words that make a sentence a place, and lead-ins to drop.
 PLACE_WORDS = (" near ", " on ", " in ", " under ", " behind ", " at ", " by ", " between ", " off ", " amongst ")
@@ -46,6 +46,22 @@ LINKED = T.ArrayType(
 )
 
 
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag as written, quoted in any way or not at all; blank without it."""
+    value = F.regexp_extract(tag, rf"""(?is)^<(?:[^>]*?[\s"'])?{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute with its entities decoded."""
+    return html_unescape(raw_attribute(tag, name))
+
+
+def of_class(css: str) -> str:
+    """Pattern of a class attribute, within a tag, that holds this class."""
+    return rf"""\sclass\s*=\s*(?:"(?:[^"]*\s)?{css}(?=[\s"])|'(?:[^']*\s)?{css}(?=[\s'])|{css}(?=[\s>]))"""
+
+
 def page_title(html: Column) -> Column:
     return collapse_spaces(html_unescape(F.substring_index(F.regexp_extract(html, TITLE, 1), "|", 1)))
 
@@ -76,12 +92,9 @@ def embedded_data(html: Column) -> Column:
 def linked_data(html: Column) -> Column:
     """All linked-data objects of the page, in order; unparsable scripts are skipped."""
     scripts = F.regexp_extract_all(html, F.lit(LINKED_DATA), F.lit(1))
-    objects = F.flatten(
-        F.filter(F.transform(scripts, lambda s: F.from_json(s, LINKED)), lambda a: a.isNotNull())
-    )
-    return F.filter(
-        objects, lambda o: F.coalesce(o["name"], o["startDate"], o["location"], o["image"]).isNotNull()
-    )
+    valid = F.filter(scripts, lambda t: F.try_parse_json(t).isNotNull() & t.rlike(r"^\s*[\[{]"))
+    objects = F.filter(F.transform(valid, lambda t: F.from_json(t, LINKED)), lambda a: a.isNotNull())
+    return F.filter(F.flatten(objects), lambda o: o.isNotNull())
 
 
 def first_filled(values: Column) -> Column:
@@ -89,21 +102,16 @@ def first_filled(values: Column) -> Column:
 
 
 def meta_image(html: Column) -> Column:
-    """Content of the first filled image tag, in the order of the names above."""
+    """Content of the first tag of a name, if it is filled; names in the order above."""
 
     def find(tags: Column) -> Column:
-        contents = [
-            first_filled(
-                F.transform(
-                    F.filter(tags, lambda t: F.contains(t, F.lit(name))),
-                    lambda t: F.trim(F.regexp_extract(t, r'content="([^"]*)"', 1)),
-                )
-            )
-            for name in META_IMAGES
-        ]
-        return F.coalesce(*[F.nullif(c, F.lit("")) for c in contents], F.lit(""))
+        def content(key: str, name: str) -> Column:
+            tag = F.get(F.filter(tags, lambda t: raw_attribute(t, key) == name), F.lit(0))
+            return F.trim(raw_attribute(tag, "content"))
 
-    return let(F.regexp_extract_all(html, F.lit(META_TAG), F.lit(0)), find)
+        return F.coalesce(*[F.nullif(content(*at), F.lit("")) for at in META_IMAGES], F.lit(""))
+
+    return html_unescape(let(F.regexp_extract_all(html, F.lit(META_TAG), F.lit(0)), find))
 
 
 def page_date(html: Column, linked: Column) -> Column:
@@ -168,22 +176,22 @@ def page_parts(pages: DataFrame, id_pattern: str) -> DataFrame:
     return parsed.select("*", page_date(F.col("html"), F.col("_linked")).alias("_date"))
 
 
-def page_records(pages: DataFrame, id_pattern: str, first_season: int, last_season: int) -> DataFrame:
+def page_records(pages: DataFrame, id_pattern: str, first_season: int, last_season: int, base: str) -> DataFrame:
     """Pages -> record fields plus rejection and warning; rejected pages carry blanks.
 
-    Embedded data comes first, then linked data, then title, meta tags and description.
+    Embedded data comes first, then linked data, then title, meta tags and description. Links are resolved against `base`.
     """
     p = page_parts(pages, id_pattern)
     data, linked = F.col("_data"), F.col("_linked")
     text = {n: F.trim(F.coalesce(data[n], F.lit(""))) for n in EMBEDDED.names if n != "categories"}
     data_id, url_id = text["recid"], F.col("_url_id")
     place_names = F.transform(linked, lambda o: F.coalesce(F.get_json_object(o["location"], "$.name"), F.lit("")))
-    # an image is a string or a list of strings
-    images = F.transform(
-        linked,
-        lambda o: F.when(o["image"].startswith("["), F.coalesce(F.get_json_object(o["image"], "$[0]"), F.lit("")))
-        .otherwise(F.trim(F.coalesce(o["image"], F.lit("")))),
+    # an image is a string or a list of strings; objects don't count
+    listed = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array(F.lit("")))
+    images = F.flatten(
+        F.transform(linked, lambda o: F.when(o["image"].startswith("["), listed(o["image"])).otherwise(F.array(o["image"])))
     )
+    images = F.filter(F.transform(images, lambda c: F.trim(c)), lambda c: ~c.startswith("{"))
 
     def first_of(*choices: Column) -> Column:
         return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices], F.lit(""))
@@ -212,8 +220,8 @@ def page_records(pages: DataFrame, id_pattern: str, first_season: int, last_seas
         "id": F.col("id"),
         "year": year,
         "title": collapse_spaces(html_unescape(F.col("title"))),
-        "url": F.col("url"),
-        "image": F.col("image"),
+        "url": absolutize_url(F.trim("url"), base),
+        "image": absolutize_url(F.col("image"), base),
         "location": collapse_spaces(html_unescape(F.col("location"))),
         "date_found": F.col("date_found"),
     }
@@ -225,36 +233,38 @@ def page_records(pages: DataFrame, id_pattern: str, first_season: int, last_seas
     )
 
 
-def listing_items(pages: DataFrame, year: str = "") -> DataFrame:
-    """Items of listing pages: id, title, link, image, location; one row per item."""
-    opening = r'(?=<[a-z]+[^>]*class="(?:[^"]*\s)?item(?:\s[^"]*)?"[^>]*data-type="events")'
+def listing_items(pages: DataFrame, base: str, year: str = "") -> DataFrame:
+    """Items of listing pages: id, title, link, image, location; one row per item, links resolved against `base`."""
+    events = r"""(?=\s[^>]*\bdata-type\s*=\s*["']?events["'\s>])"""
+    opening = rf"(?is)(?=<[a-z][a-z0-9]*{events}(?=(?:\s[^>]*)?{of_class('item')}))"
     chunks = pages.select("*", F.explode(F.split("html", opening)).alias("_item"))
     head = F.regexp_extract("_item", r"(?s)^(<[^>]*>)", 1)
 
     def inner(css: str) -> Column:
-        found = F.regexp_extract("_item", rf'(?is)<([a-z0-9]+)[^>]*class="(?:[^"]*\s)?{css}(?:\s[^"]*)?"[^>]*>(.*?)</\1>', 2)
+        found = F.regexp_extract("_item", rf"(?is)<([a-z][a-z0-9]*)(?=\s)[^>]*?{of_class(css)}[^>]*>(.*?)</\1>", 2)
         return visible_text(found)
 
-    image = F.coalesce(
-        F.nullif(F.regexp_extract("_item", r'(?is)<img[^>]*\sdata-lazy-src="([^"]*)"', 1), F.lit("")),
-        F.regexp_extract("_item", r'(?is)<img[^>]*\ssrc="([^"]*)"', 1),
-    )
-    items = chunks.where(head.contains('data-type="events"')).select(
+    picture = F.regexp_extract("_item", r"(?is)<img\b[^>]*>", 0)
+    anchor = F.regexp_extract("_item", r"(?is)<a\s(?:[^>]*\s)?href\s*=[^>]*>", 0)
+    image = html_unescape(F.coalesce(F.nullif(raw_attribute(picture, "data-lazy-src"), F.lit("")), raw_attribute(picture, "src")))
+    items = chunks.where(raw_attribute(head, "data-type") == "events").select(
         *[c for c in pages.columns if c != "html"],
-        F.trim(F.regexp_extract(head, r'data-recid="([^"]*)"', 1)).alias("id"),
+        F.trim(raw_attribute(head, "data-recid")).alias("id"),
         F.lit(year).alias("year"),
         inner("title").alias("title"),
-        F.regexp_extract("_item", r'(?is)<a[^>]*\shref="([^"]*)"', 1).alias("link"),
-        image.alias("image"),
+        absolutize_url(F.trim(attribute(anchor, "href")), base).alias("link"),
+        absolutize_url(F.trim(image), base).alias("image"),
         inner("locations").alias("location"),
     )
     return items.where("id <> ''")
 
 
 def next_skip(html: Column) -> Column:
-    """Offset of the next listing page, null on the last one."""
-    pager = F.regexp_extract(html, r'(?is)<a[^>]*class="(?:[^"]*\s)?nxt(?:\s[^"]*)?"[^>]*>', 0)
-    return F.regexp_extract(pager, r"[?&](?:amp;)?skip=(\d+)", 1).try_cast("int")
+    """Offset that the link of the pager to the next listing page has, null on the last one."""
+    pager = rf"(?is)<[a-z][a-z0-9]*(?=\s)[^>]*?{of_class('pager')}.*?(<a(?=\s)[^>]*?{of_class('nxt')}[^>]*>)"
+    forward = F.regexp_extract(html, rf"(?is)<a(?=\s[^>]*\bhref\s*=)[^>]*?{of_class('nxt')}[^>]*>", 0)
+    link = attribute(F.when(html.rlike(pager), forward).otherwise(F.lit("")), "href")
+    return F.regexp_extract(link, r"[?&]skip=(\d+)", 1).try_cast("int")
 
 
 def link_items(pages: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import pages
 from . import views
 from .registry import query, table
-from .scalars import SPACES_SQL, nested_replace
+from .scalars import BASE_URL, ENTITIES, SPACES_SQL, nested_replace
 
 ID_PATTERN = r"/event/.+?/(\d+)/?$"
 FIRST_SEASON, LAST_SEASON = 2006, 2010
@@ -18,7 +18,7 @@ FIRST_SEASON, LAST_SEASON = 2006, 2010
 @query(
     "page_title",
     f"""select page_id, trim(regexp_replace({nested_replace("split_part(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '|', 1)",
-        text.ENTITIES)}, '{SPACES_SQL}', ' ', 'g')) as title from pages""",
+        ENTITIES)}, '{SPACES_SQL}', ' ', 'g')) as title from pages""",
 )
 def page_title(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"))
@@ -76,9 +76,9 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("<html><head><title>"),
         title,
         F.lit(" | Archive</title>"),
-        F.when(shape == 5, '<meta property="og:image" content="https://img.example.org/meta.jpg">').otherwise(""),
+        F.when(shape == 5, "<meta content='../list/./meta.jpg?a=1&amp;b=2' property=og:image>").otherwise(""),
         F.when(
-            shape.isin(0, 1, 2, 4), F.concat(F.lit('<script type="application/ld+json">'), linked, F.lit("</script>"))
+            shape.isin(0, 1, 2, 4), F.concat(F.when(shape == 4, "<script async type='application/ld+json'>").otherwise('<script type="application/ld+json">'), linked, F.lit("</script>"))
         ).otherwise(""),
         F.lit("</head><body>"),
         F.when(shape != 1, F.concat(F.lit("<script>var data = "), data, F.lit(";"))).otherwise("<script>"),
@@ -104,7 +104,7 @@ judged as (select *, shape not in (1, 2) and rec_year <> '' as ok from resolved)
     "page_record",
     f"""with {PARTS} select id as report_id, case when ok then id::varchar else '' end as id, case when ok then rec_year else '' end as year,
         case when ok then title else '' end as title, case when ok then 'https://archive.example.org/event/a-find/' || id || '/' else '' end as url,
-        case when ok and shape = 0 then 'https://img.example.org/embedded.jpg' when ok and shape = 5 then 'https://img.example.org/meta.jpg' else '' end as image,
+        case when ok and shape = 0 then 'https://img.example.org/embedded.jpg' when ok and shape = 5 then 'https://archive.example.org/reports/list/meta.jpg?a=1&b=2' else '' end as image,
         case when not ok then '' when shape = 3 then 'We found it under a tree in ' || place else place || ' & around' end as location,
         case when ok then date_found else '' end as date_found,
         case when ok then '' when shape = 2 then 'parse_error' when shape = 1 then 'non_float_event' else 'implausible_season_year' end as rejection,
@@ -114,7 +114,7 @@ judged as (select *, shape not in (1, 2) and rec_year <> '' as ok from resolved)
 )
 def page_record(spark: SparkSession, folder: str) -> DataFrame:
     return pages.page_records(
-        detail_pages(spark, folder).select("report_id", "url", "html"), ID_PATTERN, FIRST_SEASON, LAST_SEASON
+        detail_pages(spark, folder).select("report_id", "url", "html"), ID_PATTERN, FIRST_SEASON, LAST_SEASON, BASE_URL
     ).drop("html")
 
 
@@ -183,7 +183,7 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
     f = views.finds(spark, folder)
     key = F.col("id").cast("string")
     item = F.concat(
-        F.lit('<div class="big item" data-type="events" data-recid="'),
+        F.lit("<div data-type=events class='big item' data-recid=\""),
         key,
         F.lit('"><a href="/event/a-find/'),
         key,
@@ -197,19 +197,20 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.col("place"),
         F.lit("</ul></div>"),
     )
-    html = F.concat(F.lit('<html><div class="item ad">x</div>'), item, F.lit('<a class="nxt" href="/list?a=1&amp;skip=24">more</a></html>'))
+    skip = (F.col("id") % 40 * 24).cast("string")
+    html = F.concat(F.lit('<html><div class="item ad">x</div>'), item, F.lit('<div class="pager"><a href="/list?a=1&amp;skip='), skip, F.lit('" class=nxt>more</a></div></html>'))
     return f.select(F.col("id").alias("page"), html.alias("html"))
 
 
 @query(
     "listing_items",
-    f"""with {views.FINDS} select id as page, id::varchar as id, '1999' as year, number || ' & ' || finder as title, '/event/a-find/' || id || '/' as link,
+    f"""with {views.FINDS} select id as page, id::varchar as id, '1999' as year, number || ' & ' || finder as title, 'https://archive.example.org/event/a-find/' || id || '/' as link,
         'https://img.example.org/' || id || '.jpg' as image, place as location from finds""",
 )
 def listing_items(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.listing_items(listing_pages(spark, folder), "1999")
+    return pages.listing_items(listing_pages(spark, folder), BASE_URL, "1999")
 
 
-@query("listing_next_skip", f"with {views.FINDS} select id as page, 24 as next_skip from finds")
+@query("listing_next_skip", f"with {views.FINDS} select id as page, (id % 40 * 24)::integer as next_skip from finds")
 def listing_next_skip(spark: SparkSession, folder: str) -> DataFrame:
     return listing_pages(spark, folder).select("page", pages.next_skip(F.col("html")).alias("next_skip"))

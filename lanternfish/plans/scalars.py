@@ -24,6 +24,12 @@ def nested_replace(column: str, pairs: dict[str, str]) -> str:
 
 # ---------------------------------------------------------------- text
 
+# entities that occur in the given pages, some of them cut off; the ampersand comes last, so that nothing is decoded twice
+ENTITIES = {
+    "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&copy;": "©",
+    "&middot;": "·", "&amp;": "&", "&amp": "&",
+}
+
 ASCII = {**{c: "-" for c in text.DASHES}, "‘": "'", "’": "'", "“": '"', "”": '"', "…": "..."}
 SQUASH_SQL = f"trim(regexp_replace({nested_replace('text', ASCII)}, '{SPACES_SQL}', ' ', 'g'))"
 PLACE_SQL = (
@@ -50,8 +56,8 @@ def squash_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "html_unescape",
-    f"""select page_id, md5({nested_replace('html', text.ENTITIES)}) as unescaped,
-               length({nested_replace('html', text.ENTITIES)}) as unescaped_length from pages""",
+    f"""select page_id, md5({nested_replace('html', ENTITIES)}) as unescaped,
+               length({nested_replace('html', ENTITIES)}) as unescaped_length from pages""",
 )
 def html_unescape(spark: SparkSession, folder: str) -> DataFrame:
     decoded = text.html_unescape(F.col("html"))

@@ -12,7 +12,7 @@ EMBEDDED = (
 
 def parse(spark, html, key=5741):
     df = spark.createDataFrame([(URL.format(key), html)], "url string, html string")
-    return pages.page_records(df, r"/event/.+?/(\d+)/?$", 2010, 2027).first()
+    return pages.page_records(df, r"/event/.+?/(\d+)/?$", 2010, 2027, "https://h.org/list/").first()
 
 
 def test_embedded(spark):
@@ -77,9 +77,9 @@ def test_listing(spark):
         '<div class="pager"><a class="nxt" href="?x=1&amp;skip=24">next</a></div>'
     )
     df = spark.createDataFrame([(html,)], "html string")
-    got = [tuple(r) for r in pages.listing_items(df, "2026").orderBy("id").collect()]
+    got = [tuple(r) for r in pages.listing_items(df, "https://h.org/list/", "2026").orderBy("id").collect()]
     assert got == [
-        ("6000", "2026", "120 Kai", "/event/b/6000/", "", ""),
-        ("6001", "2026", "321 - Avery P.", "/event/a/6001/", "r.jpg", "Clay Head"),
+        ("6000", "2026", "120 Kai", "https://h.org/event/b/6000/", "", ""),
+        ("6001", "2026", "321 - Avery P.", "https://h.org/event/a/6001/", "https://h.org/list/r.jpg", "Clay Head"),
     ]
     assert df.select(pages.next_skip(F.col("html"))).first()[0] == 24

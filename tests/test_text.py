@@ -1,3 +1,6 @@
+import html
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +53,20 @@ def test_squash(column):
     assert column(text.squash_place, ["Rod’s  HILL - Top", "Bobâ€™s Beach"]) == ["rod's hill top", "bob's beach"]
 
 
+def test_unescape_as_html_defines(column):
+    texts = [
+        "&egrave; &#233; &#8230; &#x2019; &pound;", "&#X1F600;&#128512", "&#128; &#150;", "&#0; &#xD800; &#1114112; &#99999999999;", "&#1;x&#127;y",
+        "&notin; &notit; &amp &ampx &unknown; & &; &# &#x; &&lt;", "a&amp;#39;b", "", "&NotEqualTilde;", "&#0000000000065;",
+    ]
+    assert column(text.html_unescape, texts) == [html.unescape(t) for t in texts]
+
+
+@pytest.mark.parametrize("base", ["https://h.org/list/all/", "https://h.org/list/page", "https://h.org/"])
+def test_links_are_resolved_as_urls_are(column, base):
+    links = ["../c", "/x/../y", "c/./d", "..", ".", "./", "../../../e", "a//b/../c?x=../y", "/a/b/..", "d#../e", "f.g/..h", "?q=1"]
+    assert column(lambda c: text.absolutize_url(c, base), links) == [urljoin(base, x) for x in links]
+
+
 def test_unescape_decodes_once(column):
     assert column(text.html_unescape, ["a &amp;lt; b", "&quot;x&quot; &amp;amp; y", "R&#39;s"]) == ["a &lt; b", '"x" &amp; y', "R's"]
 
