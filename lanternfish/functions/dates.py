@@ -100,9 +100,9 @@ def month_of_text(c: Column) -> Column:
     return let(strip_ordinals(F.trim(F.coalesce(c, F.lit("")))), month)
 
 
-def local_timestamp_text(ts: Column, zone: str = "America/New_York") -> Column:
-    """UTC instant -> "Jan 4, 2024 at 7:05 PM EST" in the display zone."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
+def local_timestamp_text(ts: Column) -> Column:
+    """UTC instant -> "Jan 4, 2024 at 7:05 PM EST": local time of New York, the only zone whose names are known here."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), ts.cast("timestamp_ntz"))
     # a wall-clock value has no zone name; it follows from the offset against UTC
     offset = F.timestamp_diff("HOUR", ts.cast("timestamp_ntz"), local)
     name = F.when(offset == -4, F.lit("EDT")).otherwise(F.lit("EST"))
