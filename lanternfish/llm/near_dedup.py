@@ -4,8 +4,9 @@ Documents with equal shingle sets form one class. The signature of a class is re
 the same values; classes that share the first `LEAST_DEPTH` values of an order lie in one region. A region is divided by
 longer prefixes, and every class is held against
 * the leader of its region at each depth, the class that shares regions with most others, and
-* its neighbours in the order, those with the longest common prefix. Large regions are ordered piecewise, by a deeper
-  prefix and then by hash, so the depth adapts to the region and no task gets a large one.
+* its neighbours in the order, those with the longest common prefix. Large regions are ordered piecewise: by the
+  shallowest longer prefix that few enough classes share, and again dealt out by a hash of its own for every order, so
+  the depth adapts to the class and no task gets a large region.
 
 Candidates whose sizes, signatures or sketches rule out the similarity are dropped (the bounds are five standard
 deviations below the threshold). The most similar leader of every class is confirmed on the full sets first, then the
@@ -97,19 +98,35 @@ def _prefix(tree: Column, depth: int) -> Column:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(node, n, score, crowd, d3, d4, ...): for every order in which a class shares its region, the size of that region
-    and the names of the regions of longer prefixes; classes: (node, n, sig)."""
+    """(node, n, score, crowd, d3, d4, ..., pieces): for every order in which a class shares its region, the size of that
+    region, the names of the regions of longer prefixes and the pieces in which it is ordered; classes: (node, n, sig)."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(shingles.TREES - 1)))
     planted = classes.withColumn("tree", tree).select("node", "tree", _prefix(F.col("tree"), DEPTHS[0]).alias("region"))
     # most classes are alone everywhere; only regions of two or more go on
     crowded = planted.groupBy("region").agg(F.count("*").alias("crowd")).where("crowd > 1")
     members = cut_lineage(planted.join(crowded, "region"))
     involved = members.groupBy("node").agg(F.sum("crowd").alias("score"), F.collect_set(F.struct("tree", "crowd")).alias("trees"))
-    return (
+    grown = (
         involved.join(classes, "node")
         .select("node", "n", "score", "sig", F.explode("trees").alias("t"))
         .select("node", "n", "score", "t.crowd", *[_prefix(F.col("t.tree"), d).alias(f"d{d}") for d in DEPTHS])
     )
+    return _with_pieces(cut_lineage(grown))
+
+
+def _with_pieces(rows: DataFrame) -> DataFrame:
+    """Add `pieces`: the region itself up to PIECE classes. In a larger one a class is dealt out by hash, and it lies whole
+    with all that share its shallowest longer prefix of at most PIECE classes, or is dealt out at the deepest prefix."""
+    deeper = DEPTHS[1:]
+    inner = rows.where(F.col("crowd") > PIECE).select(F.explode(F.array(*[f"d{d}" for d in deeper])).alias("region"))
+    large = cut_lineage(inner.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > PIECE))
+    dealt = lambda region, size: F.xxhash64(region, F.pmod(F.xxhash64("node", region), F.ceil(size / PIECE)))
+    for d in deeper:
+        rows = rows.join(large.select(F.col("region").alias(f"d{d}"), F.col("size").alias(f"size{d}")), f"d{d}", "left")
+    whole = [F.when(F.col(f"size{d}").isNull(), F.col(f"d{d}")) for d in deeper]
+    deep = F.coalesce(*whole, dealt(f"d{deeper[-1]}", F.col(f"size{deeper[-1]}")))
+    pieces = F.when(F.col("crowd") <= PIECE, F.array(f"d{DEPTHS[0]}")).otherwise(F.array(dealt(f"d{DEPTHS[0]}", F.col("crowd")), deep))
+    return rows.select("node", "n", "score", "crowd", *[f"d{d}" for d in DEPTHS], pieces.alias("pieces"))
 
 
 def _fits(m: Column, n: Column) -> Column:
@@ -162,11 +179,7 @@ def neighbours(rows: DataFrame, classes: DataFrame, roots: DataFrame, reach: int
     """(a, b): classes at most `reach` places apart in an order that are in different components still and whose sizes and
     signatures allow a link; classes: (node, short), roots: (node, root)."""
     known = classes.join(roots, "node", "left").select("node", "short", F.coalesce("root", "node").alias("root"))
-    # large regions are ordered in pieces dealt out by hash, and again in those of a longer prefix
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / PIECE))
-    pieces = [F.xxhash64(f"d{d}", salt) for d in (DEPTHS[0], DEPTHS[2])]
-    piece = F.explode(F.when(F.col("crowd") <= PIECE, F.array(f"d{DEPTHS[0]}")).otherwise(F.array(*pieces)))
-    placed = rows.join(known, "node").withColumn("piece", piece)
+    placed = rows.join(known, "node").withColumn("piece", F.explode("pieces"))
     ordered = placed.repartition("piece").sortWithinPartitions("piece", *[f"d{d}" for d in DEPTHS], "node")
     # signatures are compared where neighbours meet; what all orders found is put together before it becomes rows:
     # 24 orders of 2 * reach at most for each class

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tables import documents  # noqa: F401
 
@@ -131,3 +132,20 @@ def test_sketches_never_rule_out_similar_sets():
             half = [np.frombuffer(shingles.sketch(np.sort(values[a])), np.uint8)[None] for a in (slice(0, n), slice(n // 3, n + n // 3))]
             far += n >= 30 and not shingles.may_be_similar(*half, np.array([2 * n]), 0.75)[0]
     assert far > 0.5 * 5 * 150
+
+
+def test_texts_with_a_deep_common_prefix_meet_in_large_regions(spark):
+    rng = np.random.default_rng(8)
+    crowd, pairs = 3000, 30
+    sigs = rng.integers(0, 1 << 31, (crowd, shingles.HASHES))
+    sigs[:, : shingles.LEAST_DEPTH] = 7  # one region of all classes, in the first order
+    places = rng.permutation(crowd)[: 2 * pairs].reshape(pairs, 2)
+    for i, j in places:
+        sigs[j, :6] = sigs[i, :6]
+    rows = [(k, 100, [int(x) for x in v]) for k, v in enumerate(sigs)]
+    grown = near_dedup.forest(spark.createDataFrame(rows, "node bigint, n bigint, sig array<int>")).where(f"crowd > {near_dedup.PIECE}")
+    short = bytes(shingles.HASHES) + b"\1" * shingles.BINS
+    known = grown.selectExpr("node").distinct().withColumn("short", F.lit(short))
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    found = {(r["a"], r["b"]) for r in near_dedup.neighbours(grown, known, roots, near_dedup.NEIGHBOURS[-1]).collect()}
+    assert {tuple(sorted(map(int, p))) for p in places} <= found
