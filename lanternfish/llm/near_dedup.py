@@ -4,15 +4,16 @@ Documents with equal shingle sets form one class. The signature of a class is re
 the same values; classes that share the first `LEAST_DEPTH` values of an order lie in one region. A region is divided by
 longer prefixes, and every class is held against
 * the leader of its region at each depth, the class that shares regions with most others, and
-* its neighbours in the order, those with the longest common prefix. Large regions are ordered piecewise: by the
-  shallowest longer prefix that few enough classes share, and again dealt out by a hash of its own for every order, so
-  the depth adapts to the class and no task gets a large region.
+* its neighbours in the order, those with the longest common prefix. Large regions are ordered piecewise, by the
+  shallowest longer prefix that few enough classes share, so the depth adapts to the class and no task gets a large one.
 
 Candidates whose sizes, signatures or sketches rule out the similarity are dropped (the bounds are five standard
 deviations below the threshold). The most similar leader of every class is confirmed on the full sets first, then the
 other leaders and the next neighbour of every order, then all neighbours; each time only candidates that would join two
-components are looked at, so members of a group that have met aren't held against each other again. A pair at the threshold meets in some region with probability
-1 - (1 - 0.75^3)^24 > 0.999997, more similar pairs more surely.
+components are looked at, so members of a group that have met aren't held against each other again. Last, in regions
+that are larger than the reach of the neighbours and have several components still, every pair across components is
+examined, on the full sets and in place, so that no candidate becomes a row. A pair at the threshold meets in some region
+with probability 1 - (1 - 0.75^3)^24 > 0.999997, more similar pairs more surely.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; documents with equal sets are linked;
 rows with the same doc_id are judged by their own texts; a null doc_id doesn't count as the smallest of a component and
@@ -98,8 +99,8 @@ def _prefix(tree: Column, depth: int) -> Column:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(node, n, score, crowd, d3, d4, ..., pieces): for every order in which a class shares its region, the size of that
-    region, the names of the regions of longer prefixes and the pieces in which it is ordered; classes: (node, n, sig)."""
+    """(node, n, score, crowd, d3, d4, ..., piece): for every order in which a class shares its region, the size of that
+    region, the names of the regions of longer prefixes and the piece in which it is ordered; classes: (node, n, sig)."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(shingles.TREES - 1)))
     planted = classes.withColumn("tree", tree).select("node", "tree", _prefix(F.col("tree"), DEPTHS[0]).alias("region"))
     # most classes are alone everywhere; only regions of two or more go on
@@ -111,22 +112,22 @@ def forest(classes: DataFrame) -> DataFrame:
         .select("node", "n", "score", "sig", F.explode("trees").alias("t"))
         .select("node", "n", "score", "t.crowd", *[_prefix(F.col("t.tree"), d).alias(f"d{d}") for d in DEPTHS])
     )
-    return _with_pieces(cut_lineage(grown))
+    return _with_piece(cut_lineage(grown))
 
 
-def _with_pieces(rows: DataFrame) -> DataFrame:
-    """Add `pieces`: the region itself up to PIECE classes. In a larger one a class is dealt out by hash, and it lies whole
-    with all that share its shallowest longer prefix of at most PIECE classes, or is dealt out at the deepest prefix."""
+def _with_piece(rows: DataFrame) -> DataFrame:
+    """Add `piece`: the region itself up to PIECE classes. In a larger one a class lies with all that share its shallowest
+    longer prefix of at most PIECE classes; classes of deepest prefixes that are larger still are dealt out by hash."""
     deeper = DEPTHS[1:]
     inner = rows.where(F.col("crowd") > PIECE).select(F.explode(F.array(*[f"d{d}" for d in deeper])).alias("region"))
     large = cut_lineage(inner.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > PIECE))
-    dealt = lambda region, size: F.xxhash64(region, F.pmod(F.xxhash64("node", region), F.ceil(size / PIECE)))
     for d in deeper:
         rows = rows.join(large.select(F.col("region").alias(f"d{d}"), F.col("size").alias(f"size{d}")), f"d{d}", "left")
     whole = [F.when(F.col(f"size{d}").isNull(), F.col(f"d{d}")) for d in deeper]
-    deep = F.coalesce(*whole, dealt(f"d{deeper[-1]}", F.col(f"size{deeper[-1]}")))
-    pieces = F.when(F.col("crowd") <= PIECE, F.array(f"d{DEPTHS[0]}")).otherwise(F.array(dealt(f"d{DEPTHS[0]}", F.col("crowd")), deep))
-    return rows.select("node", "n", "score", "crowd", *[f"d{d}" for d in DEPTHS], pieces.alias("pieces"))
+    last = f"d{deeper[-1]}"
+    dealt = F.xxhash64(last, F.pmod(F.xxhash64("node", last), F.ceil(F.col(f"size{deeper[-1]}") / PIECE)))
+    piece = F.when(F.col("crowd") <= PIECE, F.col(f"d{DEPTHS[0]}")).otherwise(F.coalesce(*whole, dealt))
+    return rows.select("node", "n", "score", "crowd", *[f"d{d}" for d in DEPTHS], piece.alias("piece"))
 
 
 def _fits(m: Column, n: Column) -> Column:
@@ -179,7 +180,7 @@ def neighbours(rows: DataFrame, classes: DataFrame, roots: DataFrame, reach: int
     """(a, b): classes at most `reach` places apart in an order that are in different components still and whose sizes and
     signatures allow a link; classes: (node, short), roots: (node, root)."""
     known = classes.join(roots, "node", "left").select("node", "short", F.coalesce("root", "node").alias("root"))
-    placed = rows.join(known, "node").withColumn("piece", F.explode("pieces"))
+    placed = rows.join(known, "node")
     ordered = placed.repartition("piece").sortWithinPartitions("piece", *[f"d{d}" for d in DEPTHS], "node")
     # signatures are compared where neighbours meet; what all orders found is put together before it becomes rows:
     # 24 orders of 2 * reach at most for each class
@@ -233,6 +234,68 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
+def _open_pairs(rows: pa.Table) -> pa.Table:
+    """Task of `rest`: links of the classes of a block outside the main component with those of another block. Of links
+    between two components one is enough."""
+    number = lambda name: rows[name].to_numpy()
+    node, n, root, region, outer, block = map(number, ("node", "n", "root", "d3", "outer", "block"))
+    root = root.copy()
+    regions = np.stack(rows["regions"].to_numpy())
+    short = np.frombuffer(b"".join(rows["short"].to_pylist()), np.uint8).reshape(-1, shingles.HASHES + shingles.BINS)
+    sets = rows["shingles"].to_numpy()
+    firsts, others = np.flatnonzero(block), np.flatnonzero(~block)
+    ids, starts, links = None, None, []
+    for a in firsts:
+        # a pair of two outer classes comes twice; a pair that shares an earlier region is examined there
+        c = others[(root[others] != root[a]) & ~(outer[others] & (node[others] <= node[a]))]
+        c = c[np.minimum(n[c], n[a]) >= SIMILAR * np.maximum(n[c], n[a])]
+        shared = regions[c] == regions[a]
+        c = c[regions[a][shared.argmax(axis=1)] == region[a]] if len(c) else c
+        c = c[(short[c, : shingles.HASHES] == short[a, : shingles.HASHES]).sum(axis=1) >= POSSIBLE * shingles.HASHES]
+        c = c[shingles.may_be_similar(short[c, shingles.HASHES :], short[a, shingles.HASHES :], n[c] + n[a], SIMILAR)]
+        if len(c) and ids is None:
+            starts = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            marked = np.zeros(len(ids) + 1, bool)
+        while len(c):
+            some, c = c[:32], c[32:]
+            mine = ids[starts[a] : starts[a + 1]]
+            marked[mine] = True
+            common = np.array([marked[ids[starts[b] : starts[b + 1]]].sum() for b in some])
+            marked[mine] = False
+            for b in some[100 * common >= 75 * (n[some] + n[a] - common)]:
+                if root[b] != root[a]:
+                    links.append((min(node[a], node[b]), max(node[a], node[b])))
+                    root[root == root[b]] = root[a]
+            c = c[root[c] != root[a]]
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def rest(rows: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links between components in regions whose classes the neighbours of the last round did not all reach;
+    classes: (node, short, regions), the last being the names of the regions in all orders."""
+    members = rows.where(F.col("crowd") > NEIGHBOURS[-1] + 1).select("node", "n", "d3")
+    members = cut_lineage(members.join(roots, "node", "left").select("node", "n", "d3", F.coalesce("root", "node").alias("root")))
+    parts = members.groupBy("d3", "root").agg(F.count("*").alias("size"))
+    regions = parts.groupBy("d3").agg(F.sum("size").alias("crowd"), F.max(F.struct("size", "root")).alias("main"))
+    still = regions.where("crowd > main.size").select(
+        "d3", F.col("main.root").alias("main"), F.ceil((F.col("crowd") - F.col("main.size")) / PIECE).alias("blocks"), F.ceil(F.col("crowd") / PIECE).alias("parts")
+    )
+    unmet = members.join(cut_lineage(still), "d3").withColumn("outer", F.col("root") != F.col("main"))
+    # every block of classes outside the main component meets every part of the region, in a task of its own
+    dealt = lambda k, n: F.pmod(F.xxhash64("node", "d3", F.lit(k)), F.col(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    part = F.transform(upto("blocks"), lambda i: F.struct(F.lit(False).alias("block"), i.alias("i"), dealt(1, "parts").alias("j")))
+    block = F.transform(upto("parts"), lambda j: F.struct(F.lit(True).alias("block"), dealt(0, "blocks").alias("i"), j.alias("j")))
+    places = F.explode(F.when(F.col("outer"), F.concat(part, block)).otherwise(part))
+    dealt_out = unmet.select("node", "n", "root", "d3", "outer", places.alias("p")).select(
+        "node", "n", "root", "d3", "outer", "p.block", F.xxhash64("d3", "p.i", "p.j").alias("piece")
+    )
+    full = dealt_out.join(classes, "node").join(sets.withColumnRenamed("f1", "node"), "node")
+    return full.groupBy("piece").applyInArrow(_open_pairs, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept): one row per row of docs."""
     rows = cut_lineage(facts(docs))
@@ -243,7 +306,8 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = cut_lineage(classes.select(F.col("f1").alias("node"), F.col("n_shingles").alias("n"), "one", "id", "sig", "short"))
     grown = cut_lineage(forest(classes.select("node", "n", "sig")))
 
-    wanted = cut_lineage(grown.select("node").distinct().join(classes, "node").select("node", "one", "short"))
+    regions = F.array(*[_prefix(F.lit(t), DEPTHS[0]) for t in range(shingles.TREES)]).alias("regions")
+    wanted = cut_lineage(grown.select("node").distinct().join(classes, "node").select("node", "one", "short", regions))
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), "text"
     ).join(wanted.select("one.id", "one.text_hash", "node"), ["id", "text_hash"])
@@ -258,6 +322,8 @@ def groups(docs: DataFrame) -> DataFrame:
         more = _across(pairs, roots).unionByName(neighbours(grown, wanted, roots, reach)).distinct()
         links = cut_lineage(links.unionByName(_confirmed(more, sets)))
         pairs, roots = pairs.limit(0), components(links)
+    links = cut_lineage(links.unionByName(rest(grown, wanted.select("node", "short", "regions"), sets, roots)))
+    roots = components(links)
 
     rooted = classes.select("node", "id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "id")
     rooted = cut_lineage(rooted)

@@ -149,3 +149,32 @@ def test_texts_with_a_deep_common_prefix_meet_in_large_regions(spark):
     roots = spark.createDataFrame([], "node bigint, root bigint")
     found = {(r["a"], r["b"]) for r in near_dedup.neighbours(grown, known, roots, near_dedup.NEIGHBOURS[-1]).collect()}
     assert {tuple(sorted(map(int, p))) for p in places} <= found
+
+
+def test_texts_linked_with_few_members_of_a_large_region(spark):
+    rng = np.random.default_rng(9)
+    size, far = 1200, 40
+    regions = [[int(x) for x in rng.integers(0, 1 << 60, shingles.TREES)] for _ in range(size + far)]
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    common = lambda n: np.concatenate((base[:n], rng.integers(0, 1 << 63, 400 - n, dtype=np.uint64)))
+    sets = [np.unique(common(330)) for _ in range(size)]  # about 0.7 of all others
+    for k in range(far):  # each like one of the group alone
+        own = sets[k * 25].copy()
+        own[rng.permutation(400)[:40]] = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+        sets.append(np.unique(own))
+    tops = [{"node": k, "n": len(s), "crowd": size + far, "d3": 5} for k, s in enumerate(sets)]
+    facts = []
+    for k, s in enumerate(sets):
+        regions[k][3] = 5
+        facts.append((k, shingles.signature(s).astype(np.uint8).tobytes() + shingles.sketch(s), regions[k]))
+    rows = spark.createDataFrame([tuple(x.values()) for x in tops], "node bigint, n bigint, crowd bigint, d3 bigint")
+    known = spark.createDataFrame(facts, "node bigint, short binary, regions array<bigint>")
+    full = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in enumerate(sets)], "f1 bigint, shingles array<bigint>")
+    roots = spark.createDataFrame([(k, 0) for k in range(size)], "node bigint, root bigint")
+    found = {(r["a"], r["b"]) for r in near_dedup.rest(rows, known, full, roots).collect()}
+    assert {b for _, b in found} == set(range(size, size + far))
+    for a, b in found:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert 4 * both >= 3 * (len(sets[a]) + len(sets[b]) - both)
+    settled = spark.createDataFrame([(k, 0) for k in range(size + far)], "node bigint, root bigint")
+    assert near_dedup.rest(rows, known, full, settled).count() == 0
