@@ -1,7 +1,8 @@
 """Licences by their sentences.
 
-A text is split into sentences, each is normalised (lower case, runs of other characters than letters and digits become
-one space) and looked up among known licence sentences. The identifiers found, in the order of the text, are matched
+A text is normalised (lower case, runs of other characters than letters and digits become one space) between ends of
+lines and sentences. Known licence sentences are found from one such end to another, also over ends within them: lines
+may be wrapped anywhere, with comment marks, and a sentence may hold an abbreviation. The identifiers found, in the order of the text, are matched
 against ordered rules, each a sequence of identifiers; a rule takes its sentences, so a later, shorter rule doesn't
 report the same licence text again.
 
@@ -83,10 +84,15 @@ def normalised(text: str) -> str:
 
 def sentence_ids(text: Column) -> Column:
     """Numbers of the known sentences in a text, in its order."""
-    known = F.array(*[F.lit(normalised(s)) for s in SENTENCES])
-    plain = lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    found = F.transform(F.split(text, END, -1), lambda s: F.array_position(known, plain(s)))
-    return F.when(text.rlike(HINT), F.filter(found, lambda i: i > 0)).otherwise(F.array().cast("array<bigint>"))
+    names = [normalised(s) for s in SENTENCES]
+    parts = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(text, END, "\n")), "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
+    # words of a sentence are apart by a blank or by an end
+    anywhere = "|".join(s.replace(" ", "[ \n]") for s in sorted(names, key=len, reverse=True))
+    whole = F.concat(F.lit("\n"), F.btrim(parts), F.lit("\n"))
+    found = F.regexp_extract_all(whole, F.lit(f"(?<=\n)(?:{anywhere})(?=\n)"), F.lit(0))
+    known = F.array(*[F.lit(s) for s in names])
+    numbers = F.transform(found, lambda s: F.array_position(known, F.translate(s, "\n", " ")))
+    return F.when(text.rlike(HINT), numbers).otherwise(F.array().cast("array<bigint>"))
 
 
 def licences(ids: Column) -> Column:

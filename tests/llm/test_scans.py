@@ -29,6 +29,19 @@ def test_every_sentence_has_a_hint_and_is_normalised_alike():
     assert all(1 <= i <= len(license_scan.SENTENCES) for _, seq in license_scan.RULES for i in seq)
 
 
+def test_every_rule_finds_its_wrapped_sentences(documents):  # noqa: F811
+    import textwrap
+
+    rows, wanted = [], {}
+    for k, (name, seq) in enumerate(license_scan.RULES):
+        text = "Copyright 2020 Some One. " + " ".join(license_scan.SENTENCES[i - 1] + "." for i in seq) + " And more follows."
+        for w, (width, mark) in enumerate(((40, ""), (72, " * "), (76, "# "), (10**6, ""))):
+            rows.append((10 * k + w, "\n".join(mark + x for x in textwrap.wrap(text, width))))
+            wanted[10 * k + w] = (len(seq), name)
+    got = {r["doc_id"]: (r["n_sentences"], r["licences"]) for r in license_scan.scan(documents(rows)).collect()}
+    assert got == wanted
+
+
 def test_url_lists(spark):
     day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
     entries = spark.createDataFrame(
