@@ -6,6 +6,10 @@ own, another content-defined cut. Chunks of two or more lines with a word, and l
 table: first by hash, then byte by byte. Of equal chunks only the first stays, in the order of doc_id, hash of the text,
 and position.
 
+Cuts seldom coincide with the ends of a passage. So each two adjacent lines with a word (and the blank ones between) are
+compared likewise, and a run of lines of which every two adjacent ones stand together at an earlier place goes if it has
+`RUN_WORDS` words or more. What goes has an equal line at an earlier place, so every line is left somewhere.
+
 Defined cases: a null text stays null and an empty one empty; documents may end up with an empty text, their rows stay;
 rows with the same doc_id and text keep or lose the same chunks; a null doc_id is ordered last; an empty table gives an
 empty result; other columns pass through, `n_chars` follows the text.
@@ -23,6 +27,8 @@ from .common import LAST_ID, packed, with_text, words_of
 CUT_BITS = 2
 #: Lines of so many words are chunks of their own.
 LONG_LINE = 40
+#: Runs of repeated adjacent lines with so many words go.
+RUN_WORDS = 50
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -33,7 +39,8 @@ def _is_long(line: Column, long_line: int) -> Column:
 
 
 def _with_chunks(df: DataFrame, cut_bits: int, long_line: int) -> DataFrame:
-    """Add `lines` and `chunks`: array of (first line from 0, number of lines, hash, whether it counts)."""
+    """Add `lines`, `filled` (numbers of the lines with a word), `n_chunks`, and `chunks`: array of (first line from 0,
+    number of lines, hash, whether it counts), after the chunks the pairs of adjacent lines with a word."""
     df = df.withColumn("lines", F.split("text", "\n", -1))
     one = lambda x: F.struct(F.xxhash64(x).alias("h"), _is_long(x, long_line).alias("long"), x.rlike(HAS_WORD).alias("filled"))
     df = df.withColumn("facts", F.transform("lines", one))
@@ -54,7 +61,16 @@ def _with_chunks(df: DataFrame, cut_bits: int, long_line: int) -> DataFrame:
             first.alias("first"), (end - first + 1).alias("n"), F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h"), counts.alias("counts")
         )
 
-    return df.withColumn("chunks", F.transform("ends", chunk)).drop("facts", "ends")
+    def pair(line: Column, q: Column) -> Column:
+        after = F.get("filled", q + 1)
+        # another number of values than a chunk's hash
+        h = F.xxhash64(F.get("facts", line)["h"], F.get("facts", after)["h"], after - line)
+        return F.struct(line.alias("first"), (after - line + 1).alias("n"), h.alias("h"), F.lit(True).alias("counts"))
+
+    df = df.withColumn("filled", F.array_compact(F.transform("facts", lambda x, i: F.when(x["filled"], i))))
+    df = df.withColumn("n_chunks", F.size("ends"))
+    pairs = F.transform(F.slice("filled", 1, F.greatest(F.size("filled") - 1, F.lit(0))), pair)
+    return df.withColumn("chunks", F.concat(F.transform("ends", chunk), pairs)).drop("facts", "ends")
 
 
 def _text_of(first: Column, n: Column) -> Column:
@@ -62,7 +78,7 @@ def _text_of(first: Column, n: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, cut_bits: int = CUT_BITS, long_line: int = LONG_LINE) -> DataFrame:
-    """(id, text_hash, gone): for documents that lose something, the numbers of the chunks that go, from 0."""
+    """(id, text_hash, gone): for documents that lose something, the numbers of the repeated chunks and pairs, from 0."""
     chunked = lambda: _with_chunks(_keyed(docs), cut_bits, long_line)
     # narrow occurrences, counted per document before they meet by hash
     seen = cut_lineage(
@@ -81,8 +97,8 @@ def repeated_chunks(docs: DataFrame, cut_bits: int = CUT_BITS, long_line: int =
         chunked()
         .select("id", "text_hash", "lines", "chunks")
         .join(wanted, ["id", "text_hash"])
-        .select("id", "text_hash", "lines", F.posexplode_outer("chunks").alias("k", "c"), "ks")
-        .where(F.array_contains("ks", F.col("k")))
+        .select("id", "text_hash", "lines", "chunks", F.explode("ks").alias("k"))
+        .withColumn("c", F.get("chunks", F.col("k")))
         .select(F.col("c.h").alias("h"), _text_of(F.col("c.first"), F.col("c.n")).alias("bytes"), "id", "text_hash", "k")
     )
     groups = texts.groupBy("h", "bytes").agg(F.min(F.col("id")).alias("id"), F.count("*").alias("n")).select("h", F.sha2("bytes", 256).alias("bytes"), "id", "n")
@@ -114,10 +130,19 @@ def _deduplicated(docs: DataFrame, cut_bits: int, long_line: int) -> DataFrame:
     df = _keyed(docs, "doc").join(gone, ["id", "text_hash"], "left")
     # lines are looked at again only where chunks go
     df = _with_chunks(df.withColumn("whole", F.col("text")).withColumn("text", F.when(F.col("gone").isNotNull(), F.col("text"))), cut_bits, long_line)
-    numbered = F.transform("chunks", lambda c, k: F.when(F.array_contains("gone", k), F.lit(None)).otherwise(F.struct(c["first"], c["n"])))
-    df = df.withColumn("left", F.array_compact(numbered))
-    rest = F.array_join(F.transform("left", lambda c: _text_of(c["first"], c["n"])), "\n")
-    n_left = F.aggregate("left", F.lit(0), lambda a, c: a + c["n"])
+    # numbers of repeated pairs that follow each other make a run
+    df = df.withColumn("pairs", F.array_sort(F.transform(F.filter("gone", lambda k: k >= F.col("n_chunks")), lambda k: k - F.col("n_chunks"))))
+    starts = F.filter("pairs", lambda q, i: ~F.coalesce(F.get("pairs", i - 1) == q - 1, F.lit(False)))
+    ends = F.filter("pairs", lambda q, i: ~F.coalesce(F.get("pairs", i + 1) == q + 1, F.lit(False)))
+    df = df.withColumn("runs", F.zip_with(starts, ends, lambda a, b: F.struct(F.get("filled", a).alias("first"), F.get("filled", b + 1).alias("last"))))
+    enough = F.filter("runs", lambda r: F.size(words_of(_text_of(r["first"], r["last"] - r["first"] + 1))) >= RUN_WORDS)
+    of_runs = F.flatten(F.transform(enough, lambda r: F.sequence(r["first"], r["last"])))
+    whole = F.transform(F.filter("gone", lambda k: k < F.col("n_chunks")), lambda k: F.get("chunks", k))
+    of_chunks = F.flatten(F.transform(whole, lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.concat(of_runs, of_chunks))
+    df = df.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    rest = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
+    n_left = F.size("left")
     return df.select(
         "doc",
         F.when(F.col("gone").isNull(), F.col("whole")).otherwise(rest).alias("clean"),

@@ -54,3 +54,19 @@ def test_removed_text_is_elsewhere(documents):
     assert set(before) == set(after) - {""} | set(before) & {""}  # every line is left somewhere
     longs = [x for x in after if len(x.split()) >= line_dedup.LONG_LINE]
     assert len(longs) == len(set(longs))
+
+
+def test_wrapped_passages_of_a_few_lines_go_whole(documents):
+    rng = random.Random(6)
+    passages = [[line(rng, -(-60 // n)) for _ in range(n)] for n in (2, 3, 4, 5, 6) for _ in range(12)]
+    short = [line(rng, 8), line(rng, 9)]
+    rows, own = [], {}
+    for k, passage in enumerate(passages):
+        for i in (2 * k, 2 * k + 1):
+            own[i] = [line(rng) for _ in range(4)]
+            gap = [""] if k % 3 == 0 else []
+            rows.append((i, "\n".join(own[i][:2] + passage[:1] + gap + passage[1:] + own[i][2:])))
+    got = run(documents(rows + [(1000, "\n".join([line(rng, 3), *short, line(rng, 3)])), (1001, "\n".join([line(rng, 4), *short]))]))
+    for k, passage in enumerate(passages):
+        assert got[2 * k] == rows[2 * k][1]
+        assert got[2 * k + 1].split("\n") == own[2 * k + 1]
