@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, mixing, near_dedup, one_bit_search, quality_rules, secret_scan, toxicity, url_filter
+from . import bpe, license_scan, line_dedup, mixing, near_dedup, one_bit_search, quality_rules, secret_scan, toxicity, turn_repair, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -163,3 +163,9 @@ def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return turn_repair.report(conversations, turn_repair.repair(turn_repair.damaged(conversations)))
