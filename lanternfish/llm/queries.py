@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, mixing, near_dedup, one_bit_search, quality_rules, secret_scan, toxicity, turn_repair, url_filter
+from . import bpe, collocations, license_scan, line_dedup, mixing, near_dedup, one_bit_search, prefix_join, quality_rules, secret_scan, toxicity, turn_repair, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -169,3 +169,42 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
     return turn_repair.report(conversations, turn_repair.repair(turn_repair.damaged(conversations)))
+
+
+COLLOCATION_SQL = r"""
+with docs as (select coalesce(lang, 'und') as lang,
+   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (
+  select lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') as ws
+  from (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as p from docs)),
+totals as (select lang, sum(len(ws)) as n from pieces group by lang),
+grams as (""" + " union all ".join(
+    f"select lang, unnest(list_transform(range(1, len(ws) - {m} + 2), lambda i: ws[i:i + {m - 1}])) as g from pieces where len(ws) >= {m}"
+    for m in range(1, 6)
+) + r"""),
+counts as (select lang, g, count(*) as a from grams group by all having count(*) >= 100),
+cand as (select * from counts where len(g) > 1),
+inner_parts as (select lang, unnest(flatten(list_transform(range(2, len(g)), lambda m:
+   list_transform(range(1, len(g) - m + 2), lambda i: g[i:i + m - 1])))) as g, a from cand where len(g) > 2),
+longer as (select lang, g, max(a) as b from inner_parts group by all),
+kept as (select c.* from cand c left join longer x using (lang, g) where b is null or 100 * b < 100 * a),
+cuts as (select lang, g, a, n, unnest(range(1, len(g))) as k from kept join totals using (lang)),
+scored as (
+  select c.lang, c.g, c.a, c.n, c.k, x.a as l, y.a as r, (1000::hugeint * c.a * c.n) // (x.a::hugeint * y.a) as score
+  from cuts c join counts x on x.lang = c.lang and x.g = c.g[1:c.k] join counts y on y.lang = c.lang and y.g = c.g[c.k + 1:]),
+least as (select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1)
+select lang, rank::integer as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, array_to_string(g, ' ') as phrase,
+        row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from least)
+where rank <= 2000
+"""
+
+
+@query(COLLOCATION_SQL)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query()
+def op13_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_join.groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

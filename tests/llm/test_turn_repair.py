@@ -126,9 +126,8 @@ def test_conversation_without_rows_after_damage_and_empty_table(spark):
 
 
 def test_turns_come_out_and_other_columns_do_not_disturb(spark):
-    df = spark.createDataFrame([(1, 0, "user", "Hi.", 7), (1, 2, "user", "More.", 8)], SCHEMA + ", block int")
+    rows = [(1, 0, "user", "Hi.", 7), (1, 2, "tool", "More.", 8), (1, 3, "assistant", "So.", 9), (1, 4, "assistant", "", 10)]
+    df = spark.createDataFrame(rows, SCHEMA + ", block int")
     (row,) = turn_repair.repair(df).collect()
-    assert row["audit"] == "KIKI" and row["gaps"] == 1
-    assert [(t["edit"], t["turn"], t["role"], t["text"]) for t in row["turns"]] == [
-        ("K", 0, "user", "Hi."), ("I", None, "assistant", ""), ("K", 2, "user", "More."), ("I", None, "assistant", "")
-    ]
+    assert (row["audit"], row["cost"], row["gaps"]) == ("KDKD", 6, 1)
+    assert [(t["edit"], t["turn"], t["role"], t["text"]) for t in row["turns"]] == [("K", 0, "user", "Hi."), ("K", 3, "assistant", "So.")]
