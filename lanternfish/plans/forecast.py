@@ -255,14 +255,16 @@ def dist_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("dist_global", f"with {ZF}, {FOLDS} select fold::integer as fold, label, round(p, 9) as p from dg")
 def dist_global(spark: SparkSession, folder: str) -> DataFrame:
-    dist = backtest.dist_global(backtest.fold_space(zone_counts(spark, folder)))
-    return dist.withColumn("p", F.round("p", 9))
+    counts = zone_counts(spark, folder)
+    space = cut_lineage(backtest.fold_space(counts))
+    return backtest.dist_global(space, backtest.vocabulary(counts)).dense(space).withColumn("p", F.round("p", 9))
 
 
 @query("dist_month", f"with {ZF}, {FOLDS}, {MONTHS} select fold::integer as fold, month::integer as month, label, round(p, 9) as p from dm")
 def dist_month(spark: SparkSession, folder: str) -> DataFrame:
     counts = zone_counts(spark, folder)
-    return backtest.dist_month(counts, backtest.fold_space(counts)).withColumn("p", F.round("p", 9))
+    space = cut_lineage(backtest.fold_space(counts))
+    return backtest.dist_month(counts, space, backtest.vocabulary(counts)).dense(space).withColumn("p", F.round("p", 9))
 
 
 @query(
@@ -271,7 +273,8 @@ def dist_month(spark: SparkSession, folder: str) -> DataFrame:
 )
 def dist_kernel(spark: SparkSession, folder: str) -> DataFrame:
     counts = zone_counts(spark, folder)
-    return backtest.dist_kernel(counts, backtest.fold_space(counts)).withColumn("p", F.round("p", 7))
+    space = cut_lineage(backtest.fold_space(counts))
+    return backtest.dist_kernel(counts, space, backtest.vocabulary(counts)).dense(space).withColumn("p", F.round("p", 7))
 
 
 @query(
@@ -281,14 +284,39 @@ def dist_kernel(spark: SparkSession, folder: str) -> DataFrame:
 def dist_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     counts = zone_counts(spark, folder)
     space = cut_lineage(backtest.fold_space(counts))
-    dist = backtest.dist_hybrid(counts, space, backtest.dist_kernel(counts, space))
+    labels = cut_lineage(backtest.vocabulary(counts))
+    dist = backtest.dist_hybrid(counts, space, labels, backtest.dist_kernel(counts, space, labels)).dense(space)
     return dist.select("fold", F.col("date").cast("string").alias("day"), "label", F.round("p", 6).alias("p"))
 
 
-@query("dist_forest")
+def forest_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_lineage(seasonal.label_dates(views.finds(spark, folder), "zone", "date_found"))
+
+
+@query(
+    "dist_forest",
+    f"""with {views.FINDS}, c as (select zone as label, date_found as d from finds where date_found is not null and zone is not null and zone <> 'Other/Unknown'),
+        k as (select count(distinct label) as labels from c)
+        select distinct year(d)::integer as fold, dayofyear(d)::integer as day_of_year, month(d)::integer as month, labels::bigint as labels,
+          1.0::double as total, true as above_floor from c, k""",
+)
 def dist_forest(spark: SparkSession, folder: str) -> DataFrame:
-    counts = cut_lineage(seasonal.label_dates(views.finds(spark, folder), "zone", "date_found"))
-    return backtest.forest_metrics(counts)
+    """What holds for every forest: each day of a held-out year has a distribution over all labels, and none of them lies
+    below what smoothing alone gives."""
+    counts = forest_counts(spark, folder)
+    dist = backtest.dist_forest(counts, cut_lineage(backtest.vocabulary(counts)))
+    lowest = backtest.ALPHA / (1 + backtest.ALPHA * F.count("*"))
+    # without two labels to tell apart the raw values are counts
+    learnt = F.max("total") > 1 + backtest.ALPHA * F.count("*") + 1e-6
+    dense = dist.dense(backtest.fold_space(counts)).join(dist.contexts.select(*dist.context, "total"), dist.context)
+    return dense.groupBy("fold", "day_of_year", "month").agg(
+        F.count("*").alias("labels"), F.round(F.sum("p"), 9).alias("total"), ((F.min("p") >= lowest - 1e-12) | learnt).alias("above_floor")
+    )
+
+
+@query("forest_metrics")
+def forest_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return backtest.forest_metrics(forest_counts(spark, folder))
 
 
 @query(
@@ -316,9 +344,9 @@ def backtest_exact_place(spark: SparkSession, folder: str) -> DataFrame:
 )
 def calibration_gap(spark: SparkSession, folder: str) -> DataFrame:
     counts = zone_counts(spark, folder)
-    space = backtest.fold_space(counts)
+    space = cut_lineage(backtest.fold_space(counts))
     truth = counts.groupBy(F.col("year").alias("fold"), "label").agg(F.sum("n").alias("n"))
-    bins = backtest.scored(backtest.dist_global(space), truth, ["fold"], "global_topk")
+    bins = backtest.scored(backtest.dist_global(space, backtest.vocabulary(counts)), truth, "global_topk")
     return bins.select(
         "bin", "rows", F.round(F.abs(F.col("top1") - F.col("confidence")) / F.col("rows"), 6).alias("gap")
     )

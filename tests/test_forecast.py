@@ -99,12 +99,73 @@ def test_affinity_ratio(spark):
     assert got[("a", "holiday")] == 1.0 and ("a", "weekday:Friday") not in got
 
 
+def forest_cells(labels=3, years=2, n=60, seed=4):
+    rng = random.Random(seed)
+    cells = {(f"z{rng.randrange(labels)}", dt.date(2020 + rng.randrange(years), rng.randrange(1, 13), 5)): 1 for _ in range(n)}
+    return [(a, b, k) for (a, b), k in cells.items()]
+
+
 def test_forest_distribution_sums_to_one(spark):
-    rng = random.Random(4)
-    cells = {(f"z{rng.randrange(3)}", dt.date(2020 + rng.randrange(2), rng.randrange(1, 13), 5)): 1 for _ in range(60)}
-    counts = dated(spark, [(a, b, n) for (a, b), n in cells.items()])
-    sums = backtest.dist_forest(counts, trees=3, depth=3).groupBy("fold", "date").agg(F.sum("p").alias("s"), F.count("*").alias("k"))
-    assert all(abs(r["s"] - 1) < 1e-9 and r["k"] == 3 for r in sums.collect())
+    counts = dated(spark, forest_cells())
+    dist = backtest.dist_forest(counts, backtest.vocabulary(counts), trees=7).dense(backtest.fold_space(counts))
+    sums = dist.groupBy("fold", "day_of_year", "month").agg(F.sum("p").alias("s"), F.count("*").alias("k")).collect()
+    assert all(abs(r["s"] - 1) < 1e-9 and r["k"] == 3 for r in sums)
+
+
+def test_forest_learns_days_to_the_last_split(spark):
+    # every day has a label of its own, the same in all years: no bound of depth or bins lets two days share a leaf
+    days = [dt.date(2021, 1, 1) + dt.timedelta(d) for d in range(0, 360, 3)]
+    rows = [(f"day{d.timetuple().tm_yday:03}", d.replace(year=y), 200) for d in days for y in (2021, 2022, 2023)]
+    counts = dated(spark, rows)
+    (row,) = backtest.forest_metrics(counts, trees=10).collect()
+    assert row["top1_accuracy"] == 1.0 and row["rows"] == len(rows) * 200
+
+
+def test_forest_without_two_labels_falls_back_to_counts(spark):
+    counts = dated(spark, [("a", dt.date(2021, 3, 1), 5), ("b", dt.date(2022, 3, 1), 7)])
+    dist = backtest.dist_forest(counts, backtest.vocabulary(counts), trees=3).dense(backtest.fold_space(counts)).collect()
+    assert {(r["fold"], r["label"]): round(r["p"], 6) for r in dist} == {
+        (2021, "a"): round(0.5 / 8, 6), (2021, "b"): round(7.5 / 8, 6), (2022, "a"): round(5.5 / 6, 6), (2022, "b"): round(0.5 / 6, 6)
+    }
+    assert backtest.forest_metrics(dated(spark, [("a", dt.date(2021, 3, 1), 5)]), trees=3).count() == 0
+
+
+def test_best_split_against_brute_force():
+    import numpy as np
+
+    from lanternfish.operators import forest
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        v, label, w = rng.integers(0, 5, n).astype(float), rng.integers(0, 3, n), rng.integers(1, 5, n)
+
+        def squares(mask):
+            return sum(w[mask & (label == k)].sum() ** 2 for k in range(3)) / w[mask].sum()
+
+        cuts = [(a + b) / 2 for a, b in zip(np.unique(v), np.unique(v)[1:])]
+        got = forest.best_split(v, label, w)
+        assert (got is None) == (not cuts)
+        if cuts:
+            assert abs(got[0] - max(squares(v <= c) + squares(v > c) for c in cuts)) < 1e-9
+            assert abs(got[0] - squares(v <= got[1]) - squares(v > got[1])) < 1e-9
+
+
+def test_floor_and_labels_without_rows(spark):
+    # so many rows that the common value of absent labels lies below the floor
+    rows = [("b", dt.date(2021, 3, 1), 10**10), ("c", dt.date(2022, 3, 1), 10**10), ("a", dt.date(2021, 4, 1), 1), ("d", dt.date(2023, 4, 1), 3)]
+    counts = dated(spark, rows)
+    dist = backtest.dist_global(backtest.fold_space(counts), backtest.vocabulary(counts))
+    q, contexts, top = dist.floored()
+    got = {(r["fold"], r["rank"]): r["label"] for r in top.collect()}
+    assert got == {
+        (2021, 1): "c", (2021, 2): "a", (2021, 3): "b", (2022, 1): "b", (2022, 2): "a", (2022, 3): "c", (2023, 1): "b", (2023, 2): "c", (2023, 3): "a"
+    }
+    for fold, raws in ((2021, [0, 0, 1e10, 3]), (2022, [1, 1e10, 0, 3]), (2023, [1, 1e10, 1e10, 0])):
+        p = [(x + 0.5) / (sum(raws) + 2) for x in raws]
+        total = sum(max(x, 1e-9) for x in p)
+        r = contexts.where(F.col("fold") == fold).first()
+        assert abs(r["confidence"] - max(p) / total) < 1e-12 and abs(r["rest_q"] - max(0.5 / (sum(raws) + 2), 1e-9) / total) < 1e-15
 
 
 def test_bands_and_signals(spark):
