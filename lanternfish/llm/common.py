@@ -53,3 +53,13 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     past a column of row numbers that it reads.
     """
     return df.withColumn("row_number_", F.monotonically_increasing_id()).where(condition & (F.col("row_number_") >= 0)).drop("row_number_")
+
+
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """Costly columns that no later filter computes again.
+
+    A filter on such a column would be pushed below the projections that compute it, each time with all it is made of. It
+    stops above a column of row numbers that the named columns read.
+    """
+    numbered = df.withColumn("row_number_", F.monotonically_increasing_id())
+    return numbered.withColumns({n: F.when(F.col("row_number_") >= 0, F.col(n)) for n in names}).drop("row_number_")

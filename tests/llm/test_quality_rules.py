@@ -64,3 +64,18 @@ def test_empty_table(documents):
 def test_same_as_sql(spark):
     verdict = compare(spark, connect(SMALL), "op3", queries.QUERIES["op3_quality_rules"], queries.SQL_TWINS["op3_quality_rules"], SMALL)
     assert verdict.startswith("ok"), verdict
+
+
+def test_a_filter_on_the_verdict_does_not_repeat_the_facts(spark):
+    """The plan with a filter is about as long as the one without, whatever the order of the rules."""
+    plan = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    judged = quality_rules.judge(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    for condition in ("kept", "not base_failed", "rejected_by = 'symbols'", "n_repeat_words > 3"):
+        assert plan(judged.where(condition)) < 1.5 * plan(judged) + 1000, condition
+    assert judged.where("kept").count() == sum(r["kept"] for r in judged.select("kept").collect())
+
+
+def test_costs_are_those_of_facts_not_known_yet(documents):
+    docs = documents([(k, f"word{k} " * 60) for k in range(50)])
+    found = {e.rule.name: e for e in quality_rules.estimate(docs, quality_rules.BASE, known=("n_words",))}
+    assert found["few_words"].rejected == 0 and found["few_words"].cost <= found["repeated_words"].cost + 0.05
