@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import hashes
+from . import bit_tables, hashes
 from .shipping import ship
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SEPARATORS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 #: Distinct pairs or suffixes a task holds before it hands them on.
 HELD = 4_000_000
-#: Bits of a pair's name; the table of frequent pairs has 16 bits a pair, from 2^20 to 2^30 (128 MB) in all.
-NAME_BITS, FEWEST_BITS = 30, 20
 
 _KIND = hashes.kinds(BLANKS, SEPARATORS)
 
@@ -69,7 +67,7 @@ def _pairs(words: hashes.Words, names: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pair_name(low: np.ndarray, part: np.ndarray) -> np.ndarray:
-    return hashes.spread((part << np.uint64(32)) | low) >> np.uint64(64 - NAME_BITS)
+    return hashes.spread((part << np.uint64(32)) | low) >> np.uint64(64 - bit_tables.NAME_BITS)
 
 
 _FIRST = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("lang", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
@@ -218,8 +216,7 @@ def _routed(parts: int, seed: int, longest: int, marked, bits: int):
             if len(words) < 2:
                 continue
             together, keys = _pairs(words, names)
-            name = _pair_name(keys & np.uint64(0xFFFFFFFF), hashes.part_of(keys, parts)) >> np.uint64(NAME_BITS - bits)
-            ok = together & (((table[name >> np.uint64(3)] >> (name & np.uint64(7)).astype(np.uint8)) & 1) == 1)
+            ok = together & bit_tables.may_be_in(table, bits, _pair_name(keys & np.uint64(0xFFFFFFFF), hashes.part_of(keys, parts)))
             reach = np.zeros(len(ok) + 1, np.int64)
             for _ in range(longest - 1):
                 reach[:-1] = np.where(ok, 1 + reach[1:], 0)
@@ -291,18 +288,6 @@ def _first_pass(docs: DataFrame, least: int, parts: int) -> tuple[DataFrame, int
     raise ValueError("no seed tells the frequent words apart")
 
 
-def _marked(pairs: DataFrame) -> tuple[bytes, int]:
-    """Bit table of the names in `id`, and its size as a power of two."""
-    bits = min(max(FEWEST_BITS, (16 * pairs.count()).bit_length()), NAME_BITS)
-    name = F.shiftright("id", NAME_BITS - bits) + 1  # buckets and positions count from one
-    chunks = pairs.groupBy(F.bitmap_bucket_number(name).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(name)).alias("bits"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in chunks.collect():  # the table has a bounded size
-        chunk = np.frombuffer(bytes(row["bits"]), np.uint8)
-        out[(row["chunk"] - 1) * len(chunk) :][: len(chunk)] = chunk
-    return out.tobytes(), bits
-
-
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(words, a): names and counts of all phrases of 2 to `longest` words that occur `least` times; and the table
     (kind, id, lang, word, n) of frequent words (kind word) and of all words of a language (kind total)."""
@@ -311,7 +296,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tupl
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged, seed = _first_pass(docs, least, parts)
-    table, bits = _marked(merged.where("kind = 'pair'").select("id"))
+    table, bits = bit_tables.bit_table(merged.where("kind = 'pair'").select("id"))
     marked = spark.sparkContext.broadcast(table)
     blocks = docs.mapInArrow(_routed(parts, seed, longest, marked, bits), "part int, width int, keys binary, counts binary")
     found = blocks.groupBy("part").applyInArrow(_sorted_out(least), "words array<bigint>, a bigint")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import hashes, shingles
+from . import bit_tables, hashes, shingles
 from .common import BLANKS, LAST_ID
 from .near_dedup import components
 from .shipping import ship
@@ -43,6 +43,8 @@ _CHUNK = 1 << 16
 BITS = 1024
 #: Classes of a list that are compared with each other in one task.
 PIECE = 1000
+#: Neighbours in a list, by size, that are looked at before lists are made.
+NEAR = 8
 #: Postings a task holds before it hands them on.
 HELD = 4_000_000
 
@@ -106,14 +108,15 @@ def _classed(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "classes": [np.minimum(2 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8).tobytes()]})
 
 
-def frequency_classes(docs: DataFrame) -> bytes:
-    """Class of every place of the table: twice the logarithm of the occurrences of the shingles that fall on it."""
+def frequency_classes(docs: DataFrame) -> tuple[bytes, int]:
+    """Class of every place of the table: twice the logarithm of the occurrences of the shingles that fall on it; and the
+    class from which on shingles are hot: 2^14 occurrences, and 16 times as many as the median place."""
     tallies = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_tallied, "chunk int, places binary, counts binary")
     chunks = tallies.groupBy("chunk").applyInArrow(_classed, "chunk int, classes binary")
     out = np.zeros(1 << PLACES, np.uint8)
     for row in chunks.collect():  # of fixed size
         out[row["chunk"] * _CHUNK :][:_CHUNK] = np.frombuffer(row["classes"], np.uint8)
-    return out.tobytes()
+    return out.tobytes(), max(28, int(np.median(out)) + 8)
 
 
 # ---------------------------------------------------------------- facts, groups and lists
@@ -148,9 +151,9 @@ _BLOCK = ("token", "gid", "pos", "n")
 
 
 def _post_blocks(held: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
-    token, gid, pos, n = (np.concatenate(c) for c in zip(*held))
-    order = np.argsort(token)
-    part = hashes.part_of(token[order], parts)
+    token, gid, pos, n, place = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(place)
+    part = hashes.part_of(place[order], parts)
     for a, size in zip(*hashes.runs(part)):
         some = order[a : a + size]
         yield pa.RecordBatch.from_arrays(
@@ -158,10 +161,11 @@ def _post_blocks(held: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _posted(parts: int):
-    """Task over (gid, n, prefix): blocks of postings; a group counts once in a task."""
+def _posted(parts: int, classes, hot: int):
+    """Task over (gid, n, prefix): blocks of postings; a group counts once in a task. Hot shingles are salted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_place = np.frombuffer(classes.value, np.uint8)
         seen, held, size = np.empty(0, np.int64), [], 0
         for batch in batches:
             gid, first = np.unique(batch.column(0).to_numpy(), return_index=True)
@@ -174,8 +178,12 @@ def _posted(parts: int):
             lengths = np.diff(prefix.offsets.to_numpy())
             token = prefix.flatten().to_numpy().view(np.uint64)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            n = np.repeat(batch.column(1).to_numpy()[first], lengths)
-            held.append((token, np.repeat(gid, lengths), pos.astype(np.uint32), n.astype(np.uint32)))
+            n, group = np.repeat(batch.column(1).to_numpy()[first], lengths), np.repeat(gid, lengths)
+            # one of as many parts as the shingle has thousands of occurrences
+            rank = of_place[token >> np.uint64(64 - PLACES)]
+            salts = np.left_shift(np.uint64(1), np.maximum(rank.astype(np.int64) // 2 - 10, 0).astype(np.uint64))
+            salt = np.where(rank >= hot, hashes.spread(group.view(np.uint64)) % salts, np.uint64(0))
+            held.append((token, group, pos.astype(np.uint32), n.astype(np.uint32), hashes.spread(token + salt)))
             size += len(token)
             if size > HELD:
                 yield from _post_blocks(held, parts)
@@ -186,29 +194,44 @@ def _posted(parts: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Postings of one part whose shingle several groups have in their prefix."""
-    kinds = (np.uint64, np.int64, np.uint32, np.uint32)
-    token, gid, pos, n = (np.concatenate([np.frombuffer(b, k) for b in table[c].to_pylist()]) for c, k in zip(_BLOCK, kinds))
-    order = np.lexsort((gid, token))
-    token, gid, pos, n = token[order], gid[order], pos[order], n[order]
-    once = np.concatenate(([True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])))
-    token, gid, pos, n = token[once], gid[once], pos[once], n[once]
-    _, size = hashes.runs(token)
-    keep = np.repeat(size > 1, size)
-    return pa.table({"token": token[keep].view(np.int64), "gid": gid[keep], "pos": pos[keep].astype(np.int64)})
+def _shared(classes, hot: int):
+    """Postings of one part that another group shares. In lists of up to `NEAR` + 1 groups one that passes the size and
+    position filters, in longer ones the next one by size; lists of hot shingles, which lie in several parts, stay whole."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = (np.uint64, np.int64, np.uint32, np.uint32)
+        token, gid, pos, n = (np.concatenate([np.frombuffer(b, k) for b in table[c].to_pylist()]) for c, k in zip(_BLOCK, kinds))
+        order = np.lexsort((gid, n, token))
+        token, gid, pos, n = token[order], gid[order], pos[order].astype(np.int64), n[order].astype(np.int64)
+        once = np.concatenate(([True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])))
+        token, gid, pos, n = token[once], gid[once], pos[once], n[once]
+        of_place = np.frombuffer(classes.value, np.uint8)
+        is_hot = of_place[token >> np.uint64(64 - PLACES)] >= hot
+        keep, left = is_hot.copy(), n - pos
+        _, size = hashes.runs(token)
+        long = np.repeat(size > NEAR + 1, size)
+        for k in range(1, min(NEAR, len(token) - 1) + 1):
+            near = (token[k:] == token[:-k]) & (100 * n[:-k] >= SIMILAR * n[k:])
+            # what two sets can have in common from their first common shingle on
+            near &= ((k == 1) & long[k:]) | ((100 + SIMILAR) * np.minimum(left[:-k], left[k:]) >= SIMILAR * (n[:-k] + n[k:]))
+            keep[k:] |= near
+            keep[:-k] |= near
+        return pa.table({"token": token[keep].view(np.int64), "gid": gid[keep], "pos": pos[keep], "hot": is_hot[keep]})
+
+    return run
 
 
-def lists(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, pos, gid, node): members of all lists; rows: facts, classes: (node, gid). Groups of several classes are lists
-    of their own, named by the group."""
+def lists(rows: DataFrame, classes: DataFrame, order, hot: int) -> DataFrame:
+    """(token, pos, hot, gid, node, n, bits): members of all lists; rows: facts, classes: (node, gid, n, bits). Groups of
+    several classes are lists of their own, named by the group."""
     spark = rows.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = rows.where("n > 0").select("gid", "n", "prefix").mapInArrow(_posted(parts), "part int, token binary, gid binary, pos binary, n binary")
-    shared = blocks.groupBy("part").applyInArrow(_shared, "token bigint, gid bigint, pos bigint")
+    posted = rows.where("n > 0").select("gid", "n", "prefix")
+    blocks = posted.mapInArrow(_posted(parts, order, hot), "part int, token binary, gid binary, pos binary, n binary")
+    shared = blocks.groupBy("part").applyInArrow(_shared(order, hot), "token bigint, gid bigint, pos bigint, hot boolean")
     several = classes.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1")
-    own = several.select(F.col("gid").alias("token"), "gid", F.lit(0).cast("long").alias("pos"))
-    return shared.unionByName(own).join(classes.select("gid", "node"), "gid").select("token", "pos", "gid", "node")
+    own = several.select(F.col("gid").alias("token"), "gid", F.lit(0).cast("long").alias("pos"), (F.col("size") > PIECE).alias("hot"))
+    return shared.unionByName(own).join(classes, "gid").select("token", "pos", "hot", "gid", "node", "n", "bits")
 
 
 # ---------------------------------------------------------------- comparisons
@@ -302,6 +325,58 @@ def _open_pairs(rows: pa.Table) -> list[tuple[int, int]]:
     return found
 
 
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task over members that come sorted by token: those whose size and bits allow a link with another one of the list.
+    Lists of more than `PIECE` members pass whole."""
+
+    def told(rows: pa.Table) -> pa.Table:
+        token, n = _columns(rows, "token", "n")
+        bits, keep = _words_of_bits(rows), np.zeros(len(token), bool)
+        first, size = hashes.runs(token)
+        for k in range(1, min(NEAR, len(token) - 1) + 1):
+            i = np.flatnonzero((token[k:] == token[:-k]) & np.repeat(size <= NEAR + 1, size)[k:])
+            i = i[100 * np.minimum(n[i], n[i + k]) >= SIMILAR * np.maximum(n[i], n[i + k])]
+            apart = np.bitwise_count(bits[i] ^ bits[i + k]).sum(axis=1, dtype=np.int64)
+            i = i[(100 + SIMILAR) * apart <= (100 - SIMILAR) * (n[i] + n[i + k])]
+            keep[i] = keep[i + k] = True
+        for a, m in zip(first[size > NEAR + 1], size[size > NEAR + 1]):
+            if m > PIECE:
+                keep[a : a + m] = True
+                continue
+            for b in range(a + 1, a + m):
+                some = _may_link(bits, n, b, np.arange(a, b))
+                keep[some] = True
+                keep[b] |= len(some) > 0
+        return rows.select(["token", "pos", "gid", "node"]).filter(pa.array(keep))
+
+    held, passing = None, None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if passing is not None:  # the rest of a list that has passed
+            same = rows["token"].to_numpy() == passing
+            yield from rows.filter(pa.array(same)).select(["token", "pos", "gid", "node"]).combine_chunks().to_batches()
+            rows = rows.filter(pa.array(~same))
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        first, _ = hashes.runs(rows["token"].to_numpy())
+        last = int(first[-1])
+        done, held = rows.slice(0, last), rows.slice(last)
+        if held.num_rows > PIECE:
+            done, passing, held = rows, held["token"][0].as_py(), None
+        yield from told(done).combine_chunks().to_batches()
+    if held is not None:
+        yield from told(held).combine_chunks().to_batches()
+
+
+def partnered(members: DataFrame) -> DataFrame:
+    """(token, pos, gid, node): members of lists without those whose bits rule out all others of their list."""
+    columns = ["token", "pos", "gid", "node"]
+    ordered = members.where("not hot").select(*columns, "n", "bits").repartition("token").sortWithinPartitions("token")
+    return members.where("hot").select(*columns).unionByName(ordered.mapInArrow(_partnered, "token bigint, pos bigint, gid bigint, node bigint"))
+
+
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("root", F.col("node"))
@@ -351,10 +426,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in hashes.slices(batches, _no_cut):
-        sets = [s.view(np.int64) for s in shingle_sets([r[1] for r in rows])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=_SETS)
+def _sets(table, bits: int):
+    """Task over (name, text): full sets of the texts whose name is in a bit table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(table.value, np.uint8)
+
+        def passing() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(bit_tables.may_be_in(wanted, bits, batch.column(0).to_numpy().view(np.uint64))))
+
+        for rows in hashes.slices(passing(), _no_cut):
+            sets = [s for s in shingle_sets([r[1] for r in rows]) if len(s)]
+            nodes = [shingles.fingerprint(s)[0] for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=_SETS)
+
+    return run
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -362,25 +449,29 @@ def groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    order = spark.sparkContext.broadcast(frequency_classes(texts))
+    classed, hot = frequency_classes(texts)
+    order = spark.sparkContext.broadcast(classed)
     kinds = "doc_id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, gid bigint, prefix array<bigint>, bits binary"
     rows = cut_lineage(texts.mapInArrow(_facts(order), kinds))
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text_hash")).alias("one")
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(LAST_ID)), "text_hash")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), key.alias("key"))).alias("one")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n", "gid").agg(least, F.min("doc_id").alias("id"), F.any_value("bits").alias("bits"))
-    classes = cut_lineage(classes.select(F.col("f1").alias("node"), "n", "gid", "one", "id", "bits"))
+    classes = cut_lineage(classes.select(F.col("f1").alias("node"), "n", "gid", "one.key", "id", "bits"))
 
-    members = cut_lineage(lists(rows, classes.select("node", "gid")))
-    wanted = members.select("node").distinct().join(classes, "node")
-    named = texts.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text_hash", "text")
-    named = named.join(wanted.select("one.id", "one.text_hash", "node"), ["id", "text_hash"]).select("node", "text")
-    sets = cut_lineage(named.mapInArrow(_sets, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    members = cut_lineage(partnered(lists(rows, classes.select("node", "gid", "n", "bits"), order, hot)))
+    wanted = cut_lineage(members.select("node").distinct().join(classes, "node").select("node", "n", "bits", bit_tables.name_of(F.col("key")).alias("id")))
+    # texts stay where they are: a bounded table tells which of them are read once more
+    table, bits = bit_tables.bit_table(wanted.select("id"))
+    read = texts.select(bit_tables.name_of(key).alias("name"), "text")
+    sets = cut_lineage(read.mapInArrow(_sets(spark.sparkContext.broadcast(table), bits), "node bigint, shingles array<bigint>"))
+    sets = sets.dropDuplicates(["node"])
 
-    full = classes.select("node", "n", "bits").join(sets, "node")
+    full = wanted.select("node", "n", "bits").join(sets, "node")
     links = cut_lineage(in_one_list(members, full, None, 0))
     roots = components(links)
     links = cut_lineage(links.unionByName(in_one_list(members, full, roots, 1)))
     roots = components(links)
-    more = cut_lineage(across_components(members, classes.select("node", "n", "bits"), roots))
+    more = cut_lineage(across_components(members, wanted.select("node", "n", "bits"), roots))
     links = cut_lineage(links.unionByName(_confirmed(more, sets)))
     roots = components(links)
 

@@ -101,3 +101,11 @@ def test_filters_are_bounds():
         both = np.stack((bits(x), bits(y)))
         may = len(prefix_join._may_link(both, np.array([len(x), len(y)]), 0, np.array([1]))) == 1
         assert may or not prefix_join._linked(x, y)
+
+
+def test_hot_shingles_lose_no_link(spark, documents, monkeypatch):
+    classes = prefix_join.frequency_classes
+    monkeypatch.setattr(prefix_join, "frequency_classes", lambda docs: (classes(docs)[0], 2))
+    monkeypatch.setattr(prefix_join, "PIECE", 4)
+    rows = list(enumerate(some_texts(23, 20)))
+    assert found(documents(rows)) == expected(rows)
