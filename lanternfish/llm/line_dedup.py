@@ -2,22 +2,26 @@
 
 A text is cut into chunks of lines. A rolling hash over the hashes of the last two lines decides where a chunk ends, so
 the cuts move with the lines when something is inserted above them. A line of `LONG_LINE` words or more is a chunk of its
-own, another content-defined cut. Chunks of two or more lines with a word, and long lines, are compared across the whole
-table: first by hash, then byte by byte. Of equal chunks only the first stays, in the order of doc_id, hash of the text,
-and position.
+own, another content-defined cut, since passages here often are one line. Chunks of two or more lines with a word, and
+long lines, are compared across the whole table.
 
 Cuts seldom coincide with the ends of a passage. So each two adjacent lines with a word (and the blank ones between) are
-compared likewise, and a run of lines of which every two adjacent ones stand together at an earlier place goes if it has
-`RUN_WORDS` words or more. What goes has an equal line at an earlier place, so every line is left somewhere.
+compared likewise, and pairs that follow each other here and at one earlier place make a run, which goes if it has
+`RUN_WORDS` words or more. The earlier place of a pair is the one before it in its own document, else the first one in the
+table, in the order of doc_id, hash of the text, and line.
+
+Hashes only say what to compare: the lines of a chunk or run are fetched from its earlier place and go where they are equal
+to it byte by byte. What goes has an equal line at an earlier place, so every line is left somewhere. Texts meet twice,
+those with earlier places and those that may lose something; all others stay where they are.
 
 Defined cases: a null text stays null and an empty one empty; documents may end up with an empty text, their rows stay;
-rows with the same doc_id and text keep or lose the same chunks; a null doc_id is ordered last; an empty table gives an
+rows with the same doc_id and text keep or lose the same lines; a null doc_id is ordered last; an empty table gives an
 empty result; other columns pass through, `n_chars` follows the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -29,6 +33,8 @@ CUT_BITS = 2
 LONG_LINE = 40
 #: Runs of repeated adjacent lines with so many words go.
 RUN_WORDS = 50
+#: Up to so many names of documents (16 bytes each) are handed to all tasks; more are brought together by shuffles.
+FEW_NAMES = 2_000_000
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -38,12 +44,27 @@ def _is_long(line: Column, long_line: int) -> Column:
     return (F.length(line) >= 2 * long_line - 1) & (F.size(words_of(line)) >= long_line)
 
 
-def _with_chunks(df: DataFrame, cut_bits: int, long_line: int) -> DataFrame:
-    """Add `lines`, `filled` (numbers of the lines with a word), `n_chunks`, and `chunks`: array of (first line from 0,
-    number of lines, hash, whether it counts), after the chunks the pairs of adjacent lines with a word."""
-    df = df.withColumn("lines", F.split("text", "\n", -1))
-    one = lambda x: F.struct(F.xxhash64(x).alias("h"), _is_long(x, long_line).alias("long"), x.rlike(HAS_WORD).alias("filled"))
-    df = df.withColumn("facts", F.transform("lines", one))
+def _hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    text = F.col("doc.text")
+    keyed = packed(docs).select(
+        F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *more
+    )
+    return keyed.withColumn("name", F.xxhash64("id", "text_hash"))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def units(docs: DataFrame, cut_bits: int = CUT_BITS, long_line: int = LONG_LINE) -> DataFrame:
+    """(id, text_hash, h, pair, line, n): hash, first line and number of lines of all chunks that count and of all pairs of
+    adjacent lines with a word; pair: number of the pair in its text, null for chunks."""
+    one = lambda x: F.struct(_hash(x).alias("h"), _is_long(x, long_line).alias("long"), x.rlike(HAS_WORD).alias("filled"))
+    df = _keyed(docs).select("id", "text_hash", F.transform(_lines(F.col("text")), one).alias("facts"))
     rolled = lambda h: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
     before = lambda i: F.coalesce(F.get("facts", i - 1)["h"], F.lit(0).cast("long"))
     ends_here = lambda x, i: (
@@ -52,102 +73,109 @@ def _with_chunks(df: DataFrame, cut_bits: int, long_line: int) -> DataFrame:
         | (rolled(before(i)).bitwiseXOR(x["h"]).bitwiseAND(F.lit((1 << cut_bits) - 1)) == 0)
     )
     df = df.withColumn("ends", F.array_compact(F.transform("facts", lambda x, i: F.when(ends_here(x, i), i))))
+    df = df.withColumn("filled", F.array_compact(F.transform("facts", lambda x, i: F.when(x["filled"], i))))
 
     def chunk(end: Column, k: Column) -> Column:
         first = F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
         part = F.slice("facts", first + 1, end - first + 1)
         counts = (F.size(F.filter(part, lambda x: x["filled"])) >= 2) | F.exists(part, lambda x: x["long"])
-        return F.struct(
-            first.alias("first"), (end - first + 1).alias("n"), F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h"), counts.alias("counts")
-        )
+        unit = F.struct(F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h"), F.lit(None).cast("int").alias("pair"), first.alias("line"), (end - first + 1).alias("n"))
+        return F.when(counts, unit)
 
     def pair(line: Column, q: Column) -> Column:
         after = F.get("filled", q + 1)
         # another number of values than a chunk's hash
         h = F.xxhash64(F.get("facts", line)["h"], F.get("facts", after)["h"], after - line)
-        return F.struct(line.alias("first"), (after - line + 1).alias("n"), h.alias("h"), F.lit(True).alias("counts"))
+        return F.struct(h.alias("h"), q.alias("pair"), line.alias("line"), (after - line + 1).alias("n"))
 
-    df = df.withColumn("filled", F.array_compact(F.transform("facts", lambda x, i: F.when(x["filled"], i))))
-    df = df.withColumn("n_chunks", F.size("ends"))
     pairs = F.transform(F.slice("filled", 1, F.greatest(F.size("filled") - 1, F.lit(0))), pair)
-    return df.withColumn("chunks", F.concat(F.transform("ends", chunk), pairs)).drop("facts", "ends")
-
+    found = F.concat(F.array_compact(F.transform("ends", chunk)), pairs)
+    return df.select("id", "text_hash", F.explode(found).alias("u")).select("id", "text_hash", "u.*")
 
-def _text_of(first: Column, n: Column) -> Column:
-    return F.array_join(F.slice(F.col("lines"), first + 1, n), "\n")
 
-
-def repeated_chunks(docs: DataFrame, cut_bits: int = CUT_BITS, long_line: int = LONG_LINE) -> DataFrame:
-    """(id, text_hash, gone): for documents that lose something, the numbers of the repeated chunks and pairs, from 0."""
-    chunked = lambda: _with_chunks(_keyed(docs), cut_bits, long_line)
-    # narrow occurrences, counted per document before they meet by hash
-    seen = cut_lineage(
-        chunked()
-        .select("id", "text_hash", F.posexplode_outer("chunks").alias("k", "c"))
-        .where("c.counts")
-        .select("id", "text_hash", "k", F.col("c.h").alias("h"))
-    )
-    several = (
-        seen.groupBy("h", "id", "text_hash").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    )
+def repeats(docs: DataFrame, cut_bits: int = CUT_BITS, long_line: int = LONG_LINE) -> DataFrame:
+    """(id, text_hash, run, line, n, e_id, e_text_hash, e_line): lines that may be equal to those of one earlier place, by
+    their hashes; run: whether they are pairs in a row, which need enough words."""
+    seen = cut_lineage(units(docs, cut_bits, long_line))
+    several = seen.groupBy("h").agg(F.min("id").alias("e_id"), F.count("*").alias("n")).where("n > 1").select("h", "e_id")
     suspects = cut_lineage(seen.join(several, "h"))
-    # the bytes of all suspects; equal ones are brought together by hash and bytes, with partial aggregation
-    wanted = suspects.groupBy("id", "text_hash").agg(F.collect_set("k").alias("ks"))
-    texts = (
-        chunked()
-        .select("id", "text_hash", "lines", "chunks")
-        .join(wanted, ["id", "text_hash"])
-        .select("id", "text_hash", "lines", "chunks", F.explode("ks").alias("k"))
-        .withColumn("c", F.get("chunks", F.col("k")))
-        .select(F.col("c.h").alias("h"), _text_of(F.col("c.first"), F.col("c.n")).alias("bytes"), "id", "text_hash", "k")
+    # few rows from here on, none of them wide
+    first = suspects.where("id = e_id").groupBy("h").agg(F.min(F.struct("text_hash", "line", "pair")).alias("e"))
+    first = cut_lineage(first.select("h", F.col("e.text_hash").alias("e_text_hash"), F.col("e.line").alias("e_line"), F.col("e.pair").alias("e_pair")))
+    placed = suspects.distinct().join(first, "h")
+    own = Window.partitionBy("id", "text_hash", "h").orderBy("line")
+    placed = placed.withColumn("own_line", F.lag("line").over(own)).withColumn("own_pair", F.lag("pair").over(own))
+    here = F.col("own_line").isNotNull()
+    earlier = placed.select(
+        "id", "text_hash", "pair", "line", "n",
+        F.when(here, F.col("id")).otherwise(F.col("e_id")).alias("e_id"),
+        F.when(here, F.col("text_hash")).otherwise(F.col("e_text_hash")).alias("e_text_hash"),
+        F.when(here, F.col("own_line")).otherwise(F.col("e_line")).alias("e_line"),
+        F.when(here, F.col("own_pair")).otherwise(F.col("e_pair")).alias("e_pair"),
+    ).where("id <> e_id or text_hash <> e_text_hash or line <> e_line")
+    earlier = cut_lineage(earlier)
+    chunks = earlier.where("pair is null").select("id", "text_hash", F.lit(False).alias("run"), "line", "n", "e_id", "e_text_hash", "e_line")
+
+    # pairs in a row, here and there; those of one text are no more than its lines
+    links = F.array_sort(F.collect_list(F.struct("pair", "line", "n", "e_id", "e_text_hash", "e_line", "e_pair"))).alias("links")
+    of_text = earlier.where("pair is not null").groupBy("id", "text_hash").agg(links)
+    follows = lambda b, a: (
+        (b["pair"] == a["pair"] + 1) & (b["e_pair"] == a["e_pair"] + 1) & (b["e_id"] == a["e_id"]) & (b["e_text_hash"] == a["e_text_hash"])
     )
-    groups = texts.groupBy("h", "bytes").agg(F.min(F.col("id")).alias("id"), F.count("*").alias("n")).select("h", F.sha2("bytes", 256).alias("bytes"), "id", "n")
-    groups = cut_lineage(groups)
-    # a hash with one text: every occurrence has been found equal. Other hashes are told apart by the bytes again.
-    mixed = groups.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
-    sure = mixed.where("texts = 1 and n > 1").select("h")
-    same = suspects.join(sure, "h").select(F.col("h").cast("string").alias("g"), "id", "text_hash", "k")
-    unsure = mixed.where("texts > 1").select("h")
-    apart = texts.join(unsure, "h").select(F.concat_ws(":", F.col("h").cast("string"), F.sha2("bytes", 256)).alias("g"), "id", "text_hash", "k")
-    members = same.unionByName(apart)
-    place = F.struct("id", "text_hash", "k")
-    firsts = members.groupBy("g", "id", "text_hash").agg(F.min("k").alias("k")).groupBy("g").agg(F.min(place).alias("first"))
-    firsts = cut_lineage(firsts)  # a join of two plain exchanges can be split where a chunk is everywhere
-    lost = members.join(firsts, "g").where(place != F.col("first"))
-    return lost.groupBy("id", "text_hash").agg(F.collect_set("k").alias("gone"))
+    starts = F.filter("links", lambda x, i: ~F.coalesce(follows(x, F.get("links", i - 1)), F.lit(False)))
+    ends = F.filter("links", lambda x, i: ~F.coalesce(follows(F.get("links", i + 1), x), F.lit(False)))
+    of_text = of_text.select("id", "text_hash", starts.alias("starts"), ends.alias("ends"))
+    run = F.zip_with("starts", "ends", lambda a, b: F.struct(
+        F.lit(True).alias("run"), a["line"].alias("line"), (b["line"] + b["n"] - a["line"]).alias("n"),
+        a["e_id"].alias("e_id"), a["e_text_hash"].alias("e_text_hash"), a["e_line"].alias("e_line"),
+    ))
+    runs = of_text.select("id", "text_hash", F.explode(run).alias("r")).select("id", "text_hash", "r.*")
+    return chunks.unionByName(runs)
 
 
-def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    text = F.col("doc.text")
-    return packed(docs).select(
-        F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *more
-    )
+def _named(docs: DataFrame, names: DataFrame, few: bool, how: str) -> DataFrame:
+    """Rows of docs whose name is (left_semi) or isn't (left_anti) among few names; without few names all or none."""
+    if few:
+        return docs.join(F.broadcast(names), "name", how)
+    return docs if how == "left_semi" else docs.where("false")
 
 
 def _deduplicated(docs: DataFrame, cut_bits: int, long_line: int) -> DataFrame:
-    """`doc` with `clean`, `n_lines` and `n_gone` (lines that went)."""
-    gone = repeated_chunks(docs, cut_bits, long_line)
-    df = _keyed(docs, "doc").join(gone, ["id", "text_hash"], "left")
-    # lines are looked at again only where chunks go
-    df = _with_chunks(df.withColumn("whole", F.col("text")).withColumn("text", F.when(F.col("gone").isNotNull(), F.col("text"))), cut_bits, long_line)
-    # numbers of repeated pairs that follow each other make a run
-    df = df.withColumn("pairs", F.array_sort(F.transform(F.filter("gone", lambda k: k >= F.col("n_chunks")), lambda k: k - F.col("n_chunks"))))
-    starts = F.filter("pairs", lambda q, i: ~F.coalesce(F.get("pairs", i - 1) == q - 1, F.lit(False)))
-    ends = F.filter("pairs", lambda q, i: ~F.coalesce(F.get("pairs", i + 1) == q + 1, F.lit(False)))
-    df = df.withColumn("runs", F.zip_with(starts, ends, lambda a, b: F.struct(F.get("filled", a).alias("first"), F.get("filled", b + 1).alias("last"))))
-    enough = F.filter("runs", lambda r: F.size(words_of(_text_of(r["first"], r["last"] - r["first"] + 1))) >= RUN_WORDS)
-    of_runs = F.flatten(F.transform(enough, lambda r: F.sequence(r["first"], r["last"])))
-    whole = F.transform(F.filter("gone", lambda k: k < F.col("n_chunks")), lambda k: F.get("chunks", k))
-    of_chunks = F.flatten(F.transform(whole, lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.concat(of_runs, of_chunks))
-    df = df.withColumn("left", F.when(F.col("gone").isNotNull(), left))
-    rest = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
-    n_left = F.size("left")
-    return df.select(
+    """`doc` with `clean` and `n_gone` (lines that went)."""
+    wanted = cut_lineage(repeats(docs, cut_bits, long_line))
+    name = lambda *of: F.xxhash64(*of).alias("name")
+    givers = cut_lineage(wanted.select(name("e_id", "e_text_hash")).distinct())
+    losers = cut_lineage(wanted.select(name("id", "text_hash")).distinct())
+    few_givers, few_losers = givers.count() <= FEW_NAMES, losers.count() <= FEW_NAMES
+
+    # lines of the earlier places, brought to the texts that may lose them
+    asked = wanted.groupBy("e_id", "e_text_hash").agg(F.collect_set(F.struct("e_line", "n")).alias("asked"))
+    asked = asked.withColumnsRenamed({"e_id": "id", "e_text_hash": "text_hash"})
+    giving = _named(_keyed(docs), givers, few_givers, "left_semi").select("id", "text_hash", "text")
+    giving = giving.join(asked, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+    giving = giving.select("id", "text_hash", _lines(F.col("text")).alias("lines"), F.explode("asked").alias("a"))
+    there = giving.select(
+        F.col("id").alias("e_id"), F.col("text_hash").alias("e_text_hash"), F.col("a.e_line").alias("e_line"), F.col("a.n").alias("n"),
+        F.array_join(F.slice("lines", F.col("a.e_line") + 1, F.col("a.n")), "\n").alias("bytes"),
+    )
+    brought = wanted.join(there, ["e_id", "e_text_hash", "e_line", "n"])
+    brought = brought.groupBy("id", "text_hash").agg(F.collect_list(F.struct("run", "line", "n", "bytes")).alias("brought"))
+
+    keyed = _keyed(docs, "doc")
+    losing = _named(keyed, losers, few_losers, "left_semi").join(brought, ["id", "text_hash"], "left")
+    losing = losing.withColumn("lines", F.when(F.col("brought").isNotNull(), _lines(F.col("text"))))
+    mine = lambda x: F.array_join(F.slice("lines", x["line"] + 1, x["n"]), "\n")
+    equal = F.filter("brought", lambda x: (mine(x) == x["bytes"]) & (~x["run"] | (F.size(words_of(x["bytes"])) >= RUN_WORDS)))
+    losing = losing.withColumn("gone", F.flatten(F.transform(equal, lambda x: F.sequence(x["line"], x["line"] + x["n"] - 1))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    losing = losing.withColumn("left", F.when(F.size("gone") > 0, left))
+    changed = losing.select(
         "doc",
-        F.when(F.col("gone").isNull(), F.col("whole")).otherwise(rest).alias("clean"),
-        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("lines") - n_left), F.lit(0)).cast("long").alias("n_gone"),
+        F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")).alias("clean"),
+        F.coalesce(F.when(F.col("left").isNotNull(), F.size("lines") - F.size("left")), F.lit(0)).cast("long").alias("n_gone"),
     )
+    same = _named(keyed, losers, few_losers, "left_anti").select("doc", F.col("text").alias("clean"), F.lit(0).cast("long").alias("n_gone"))
+    return changed.unionByName(same)
 
 
 def dedup_lines(docs: DataFrame, cut_bits: int = CUT_BITS, long_line: int = LONG_LINE) -> DataFrame:
