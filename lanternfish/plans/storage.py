@@ -131,27 +131,32 @@ def stream_validate_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def recent_sql(days: int) -> str:
-    """All windows that are final: their end lies at least two days before the last event."""
-    return f"""select {days} as days, (d + k)::date::varchar as until, event_type, count(*) as reports
-      from (select ts::date as d, event_type from events), (select unnest(generate_series(1, {days}))::integer as k)
-      where d + k <= (select max(ts) from events) - interval 2 day group by all"""
+def finished(query) -> int:
+    """Wait for a stream to end; the number of batches that its checkpoint counts."""
+    query.awaitTermination()
+    return query.lastProgress["batchId"] + 1 if query.lastProgress else 0
 
 
-@query("stream_recent_counts", " union all ".join(recent_sql(d) for d in (7, 14, 30)))
+LENGTHS = [7, 14, 30]
+
+
+@query(
+    "stream_recent_counts",
+    """select k.days::integer as days, (d + age)::date::varchar as until, event_type, count(*) as reports
+      from (select ts::date as d, event_type from events), (values (7), (14), (30)) k(days), (select unnest(generate_series(1, 30))::integer as age)
+      where age <= k.days group by all""",
+)
 def stream_recent_counts(spark: SparkSession, folder: str) -> DataFrame:
-    source = scratch_path(spark, "events")
+    """One stream keeps day counts; the windows of all lengths are read from them, those of today included."""
+    source, root, checkpoint = (scratch_path(spark, n) for n in ("events", "days", "days-checkpoint"))
     events = table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    # time-ordered files, as a log lands
-    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(source)
-    parts = []
-    for days in (7, 14, 30):
-        out, checkpoint = scratch_path(spark, "recent"), scratch_path(spark, "recent-checkpoint")
-        stream = growth.read_event_stream(spark, source, events.schema)
-        counts = growth.recent_counts(stream, "ts", days, ["event_type"])
-        growth.write_recent_counts(counts, out, checkpoint).awaitTermination()
-        parts.append(spark.read.schema(counts.schema).parquet(out).select(F.lit(days).alias("days"), "until", "event_type", "reports"))
-    return tables.union_snapshots(parts)
+    # time-ordered files, as a log lands: about as many as the table has files, a trigger for each
+    events.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(source)
+    stream = growth.read_event_stream(spark, source, events.schema, maxFilesPerTrigger="1")
+    counts = growth.day_counts(stream, "ts", ["event_type"])
+    batches = finished(growth.write_day_counts(counts, root, ["event_type"], checkpoint))
+    daily = growth.day_log(spark, root, counts, ["event_type"]).before(batches)
+    return growth.recent_counts(daily, LENGTHS, ["event_type"])
 
 
 @query(
@@ -173,10 +178,11 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
         ),
         "id",
     )
-    landed.select(*upsert.LANDED.names).repartition(3, "id").write.parquet(source)
+    # files as they land, a batch for every one
+    landed.select(*upsert.LANDED.names).repartition("id").write.parquet(source)
     stream = spark.readStream.schema(upsert.LANDED).option("maxFilesPerTrigger", 1).parquet(source)
-    upsert.stream_upsert(stream, root, checkpoint, ingest.NOW).awaitTermination()
-    records, state = upsert.latest(spark, root)
+    batches = finished(upsert.stream_upsert(stream, root, checkpoint, ingest.NOW))
+    records, state = upsert.latest(spark, root, batches)
     return state.join(records.select("id", "title"), "id", "left").select(
         "id", F.coalesce("title", F.lit("")).alias("title"), "url", "fetch_status"
     )

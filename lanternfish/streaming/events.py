@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .keyed_log import KeyedLog
+
 # Allowed event names and share methods.
 SHARE_EVENT = "share_clicked"
 ALLOWED_EVENTS = ("share_clicked", "shared_location_view")
@@ -60,33 +62,35 @@ def append_valid_events(raw: DataFrame, out: str, checkpoint: str) -> StreamingQ
     )
 
 
-def recent_counts(events: DataFrame, time: str, days: int, keys: list[str], lateness: str = "2 days") -> DataFrame:
-    """Counts of the last ``days`` days, sliding by one day; late rows still count within ``lateness``.
+DAY_COUNT = "n"
 
-    Two chained aggregations: rows are counted per day, and only the day counts are copied into
-    the windows they belong to. The same plan is a batch query on a table and an incremental one
-    on a stream, where a day or window is emitted once it is final.
-    """
-    per_key = [F.col(k) for k in keys]
-    daily = (
-        events.withWatermark(time, lateness)
-        .groupBy(F.window(time, "1 day").alias("day"), *per_key)
-        .agg(F.count("*").alias("n"))
-        .select(F.window_time("day").alias("day_time"), *keys, "n")
-    )
-    windowed = daily.groupBy(F.window("day_time", f"{days} days", "1 day").alias("w"), *per_key)
-    return windowed.agg(F.sum("n").alias("reports")).select(
-        F.date_format(F.col("w.end"), "yyyy-MM-dd").alias("until"), *keys, "reports"
-    )
 
+def day_counts(events: DataFrame, time: str, keys: list[str], lateness: str = "2 days") -> DataFrame:
+    """(day, keys, n). On a stream in update mode every trigger emits the days it has changed, open ones too, and the state
+    holds the days that may still change within ``lateness``; on a table the same plan is a plain count."""
+    daily = events.withWatermark(time, lateness).groupBy(F.window(time, "1 day").alias("w"), *keys)
+    return daily.agg(F.count("*").alias(DAY_COUNT)).select(F.to_date("w.start").alias("day"), *keys, DAY_COUNT)
 
-def write_recent_counts(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append each window once it is final."""
-    return (
-        counts.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+def day_log(spark: SparkSession, root: str, counts: DataFrame, keys: list[str]) -> KeyedLog:
+    return KeyedLog(spark, root, counts.schema, ["day", *keys])
+
+
+def write_day_counts(counts: DataFrame, root: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep a table of day counts up to date; a replayed trigger writes the same rows again."""
+    schema = counts.schema
+
+    def sink(batch: DataFrame, number: int) -> None:
+        KeyedLog(batch.sparkSession, root, schema, ["day", *keys]).write(batch, number)
+
+    return counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def recent_counts(daily: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
+    """(days, until, keys, reports): counts of the last ``days`` days before the day ``until``, for all lengths at once, from
+    day counts. A day counts in as many windows as they are long; windows that aren't over yet are included."""
+    ages = F.explode(F.sequence(F.lit(1), F.lit(max(lengths)))).alias("age")
+    aged = daily.select("day", *keys, DAY_COUNT, ages)
+    windows = F.explode(F.filter(F.array(*[F.lit(d) for d in sorted(lengths)]), lambda d: d >= F.col("age"))).alias("days")
+    spread = aged.select(F.date_add("day", F.col("age")).alias("until"), *keys, DAY_COUNT, windows)
+    return spread.groupBy("days", F.col("until").cast("string").alias("until"), *keys).agg(F.sum(DAY_COUNT).alias("reports"))

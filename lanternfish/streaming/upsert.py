@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import ingest
 from ..schema import RECORD, STATE
 from ..session import cut_lineage
+from .keyed_log import KeyedLog
 
 # Fetched pages as they land: status and the extracted record (or why there is none).
 LANDED = T.StructType(
@@ -25,43 +26,27 @@ LANDED = T.StructType(
 )
 
 
-def _known(spark: SparkSession, path: str, schema: T.StructType, before: int, ids: DataFrame | None = None) -> DataFrame:
-    """Newest version of every row written by batches before ``before``, optionally of some ids only.
-
-    The tables are logs: a batch adds the rows it changed in a folder of its own and touches
-    nothing older, so the work of a batch grows with the batch, not with the archive.
-    """
-    if not [b for b in _batches(spark, path) if b < before]:
-        return spark.createDataFrame([], schema)
-    logged = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
-    rows = spark.read.schema(logged).parquet(path).where(F.col("batch") < before)
-    if ids is not None:
-        rows = rows.join(ids, "id", "left_semi")
-    fields = [c for c in schema.names if c != "id"]
-    newest = rows.groupBy("id").agg(F.max_by(F.struct(*fields), "batch").alias("row"))
-    return newest.select("id", *[F.col(f"row.{c}").alias(c) for c in fields])
+def logs(spark: SparkSession, root: str) -> tuple[KeyedLog, KeyedLog]:
+    """Tables of records and of state."""
+    return KeyedLog(spark, f"{root}/records", RECORD, ["id"]), KeyedLog(spark, f"{root}/state", STATE, ["id"])
 
 
 def apply_batch(batch: DataFrame, number: int, root: str, now: str) -> None:
-    """Merge one micro-batch into the logs of records and state.
+    """Merge one micro-batch into the tables of records and state.
 
-    Only batches before this one are read and only this one's folders are written, so replaying
-    a batch after a failure gives the same tables.
+    Of several landings of an id the newest counts; of those with one date the greatest by status code, then by the other
+    fields in their order. Only what batches before this one have left is read, so replaying a batch after a failure gives
+    the same tables.
     """
-    spark = batch.sparkSession
-    # the newest landing of an id counts
-    fields = [c for c in batch.columns if c != "id"]
-    newest = cut_lineage(batch.groupBy("id").agg(F.max_by(F.struct(*fields), "sitemap_lastmod").alias("f")))
+    fields = ["sitemap_lastmod", "status_code", "url", "rejection", "warning", "record"]
+    newest = cut_lineage(batch.groupBy("id").agg(F.max(F.struct(*fields)).alias("f")))
     ids = newest.select("id")
-    records = _known(spark, f"{root}/records", RECORD, number, ids)
-    state = _known(spark, f"{root}/state", STATE, number, ids)
+    records, state = logs(batch.sparkSession, root)
     fetched = newest.select("id", "f.status_code", "f.rejection", "f.warning", "f.record")
     landed = newest.select("id", "f.url", "f.sitemap_lastmod")
-    joined = ingest.join_sources(landed, records, state, fetched)
-    ingest.merge_upsert(joined.where(ingest.fetch_status() == "ok")).write.mode("overwrite").parquet(
-        f"{root}/records/batch={number}"
-    )
-    ingest.next_state(joined, now).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+    joined = cut_lineage(ingest.join_sources(landed, records.before(number, ids), state.before(number, ids), fetched))
+    records.write(ingest.merge_upsert(joined.where(ingest.fetch_status() == "ok")), number)
+    state.write(ingest.next_state(joined, now), number)
 
 
 def stream_upsert(landing: DataFrame, root: str, checkpoint: str, now: str) -> StreamingQuery:
@@ -73,15 +58,7 @@ def stream_upsert(landing: DataFrame, root: str, checkpoint: str, now: str) -> S
     )
 
 
-def latest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Records and state after the last finished batch."""
-    upto = max(_batches(spark, f"{root}/state"), default=-1) + 1
-    return _known(spark, f"{root}/records", RECORD, upto), _known(spark, f"{root}/state", STATE, upto)
-
-
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches that were written completely."""
-    jvm = spark.sparkContext._jvm
-    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
-    files = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [int(s.getPath().getParent().getName().split("=")[1]) for s in files.globStatus(marks) or []]
+def latest(spark: SparkSession, root: str, batches: int) -> tuple[DataFrame, DataFrame]:
+    """Records and state after so many batches."""
+    records, state = logs(spark, root)
+    return records.before(batches), state.before(batches)
