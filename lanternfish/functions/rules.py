@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import UNKNOWN_PLACE
 from .text import let, squash_place
 
-# A CASE chain short-circuits and compiles well up to this many branches.
-CASE_LIMIT = 64
-
-# Refuse to inline rule tables that are not dictionary-sized.
-RULE_LIMIT = 5_000
-
 # Zone tag keywords.
 WATERFRONT = (
     "beach",
@@ -88,24 +82,15 @@ SEVERE_WORDS = ("thunder", "storm", "gale", "snow", "advisory", "warning")
 Rules = Sequence[tuple[str, str]]
 
 
-def rules_from_table(rules: DataFrame, limit: int = RULE_LIMIT) -> list[tuple[str, str]]:
-    """Rule dictionary (rule_order, pattern, label) as ordered pairs; its size is checked first."""
-    rows = rules.select("rule_order", "pattern", "label").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules: not a rule dictionary")
-    return [(row["pattern"], row["label"]) for row in sorted(rows, key=lambda row: row["rule_order"])]
-
-
 def first_match(text: Column, rules: Rules, default: Column | None = None) -> Column:
-    """Label of the first rule contained in ``text`` (already squashed); ``default`` or null otherwise."""
-    if len(rules) <= CASE_LIMIT:
-        chain = F.when(text.contains(rules[0][0]), F.lit(rules[0][1]))
-        for pattern, label in rules[1:]:
-            chain = chain.when(text.contains(pattern), F.lit(label))
-        return chain if default is None else chain.otherwise(default)
-    table = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(v).alias("label")) for p, v in rules])
-    hit = F.get(F.filter(table, lambda rule: F.contains(text, rule["pattern"])), F.lit(0))["label"]
-    return hit if default is None else F.coalesce(hit, default)
+    """Label of the first rule contained in ``text`` (already squashed); ``default`` or null otherwise.
+
+    For the few rules that stand in a program. Dictionaries are tables: ``operators.labels.first_match``.
+    """
+    chain = F.when(text.contains(rules[0][0]), F.lit(rules[0][1]))
+    for pattern, label in rules[1:]:
+        chain = chain.when(text.contains(pattern), F.lit(label))
+    return chain if default is None else chain.otherwise(default)
 
 
 def place_label(raw: Column, rules: Rules, default: str = UNKNOWN_PLACE) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, rules
-from ..operators import archive, checks, grouping, nearest, outliers, recency, series, zones
+from ..operators import archive, checks, grouping, labels, nearest, outliers, recency, series, zones
 from ..session import cut_lineage
 from ..sources import tables
 from ..streaming import events as growth
@@ -53,27 +53,49 @@ def year_filter(spark: SparkSession, folder: str) -> DataFrame:
     return f.groupBy("year").agg(F.count("*").alias("reports"))
 
 
-NEEDLE = "NATION_7"
 SEARCH_FIELDS = ["finder", "place", "number", "prio", "zone"]
-SEARCH_ORDER = ("year", "date_found", "id")
-HITS = f"""hits as (
-  select * from finds where contains(lower(finder), 'nation_7') or contains(lower(place), 'nation_7')
-     or contains(cast(number as varchar), 'nation_7') or contains(lower(prio), 'nation_7')
-     or contains(lower(zone), 'nation_7') or place = '{NEEDLE}'
-  order by year desc, date_found desc, id desc limit 50)"""
+SEARCH_ORDER = ["year", "date_found", "id"]
 
 
 def search_order():
     return [F.col(c).desc() for c in SEARCH_ORDER]
 
 
-def hits(spark: SparkSession, folder: str) -> DataFrame:
-    return archive.search(views.finds(spark, folder), "nation_7", NEEDLE, SEARCH_FIELDS, "place", search_order())
+def place_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The place dictionary: a rule per nation, in the order of their numbers."""
+    n = table(spark, folder, "nation")
+    return n.select(F.col("n_nationkey").alias("rule_order"), F.lower("n_name").alias("pattern"), F.col("n_name").alias("label"))
 
 
-@query("search_archive", f"with {views.FINDS}, {HITS} select id, year, cast(date_found as varchar) as date_found, place, finder from hits")
+def searches(spark: SparkSession, folder: str) -> DataFrame:
+    """Search texts: names of places and zones, numbers with and without a sign, priorities."""
+    n, r, o = (table(spark, folder, t) for t in ("nation", "region", "orders"))
+    key = F.col("n_nationkey").cast("string")
+    texts = [n.select(F.lower("n_name")), n.select(F.concat(F.lit("#"), key)), n.select(key), r.select(F.lower("r_name")), o.select("o_orderpriority")]
+    return tables.union_snapshots([t.toDF("search") for t in texts]).distinct()
+
+
+PLACE_LABEL = "(select n_name from nation where contains(lower({0}), lower(n_name)) order by n_nationkey limit 1)"
+
+
+@query(
+    "search_archive",
+    f"""with {views.FINDS}, asked as (select distinct s, {PLACE_LABEL.format("s")} as asked_label from (
+          select lower(n_name) as s from nation union all select '#' || n_nationkey from nation union all select n_nationkey::varchar from nation
+          union all select lower(r_name) from region union all select o_orderpriority from orders)),
+        named as (select place, {PLACE_LABEL.format("place")} as row_label from (select distinct place from finds)),
+        hits as (select s as search, f.*, row_number() over (partition by s order by year desc, date_found desc, id desc) as rank
+          from asked, finds f join named using (place)
+          where contains(lower(finder), lower(s)) or contains(lower(place), lower(s)) or contains(number::varchar, lower(s))
+             or contains(lower(prio), lower(s)) or contains(lower(zone), lower(s)) or contains(lower(coalesce(row_label, 'Other/Unknown')), lower(s))
+             or (not contains(s, '#') and row_label = asked_label))
+        select search, rank::integer as rank, id, year, cast(date_found as varchar) as date_found, place, finder from hits where rank <= 50""",
+)
 def search_archive(spark: SparkSession, folder: str) -> DataFrame:
-    return hits(spark, folder).select("id", "year", F.col("date_found").cast("string").alias("date_found"), "place", "finder")
+    found = labels.search(
+        views.finds(spark, folder), searches(spark, folder), place_rules(spark, folder), SEARCH_FIELDS, "place", "id", SEARCH_ORDER
+    )
+    return found.select("search", "rank", "id", "year", F.col("date_found").cast("string").alias("date_found"), "place", "finder")
 
 
 @query(

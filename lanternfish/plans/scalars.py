@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import dates, geo, rules, text
+from ..operators import labels
 from ..operators.overrides import apply_overrides
 from . import views
 from .registry import query, table
@@ -439,9 +440,27 @@ ANCHORS = (("hot", "Furnace Loop"), ("blue", "Lagoon Trail"))
 
 @query("first_match_label", f"with p as (select p_partkey, lower(p_name) as t from part) select p_partkey, {PART_CASE} as label from p")
 def first_match_label(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select(
-        "p_partkey", rules.place_label(F.col("p_name"), PART_RULES).alias("label")
-    )
+    table_of_rules = [(k, pattern, label) for k, (pattern, label) in enumerate(PART_RULES)]
+    rule_table = spark.createDataFrame(table_of_rules, "rule_order int, pattern string, label string")
+    return labels.first_match(table(spark, folder, "part"), "p_name", rule_table).select("p_partkey", "label")
+
+
+@query(
+    "first_match_label_table",
+    """with t as (select o_orderkey, o_orderkey::varchar as k from orders where o_orderkey % 7 <> 0),
+        p as (select o_orderkey, unnest(list_transform(range(1, len(k) + 1), lambda i: k[1:i]))::bigint as n from t),
+        m as (select p.o_orderkey, max(r.o_orderkey) as n from p join orders r on r.o_orderkey = p.n group by 1)
+        select o.o_orderkey as id, coalesce(r.o_orderpriority || ' ' || r.o_orderkey, 'Other/Unknown') as label
+        from orders o left join m using (o_orderkey) left join orders r on r.o_orderkey = m.n""",
+)
+def first_match_label_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A dictionary of one rule per order: lot 12 is part of the text of lot 123 too, so rules of higher numbers come first."""
+    o = table(spark, folder, "orders")
+    key = F.col("o_orderkey").cast("string")
+    rule_table = o.select((-F.col("o_orderkey")).alias("rule_order"), F.concat(F.lit("lot "), key).alias("pattern"), F.concat_ws(" ", "o_orderpriority", key).alias("label"))
+    word = F.when(F.col("o_orderkey") % 7 == 0, "box ").otherwise("The LOT - ")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.concat(word, key, F.lit(", sold")).alias("place"))
+    return labels.first_match(rows, "place", rule_table).select("id", "label")
 
 
 @query(

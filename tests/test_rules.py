@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lanternfish.functions import rules
+from lanternfish.operators import labels
 
 RULES = (("harbor", "Harbor"), ("new harbor", "New Harbor"), ("hill", "Hill Road"))
 
@@ -12,11 +15,43 @@ def test_first_declared_rule_wins(column):
     ]
 
 
-def test_large_rule_sets_agree_with_case(column):
-    many = [(f"word{i} ", f"Label {i}") for i in range(rules.CASE_LIMIT + 40)]
-    texts = [f"a word{i} b word{j} c" for i, j in [(3, 1), (90, 100), (5, 5), (300, 200)]]
-    label = lambda c: rules.first_match(c, many, F.lit("none"))
-    assert column(label, texts) == ["Label 1", "Label 90", "Label 5", "none"]
+def test_rule_tables_of_any_size(spark):
+    """Against a plain loop: patterns inside words, over several words, within each other, of one letter, with equal orders."""
+    rng = random.Random(8)
+    words = ["rod", "road", "new", "harbor", "pier", "a", "hill", "old mill", "mill road"]
+    table = [(k % 150, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 12))).strip() or "zz", f"L{k}") for k in range(300)]
+    table += [(150 + k, w, w.title()) for k, w in enumerate(words)] + [(7, "", "blank")]
+    texts = [" ".join(rng.choice(words + ["abcd", "efgh", "xx", "q"]) for _ in range(rng.randrange(0, 5))) for _ in range(120)] + [None, "", "Old   MILL-road"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, place string")
+    rule_table = spark.createDataFrame(table, "rule_order int, pattern string, label string")
+    got = {r["id"]: r["label"] for r in labels.first_match(rows, "place", rule_table).collect()}
+    for k, text in enumerate(texts):
+        squashed = " ".join((text or "").lower().replace("-", " ").split())
+        fits = sorted((o, p, v) for o, p, v in table if p and p in squashed)
+        assert got[k] == (fits[0][2] if fits else "Other/Unknown"), text
+
+
+def test_many_rules_cost_a_text_only_those_of_its_anchor(spark):
+    rule_table = spark.range(50_000).select((-F.col("id")).alias("rule_order"), F.concat(F.lit("stop "), F.col("id")).alias("pattern"), F.concat(F.lit("S"), F.col("id")).alias("label"))
+    rows = spark.createDataFrame([("Stop 123",), ("at stop 49999!",), ("bus stop",)], "place string")
+    assert {r["place"]: r["label"] for r in labels.first_match(rows, "place", rule_table).collect()} == {
+        "Stop 123": "S123", "at stop 49999!": "S49999", "bus stop": "Other/Unknown"
+    }
+    assert labels.anchored(rule_table).groupBy("anchor").count().agg(F.max("count")).first()[0] <= 11
+
+
+def test_search_many_texts_at_once(spark):
+    rows = spark.createDataFrame(
+        [(1, 2024, "Ann", "the new harbor", "12"), (2, 2025, "Bob", "harbour", "7"), (3, 2023, "Cid", "hill", "112"), (4, 2025, None, None, None)],
+        "id int, year int, finder string, place string, number string",
+    )
+    rule_table = spark.createDataFrame([(1, "harbo", "Harbor"), (2, "hill", "Hill Road")], "rule_order int, pattern string, label string")
+    asked = spark.createDataFrame([(x,) for x in ("HARBOR ", "hill road", "12", "#12", "bob", "", "harbour #", "ROAD")], "search string")
+    found = labels.search(rows, asked, rule_table, ["finder", "place", "number"], "place", "id", ["year", "id"])
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["search"], r["rank"])):
+        got.setdefault(r["search"], []).append(r["id"])
+    assert got == {"HARBOR ": [2, 1], "hill road": [3], "12": [1, 3], "bob": [2], "ROAD": [3]}
 
 
 def test_gated(column):
@@ -29,16 +64,6 @@ def test_gated(column):
     ]
 
 
-def test_rule_table_is_ordered_and_bounded(spark):
-    table = spark.createDataFrame([(2, "b", "B"), (1, "a", "A")], "rule_order int, pattern string, label string")
-    assert rules.rules_from_table(table) == [("a", "A"), ("b", "B")]
-    try:
-        rules.rules_from_table(table, limit=1)
-    except ValueError:
-        return
-    raise AssertionError("an oversized rule table must be refused")
-
-
 def test_conditions(column):
     assert column(rules.condition_bucket, ["Mostly Sunny", "Partly Cloudy", "Light rain", "odd"]) == [
         "☀️", "⛅", "☔", "\U0001f321️",
