@@ -39,8 +39,10 @@ SIMILAR = 85
 #: Places of the counting table that orders shingles, as a power of two; 1 MB when it is handed out.
 PLACES = 20
 _CHUNK = 1 << 16
-#: Bits of the filter on full sets.
-BITS = 1024
+#: Bits of the filter on full sets, and of a second one for sets of more than `LARGE` shingles.
+BITS, MORE_BITS, LARGE = 1024, 16384, 1500
+#: Up to so many names (8 bytes each) are handed to all tasks to tell which sets a round needs.
+FEW_NAMES = 2_000_000
 #: Classes of a list that are compared with each other in one task.
 PIECE = 1000
 #: Neighbours in a list, by size, that are looked at before lists are made.
@@ -122,13 +124,13 @@ def frequency_classes(docs: DataFrame) -> tuple[bytes, int]:
 # ---------------------------------------------------------------- facts, groups and lists
 
 _FACTS = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary()), ("more_bits", pa.binary())]
 )
 
 
-def _bits(s: np.ndarray) -> bytes:
+def _bits(s: np.ndarray, bits: int = BITS) -> bytes:
     """Parity of the shingles on each bit: two sets differ in at least as many shingles as these in bits."""
-    return np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _facts(classes):
@@ -140,7 +142,7 @@ def _facts(classes):
                 rank = np.lexsort((s, of_place[s >> np.uint64(64 - PLACES)]))
                 prefix = s[rank[: prefix_length(len(s))]]
                 gid = np.add.reduce(hashes.spread(prefix ^ hashes.spread(np.array([len(s)], np.uint64)))) if len(s) else np.uint64(0)
-                out.append((doc_id, text_hash, len(s), *shingles.fingerprint(s), int(gid.view(np.int64)), prefix.view(np.int64), _bits(s)))
+                out.append((doc_id, text_hash, len(s), *shingles.fingerprint(s), int(gid.view(np.int64)), prefix.view(np.int64), _bits(s), _bits(s, MORE_BITS) if len(s) > LARGE else None))
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _FACTS)], schema=_FACTS)
 
@@ -327,18 +329,20 @@ def _open_pairs(rows: pa.Table) -> list[tuple[int, int]]:
 
 def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task over members that come sorted by token: those whose size and bits allow a link with another one of the list.
-    Lists of more than `PIECE` members pass whole."""
+    Lists of more than `PIECE` members pass whole. Large sets come with the other one, null in lists of over `NEAR` + 1."""
 
     def told(rows: pa.Table) -> pa.Table:
-        token, n = _columns(rows, "token", "n")
-        bits, keep = _words_of_bits(rows), np.zeros(len(token), bool)
+        token, n, node = _columns(rows, "token", "n", "node")
+        bits, keep, pairs = _words_of_bits(rows), np.zeros(len(token), bool), []
         first, size = hashes.runs(token)
         for k in range(1, min(NEAR, len(token) - 1) + 1):
             i = np.flatnonzero((token[k:] == token[:-k]) & np.repeat(size <= NEAR + 1, size)[k:])
             i = i[100 * np.minimum(n[i], n[i + k]) >= SIMILAR * np.maximum(n[i], n[i + k])]
             apart = np.bitwise_count(bits[i] ^ bits[i + k]).sum(axis=1, dtype=np.int64)
             i = i[(100 + SIMILAR) * apart <= (100 - SIMILAR) * (n[i] + n[i + k])]
-            keep[i] = keep[i + k] = True
+            both = (n[i] > LARGE) & (n[i + k] > LARGE)
+            pairs += [(i[both], node[i + k][both]), (i[both] + k, node[i][both])]
+            keep[i[~both]] = keep[i[~both] + k] = True
         for a, m in zip(first[size > NEAR + 1], size[size > NEAR + 1]):
             if m > PIECE:
                 keep[a : a + m] = True
@@ -347,14 +351,21 @@ def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = _may_link(bits, n, b, np.arange(a, b))
                 keep[some] = True
                 keep[b] |= len(some) > 0
-        return rows.select(["token", "pos", "gid", "node"]).filter(pa.array(keep))
+        kept = rows.select(["token", "pos", "gid", "node"])
+        at = np.concatenate([np.flatnonzero(keep), *[i for i, _ in pairs]])
+        other = np.concatenate([np.zeros(int(keep.sum()), np.int64), *[x for _, x in pairs]])
+        known = np.concatenate([np.zeros(int(keep.sum()), bool), *[np.ones(len(i), bool) for i, _ in pairs]])
+        return kept.take(pa.array(at)).append_column("other", pa.array(other, mask=~known))
+
+    def whole(rows: pa.Table) -> pa.Table:
+        return rows.select(["token", "pos", "gid", "node"]).append_column("other", pa.nulls(rows.num_rows, pa.int64()))
 
     held, passing = None, None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         if passing is not None:  # the rest of a list that has passed
             same = rows["token"].to_numpy() == passing
-            yield from rows.filter(pa.array(same)).select(["token", "pos", "gid", "node"]).combine_chunks().to_batches()
+            yield from whole(rows.filter(pa.array(same))).combine_chunks().to_batches()
             rows = rows.filter(pa.array(~same))
         if held is not None:
             rows = pa.concat_tables([held, rows])
@@ -370,11 +381,29 @@ def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(held).combine_chunks().to_batches()
 
 
-def partnered(members: DataFrame) -> DataFrame:
-    """(token, pos, gid, node): members of lists without those whose bits rule out all others of their list."""
+def _far_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task over pairs of large sets: those that the second bits don't rule out."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, MORE_BITS // 64) for c in ("x", "y"))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        yield batch.select(["node"]).filter(pa.array((100 + SIMILAR) * apart <= (100 - SIMILAR) * batch["n"].to_numpy()))
+
+
+def partnered(members: DataFrame, large: DataFrame) -> DataFrame:
+    """(token, pos, gid, node): members of lists without those whose bits rule out all others of their list.
+
+    large: (node, n, more_bits). What keeps large sets in small lists is checked once for each pair of them, whatever the
+    number of shingles they share."""
     columns = ["token", "pos", "gid", "node"]
     ordered = members.where("not hot").select(*columns, "n", "bits").repartition("token").sortWithinPartitions("token")
-    return members.where("hot").select(*columns).unionByName(ordered.mapInArrow(_partnered, "token bigint, pos bigint, gid bigint, node bigint"))
+    found = cut_lineage(ordered.mapInArrow(_partnered, "token bigint, pos bigint, gid bigint, node bigint, other bigint"))
+    pairs = found.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    of = lambda side, bits: large.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("more_bits").alias(bits))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    ends = both.select(F.array("a", "b").alias("node"), (F.col("na") + F.col("nb")).alias("n"), "x", "y").mapInArrow(_far_apart, "node array<bigint>")
+    near = cut_lineage(ends.select(F.explode("node").alias("node")).distinct())
+    kept = found.where("other is null").select(*columns).unionByName(found.where("other is not null").join(near, "node", "left_semi").select(*columns).distinct())
+    return members.where("hot").select(*columns).unionByName(kept)
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -383,13 +412,21 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def in_one_list(members: DataFrame, full: DataFrame, roots: DataFrame | None, salt: int) -> DataFrame:
+def _needed(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sets of some nodes, each once; where nodes are few, others aren't shuffled to find out."""
+    if nodes.count() <= FEW_NAMES:
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
+    return sets.dropDuplicates(["node"])
+
+
+def in_one_list(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame | None, salt: int) -> DataFrame:
     """(a, b): links found when every class is compared in its largest list of several components."""
     rooted = cut_lineage(_rooted(members, roots).select("token", "node", "root"))
     crowds = rooted.groupBy("token").agg(F.count("*").alias("crowd"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     chosen = rooted.join(crowds.select("token", "crowd"), "token").groupBy("node", "root").agg(F.max(F.struct("crowd", "token")).alias("at"))
     dealt = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("at.crowd") / PIECE))
-    placed = chosen.select(F.xxhash64("at.token", dealt).alias("piece"), "node", "root").join(full, "node")
+    placed = cut_lineage(chosen.select(F.xxhash64("at.token", dealt).alias("piece"), "node", "root"))
+    placed = placed.join(classes, "node").join(_needed(sets, placed.select("node")), "node")
     ordered = placed.select("piece", "node", "n", "root", "bits", "shingles").repartition("piece").sortWithinPartitions("piece", "node")
     return ordered.mapInArrow(_by_piece(_links_within), "a bigint, b bigint")
 
@@ -417,6 +454,8 @@ def across_components(members: DataFrame, classes: DataFrame, roots: DataFrame)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    ends = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _needed(sets, ends)
     of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -451,27 +490,27 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     classed, hot = frequency_classes(texts)
     order = spark.sparkContext.broadcast(classed)
-    kinds = "doc_id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, gid bigint, prefix array<bigint>, bits binary"
+    kinds = "doc_id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, gid bigint, prefix array<bigint>, bits binary, more_bits binary"
     rows = cut_lineage(texts.mapInArrow(_facts(order), kinds))
     key = F.xxhash64(F.coalesce("doc_id", F.lit(LAST_ID)), "text_hash")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), key.alias("key"))).alias("one")
-    classes = rows.where("n > 0").groupBy("f1", "f2", "n", "gid").agg(least, F.min("doc_id").alias("id"), F.any_value("bits").alias("bits"))
-    classes = cut_lineage(classes.select(F.col("f1").alias("node"), "n", "gid", "one.key", "id", "bits"))
+    classes = rows.where("n > 0").groupBy("f1", "f2", "n", "gid").agg(least, F.min("doc_id").alias("id"), F.any_value("bits").alias("bits"), F.any_value("more_bits").alias("more_bits"))
+    classes = cut_lineage(classes.select(F.col("f1").alias("node"), "n", "gid", "one.key", "id", "bits", "more_bits"))
 
-    members = cut_lineage(partnered(lists(rows, classes.select("node", "gid", "n", "bits"), order, hot)))
+    large = classes.where(F.col("n") > LARGE).select("node", "n", "more_bits")
+    members = cut_lineage(partnered(lists(rows, classes.select("node", "gid", "n", "bits"), order, hot), large))
     wanted = cut_lineage(members.select("node").distinct().join(classes, "node").select("node", "n", "bits", bit_tables.name_of(F.col("key")).alias("id")))
     # texts stay where they are: a bounded table tells which of them are read once more
     table, bits = bit_tables.bit_table(wanted.select("id"))
     read = texts.select(bit_tables.name_of(key).alias("name"), "text")
     sets = cut_lineage(read.mapInArrow(_sets(spark.sparkContext.broadcast(table), bits), "node bigint, shingles array<bigint>"))
-    sets = sets.dropDuplicates(["node"])
 
-    full = wanted.select("node", "n", "bits").join(sets, "node")
-    links = cut_lineage(in_one_list(members, full, None, 0))
+    some = wanted.select("node", "n", "bits")
+    links = cut_lineage(in_one_list(members, some, sets, None, 0))
     roots = components(links)
-    links = cut_lineage(links.unionByName(in_one_list(members, full, roots, 1)))
+    links = cut_lineage(links.unionByName(in_one_list(members, some, sets, roots, 1)))
     roots = components(links)
-    more = cut_lineage(across_components(members, wanted.select("node", "n", "bits"), roots))
+    more = cut_lineage(across_components(members, some, roots))
     links = cut_lineage(links.unionByName(_confirmed(more, sets)))
     roots = components(links)
 

@@ -78,7 +78,7 @@ def test_chain_of_links_reaches_all(spark, documents):
 
 def test_all_rounds_together_find_what_the_last_alone_finds(spark, documents, monkeypatch):
     rows = list(enumerate(some_texts(22, 25)))
-    monkeypatch.setattr(prefix_join, "in_one_list", lambda members, full, roots, salt: members.sparkSession.createDataFrame([], "a bigint, b bigint"))
+    monkeypatch.setattr(prefix_join, "in_one_list", lambda members, classes, sets, roots, salt: members.sparkSession.createDataFrame([], "a bigint, b bigint"))
     monkeypatch.setattr(prefix_join, "PIECE", 2)
     assert found(documents(rows)) == expected(rows)
 
@@ -109,3 +109,12 @@ def test_hot_shingles_lose_no_link(spark, documents, monkeypatch):
     monkeypatch.setattr(prefix_join, "PIECE", 4)
     rows = list(enumerate(some_texts(23, 20)))
     assert found(documents(rows)) == expected(rows)
+
+
+def test_large_sets_are_checked_by_pairs(spark, documents, monkeypatch):
+    monkeypatch.setattr(prefix_join, "FEW_NAMES", 0)
+    rng = random.Random(24)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2500)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[40:])), (2, " ".join([*base[:1250], *(f"v{k}" for k in range(1250))])), (3, " ".join(base[600:]))]
+    rows += [(k, " ".join(rng.choice(base) for _ in range(2300))) for k in range(4, 12)]
+    assert found(documents(rows)) == expected(rows)
