@@ -281,6 +281,16 @@ def model_gate(measured: DataFrame) -> DataFrame:
     )
 
 
+def selection(measured: DataFrame) -> DataFrame:
+    """One row: the model that the gate selects and its top-3 accuracy, the kernel's where the model wasn't measured, 0
+    where nothing was."""
+    gate = model_gate(measured).select("primary_model")
+    of = measured.select("model", F.col("top3_accuracy").cast("double").alias("top3_accuracy"))
+    pick = lambda name: F.max(F.when(F.col("model") == name, F.col("top3_accuracy")))
+    found = of.join(F.broadcast(gate), how="right").groupBy("primary_model")
+    return found.agg(F.coalesce(pick(F.col("primary_model")), pick("kernel_seasonal"), F.lit(0.0)).alias("top3_accuracy"))
+
+
 def forest_metrics(counts: DataFrame, trees: int = TREES) -> DataFrame:
     """Metrics of the forest; empty below 10 rows, 2 years or 2 labels, as in ``backtest``."""
     days = F.dayofyear("date").alias("day_of_year"), F.month("date").alias("month")

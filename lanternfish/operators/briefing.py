@@ -20,6 +20,9 @@ ACTIVE, STEADY = 7.5, 4.5
 BEST, USEFUL = 0.85, 0.6
 LEAD_STEP = 0.7
 STALE_HOURS = 48
+# Model whose scores take the live context into account.
+HYBRID = "hybrid_zone"
+
 TOP_ZONES = 3
 
 # Texts of the briefing.
@@ -228,11 +231,14 @@ def lead_changes(priors: DataFrame, activity: DataFrame, leads: DataFrame) -> Da
     return joined.select("date", text.alias("lead_change"))
 
 
-def daily_briefing(scored: DataFrame, priors: DataFrame, activity: DataFrame, model: str, top3_accuracy: Column) -> DataFrame:
-    """Top three zones per date with score, labels, tags, confidence and lead change."""
+def daily_briefing(scored: DataFrame, priors: DataFrame, activity: DataFrame, selection: DataFrame) -> DataFrame:
+    """Top three zones per date with score, labels, tags, confidence and lead change.
+
+    ``selection``: one row (primary_model, top3_accuracy) of the backtest. Which scores count is decided inside the plan.
+    """
     base = F.col("prior")
     full = base * F.col("calendar_mult") * F.col("recency_mult") * F.col("tide_mult") * F.col("weather_mult")
-    scores = scored.withColumn("score", full if model == "hybrid_zone" else base)
+    scores = scored.join(F.broadcast(selection)).withColumn("score", F.when(F.col("primary_model") == HYBRID, full).otherwise(base))
     top = top_per_group(scores, ["date"], [F.col("score").desc(), F.col("zone").asc()], TOP_ZONES)
     # three rows per date from here on
     per_date = W.partitionBy("date")
@@ -258,9 +264,10 @@ def daily_briefing(scored: DataFrame, priors: DataFrame, activity: DataFrame, mo
         index.alias("activity_score"),
         activity_label(index).alias("activity_label"),
         confidence_band(
-            top3_accuracy, F.col("_lead.dated_support_count"), F.col("_lead.years"), F.col("_lead.live_features")
+            F.col("top3_accuracy"), F.col("_lead.dated_support_count"), F.col("_lead.years"), F.col("_lead.live_features")
         ).alias("confidence_band"),
         "lead_change",
+        F.col("primary_model").alias("selected_model"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, briefing, recency, seasonal, series, zones
+from ..operators import archive, backtest, briefing, recency, seasonal, series, zones
 from ..session import cut_lineage
 from . import reports, scalars, views
 from .registry import query, table
@@ -440,8 +440,9 @@ scored as (
 BRIEFING = f"{ZF}, {PROFILES}, {PRIORS}, {CONTEXT}, {RECENT}, {MULTIPLIERS}"
 
 
-def scored(spark: SparkSession, folder: str, counts: DataFrame | None = None) -> DataFrame:
+def scored(spark: SparkSession, folder: str, counts: DataFrame | None = None, priors: DataFrame | None = None) -> DataFrame:
     counts = zone_counts(spark, folder) if counts is None else counts
+    priors = seasonal.seasonal_priors(counts) if priors is None else priors
     dates = counts.select("date").distinct()
     targets = dates.select(F.col("date").alias("target"))
     f = views.finds_core(spark, folder).select("date_found")
@@ -456,7 +457,7 @@ def scored(spark: SparkSession, folder: str, counts: DataFrame | None = None) ->
     )
     return briefing.scored_zones(
         dates,
-        seasonal.seasonal_priors(counts),
+        priors,
         profiles(spark, folder, counts),
         near,
         everywhere,
@@ -481,9 +482,13 @@ for _name in ("calendar", "recency", "tide", "weather"):
     )(multiplier_query(f"{_name}_mult"))
 
 
-TOP3_ACCURACY = 0.15
-BRIEF_SQL = f"""{ACTIVITY},
-final as (select *, prior * calendar_mult * recency_mult * tide_mult * weather_mult as score from scored),
+SELECTED = f"""{FOLDS}, {KERNELS}, {HYBRID.removeprefix(f"{FEATURES}, {ALL_KEYS}, ")},
+{evaluate_sql("dk", [("day_of_year", "dayofyear(d)")], "kernel_seasonal")}, {EVAL_HYBRID}, {GATE_SQL},
+selected as (select case when k3 > 0 and h3 >= k3 * 1.10 and hl < kl then 'hybrid_zone' else 'kernel_seasonal' end as selected_model,
+   coalesce(case when k3 > 0 and h3 >= k3 * 1.10 and hl < kl then h3 else k3 end, 0.0) as acc from gate)"""
+BRIEF_SQL = f"""{ACTIVITY}, {SELECTED},
+final as (select *, prior * case when selected_model = 'hybrid_zone' then calendar_mult * recency_mult * tide_mult * weather_mult else 1.0 end as score
+  from scored, selected),
 top as (select *, row_number() over (partition by date order by score desc, zone) as rank from final qualify rank <= 3),
 strongest as (select day, label as lead_before from (select *, row_number() over (partition by day order by prior desc, label) as k from priors) where k = 1),
 lead as (select date, zone as lead_zone, dated_support_count as ds, years as yrs, live_features as lf from top where rank = 1),
@@ -493,7 +498,8 @@ brief as (
          when t.score / max(t.score) over (partition by t.date) >= 0.6 then 'Useful fallback' else 'Thin support' end as signal,
     case when len(tg) > 0 then array_to_string(tg[1:3], ',') else 'Strong base seasonal signal' end as reason_tags,
     a.activity as activity_score, case when a.activity >= 7.5 then 'Active' when a.activity >= 4.5 then 'Steady' else 'Quiet' end as activity_label,
-    case when {TOP3_ACCURACY} >= 0.2 and ds >= 18 and yrs >= 3 and lf >= 2 then 'high' when {TOP3_ACCURACY} >= 0.1 and ds >= 8 and yrs >= 2 then 'medium' else 'low' end as confidence_band,
+    case when acc >= 0.2 and ds >= 18 and yrs >= 3 and lf >= 2 then 'high' when acc >= 0.1 and ds >= 8 and yrs >= 2 then 'medium' else 'low' end as confidence_band,
+    t.selected_model,
     case when lead_zone <> lead_before then 'Lead zone rotated from ' || lead_before || ' to ' || lead_zone || '.'
          when round(a.activity - b.activity, 6) >= 0.7 then 'Island-wide activity strengthened from yesterday.'
          when round(a.activity - b.activity, 6) <= -0.7 then 'Island-wide activity softened from yesterday.'
@@ -507,14 +513,11 @@ brief as (
 
 
 def brief(spark: SparkSession, folder: str) -> DataFrame:
+    """The chain from counts to the briefing: backtest, gate, selected model with its measured accuracy, ranked zones."""
     counts = zone_counts(spark, folder)
-    return briefing.daily_briefing(
-        scored(spark, folder, counts),
-        seasonal.seasonal_priors(counts),
-        seasonal.activity_index(counts),
-        "hybrid_zone",
-        F.lit(TOP3_ACCURACY),
-    )
+    priors, activity = cut_lineage(seasonal.seasonal_priors(counts)), cut_lineage(seasonal.activity_index(counts))
+    selected = cut_lineage(backtest.selection(backtest.backtest(counts)))
+    return cut_lineage(briefing.daily_briefing(scored(spark, folder, counts, priors), priors, activity, selected))
 
 
 @query("daily_briefing", f"with {BRIEFING}, {BRIEF_SQL} select * from brief")
@@ -531,6 +534,7 @@ def daily_briefing(spark: SparkSession, folder: str) -> DataFrame:
         "activity_label",
         "confidence_band",
         "lead_change",
+        "selected_model",
     )
 
 
@@ -573,13 +577,59 @@ def lead_change(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "confidence_band",
-    f"""with {ZF}, {PROFILES} select zone, case when support_count % 3 = 0 and 0.25 >= 0.2 and dated_support_count >= 18 and years >= 3 then 'high'
-        when dated_support_count >= 8 and years >= 2 then 'medium' else 'low' end as band from profiles""",
+    f"""with {BRIEFING}, {SELECTED} select date::varchar as date, zone,
+        case when acc >= 0.2 and dated_support_count >= 18 and years >= 3 and live_features >= 2 then 'high'
+             when acc >= 0.1 and dated_support_count >= 8 and years >= 2 then 'medium' else 'low' end as band from scored, selected""",
 )
 def confidence_band(spark: SparkSession, folder: str) -> DataFrame:
-    live = F.when(F.col("support_count") % 3 == 0, 2).otherwise(1)
-    band = briefing.confidence_band(F.lit(0.25), F.col("dated_support_count"), F.size("actual_years"), live)
-    return profiles(spark, folder).select("zone", band.alias("band"))
+    """Bands of all zones on all dates, from the measured accuracy of the selected model and the live readings of the date."""
+    counts = zone_counts(spark, folder)
+    selected = cut_lineage(backtest.selection(backtest.backtest(counts)))
+    zones_of_dates = scored(spark, folder, counts).select("date", "zone", "dated_support_count", "years", "live_features")
+    band = briefing.confidence_band(F.col("top3_accuracy"), F.col("dated_support_count"), F.col("years"), F.col("live_features"))
+    return zones_of_dates.join(F.broadcast(selected)).select(F.col("date").cast("string").alias("date"), "zone", band.alias("band"))
+
+
+# ---------------------------------------------------------------- shortlists
+
+
+LAST_DAY = "last as (select max(date) as date from brief)"
+SHORTLIST_ZONES = f"""{LAST_DAY}, top_zones as (select zone, rank as zone_rank from brief join last using (date)),
+zm as (select name, zone_rank, member_rank from members join top_zones using (zone) where member_rank <= 5)"""
+
+
+def shortlist_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Members of zones, and the ranked zones of the newest briefing: zone, zone_rank."""
+    ranked = brief(spark, folder).select("date", "zone", "rank")
+    newest = ranked.agg(F.max("date").alias("newest"))
+    top = ranked.join(F.broadcast(newest), F.col("date") == F.col("newest")).select("zone", F.col("rank").alias("zone_rank"))
+    return cut_lineage(reports.members(spark, folder)), top
+
+
+@query(
+    "tiered_shortlist",
+    f"""with {BRIEFING}, {BRIEF_SQL}, {SHORTLIST_ZONES}, {reports.MAPPED_PART},
+        spot_zone as (select name, min(zone_rank * 10 + member_rank) as slot from zm group by name),
+        l as (select m.name, m.reports, z.slot from mapped m left join spot_zone z on z.name = m.name),
+        best as (select name from l order by case when slot = 11 then 0 else 1 end, reports desc, name limit 1),
+        o as (select l.*, row_number() over (order by slot nulls last, reports desc, name) as p,
+                 count(slot) over () as zs from l where name not in (select name from best))
+        select name, reports, '1 best bet' as tier, 1 as position from l where name in (select name from best)
+        union all select name, reports, '2 worthwhile', cast(p + 1 as integer) from o where p <= 4
+        union all select name, reports, '3 more options', cast(p + 1 as integer) from o where slot is null and p - greatest(zs, 4) between 1 and 6""",
+)
+def tiered_shortlist(spark: SparkSession, folder: str) -> DataFrame:
+    members, top = shortlist_inputs(spark, folder)
+    return archive.shortlist(reports.mapped(spark, folder).select("name", "reports"), cut_lineage(top), zones.top_members(members))
+
+
+@query(
+    "spot_rank_lookup",
+    f"with {BRIEFING}, {BRIEF_SQL}, {SHORTLIST_ZONES} select name, max(zone_rank) as zone_rank from zm group by name",
+)
+def spot_rank_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    members, top = shortlist_inputs(spark, folder)
+    return zones.top_members(members).join(top, "zone").groupBy("name").agg(F.max("zone_rank").alias("zone_rank"))
 
 
 @query(

@@ -131,8 +131,8 @@ def nonplaceholder_images(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- joins
 
 SPOT_COUNTS = "spot_counts as (select spot, count(*) as reports from finds_core group by spot)"
-MAPPED = SPOT_COUNTS + """,
-mapped as (select spot as name, reports, lat, lon, exact_lat, exact_lon from spot_counts join spots on name = spot)"""
+MAPPED_PART = "mapped as (select spot as name, reports, lat, lon, exact_lat, exact_lon from spot_counts join spots on name = spot)"
+MAPPED = f"{SPOT_COUNTS},\n{MAPPED_PART}"
 
 
 def spot_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -693,38 +693,6 @@ def best_year_month(spark: SparkSession, folder: str) -> DataFrame:
     return best_year.join(F.broadcast(best_month))
 
 
-SHORTLIST_ZONES = """top_zones as (select zone, cast(row_number() over (order by sum(reports) desc, zone) as integer) as zone_rank
-   from members group by zone order by zone_rank limit 3),
-zm as (select name, zone_rank, member_rank from members join top_zones using (zone) where member_rank <= 5)"""
-
-
-def top_zones(spark: SparkSession, folder: str) -> DataFrame:
-    """The three zones with the most reports, ranked; three rows, so the last window is tiny."""
-    from pyspark.sql import Window as W
-
-    support = members(spark, folder).groupBy("zone").agg(F.sum("reports").alias("support"))
-    top = support.orderBy(F.col("support").desc(), "zone").limit(3)
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("support").desc(), "zone"))
-    return top.select("zone", rank.alias("zone_rank"))
-
-
-@query(
-    "tiered_shortlist",
-    f"""with {views.FINDS_CORE}, {views.SPOTS}, {MAPPED}, {MEMBER_PARTS}, {SHORTLIST_ZONES},
-        spot_zone as (select name, min(zone_rank * 10 + member_rank) as slot from zm group by name),
-        l as (select m.name, m.reports, z.slot from mapped m left join spot_zone z on z.name = m.name),
-        best as (select name from l order by case when slot = 11 then 0 else 1 end, reports desc, name limit 1),
-        o as (select l.*, row_number() over (order by slot nulls last, reports desc, name) as p,
-                 count(slot) over () as zs from l where name not in (select name from best))
-        select name, reports, '1 best bet' as tier, 1 as position from l where name in (select name from best)
-        union all select name, reports, '2 worthwhile', cast(p + 1 as integer) from o where p <= 4
-        union all select name, reports, '3 more options', cast(p + 1 as integer) from o where slot is null and p - greatest(zs, 4) between 1 and 6""",
-)
-def tiered_shortlist(spark: SparkSession, folder: str) -> DataFrame:
-    m = members(spark, folder)
-    return archive.shortlist(mapped(spark, folder).select("name", "reports"), top_zones(spark, folder), zones.top_members(m))
-
-
 @query(
     "paged_directory",
     f"""with {views.FINDS_CORE}, c as (select spot, count(*) as reports from finds_core group by spot)
@@ -735,16 +703,6 @@ def paged_directory(spark: SparkSession, folder: str) -> DataFrame:
     return archive.directory_page(spot_counts(spark, folder), [F.col("reports").desc(), F.col("spot").asc()])
 
 
-@query(
-    "spot_rank_lookup",
-    f"""with {views.FINDS_CORE}, {views.SPOTS}, {MEMBERS}, {SHORTLIST_ZONES}
-        select name, max(zone_rank) as zone_rank from zm group by name""",
-)
-def spot_rank_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    top = zones.top_members(members(spark, folder)).join(top_zones(spark, folder), "zone")
-    return top.groupBy("name").agg(F.max("zone_rank").alias("zone_rank"))
-
-
 # ---------------------------------------------------------------- sets
 
 

@@ -90,6 +90,36 @@ def test_gate(spark, h3, hl, winner):
     assert backtest.model_gate(df).first()["primary_model"] == winner
 
 
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([("kernel_seasonal", 0.2, 3.5), ("hybrid_zone", 0.3, 3.0)], ("hybrid_zone", 0.3)),
+        ([("kernel_seasonal", 0.2, 3.5), ("hybrid_zone", 0.1, 3.0)], ("kernel_seasonal", 0.2)),
+        ([("kernel_seasonal", 0.25, 3.5)], ("kernel_seasonal", 0.25)),
+        ([], ("kernel_seasonal", 0.0)),
+    ],
+)
+def test_selected_model_brings_its_accuracy(spark, rows, want):
+    measured = spark.createDataFrame(rows, "model string, top3_accuracy double, log_loss double")
+    assert [tuple(r) for r in backtest.selection(measured).collect()] == [want]
+
+
+def test_selected_model_decides_which_scores_count(spark):
+    day = dt.date(2025, 6, 2)
+    zone = lambda name, prior, calendar: (day, 153, name, prior, 20, 20, 4, "", name, ["trail"], calendar, 1.0, 1.0, 1.0, [], 2)
+    scored = spark.createDataFrame(
+        [zone("A", 0.5, 0.9), zone("B", 0.46, 1.2), zone("C", 0.1, 1.0), zone("D", 0.05, 1.0)],
+        "date date, day int, zone string, prior double, support_count int, dated_support_count int, years int, best_months string, primary_spot string, "
+        "tags array<string>, calendar_mult double, recency_mult double, tide_mult double, weather_mult double, reasons array<string>, live_features int",
+    )
+    priors = spark.createDataFrame([(152, "A", 0.5), (153, "A", 0.5)], "day int, label string, prior double")
+    activity = spark.createDataFrame([(152, 5.0), (153, 5.0)], "day int, activity double")
+    for model, accuracy, lead, band in (("hybrid_zone", 0.3, "B", "high"), ("kernel_seasonal", 0.15, "A", "medium")):
+        selected = spark.createDataFrame([(model, accuracy)], "primary_model string, top3_accuracy double")
+        rows = briefing.daily_briefing(scored, priors, activity, selected).orderBy("rank").collect()
+        assert len(rows) == 3 and rows[0]["zone"] == lead and {r["confidence_band"] for r in rows} == {band}
+
+
 def test_affinity_ratio(spark):
     # all of a's reports fall on Saturdays, b's on Mondays
     rows = [("a", dt.date(2025, 3, 1), 3), ("a", dt.date(2025, 3, 8), 1), ("b", dt.date(2025, 3, 3), 4)]
