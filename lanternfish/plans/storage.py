@@ -18,33 +18,70 @@ RECORD_COLUMNS = "id, year, title, url, image, location, date_found"
 
 @query("read_records_json", f"with {scalars.RECORDS} select {RECORD_COLUMNS} from records")
 def read_records_json(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "records")
+    tables.write_arrays(scalars.records(spark, folder), path)
+    return tables.read_records(spark, path)
+
+
+@query("read_records_lines", f"with {scalars.RECORDS} select {RECORD_COLUMNS} from records")
+def read_records_lines(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "records")
     scalars.records(spark, folder).write.json(path)
     return tables.read_records(spark, path, array_files=False)
 
 
-@query(
-    "read_overrides",
-    """select s_suppkey::varchar as id, 'finder_override=' || s_name || ',location_override=' as fields,
-        case when s_suppkey % 2 = 0 then 'invalid_date,invalid_year' else 'invalid_date' end as waivers from supplier""",
-)
-def read_overrides(spark: SparkSession, folder: str) -> DataFrame:
-    """One override object per supplier, each on a line of its own."""
+@query("read_records_fallback", f"with {scalars.RECORDS} select {RECORD_COLUMNS} from records")
+def read_records_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """An empty canonical file: the records come from the yearly ones, found by a pattern."""
+    root = scratch_path(spark, "archive")
+    records = scalars.records(spark, folder)
+    spark.range(1).select(F.lit("[\n]").alias("value")).write.text(f"{root}/canonical")
+    for half, rows in (("even", records.where("id % 2 = 0")), ("odd", records.where("id % 2 <> 0"))):
+        tables.write_arrays(rows, f"{root}/years-{half}")
+    return tables.read_records_or_snapshots(spark, f"{root}/canonical", f"{root}/years-*")
+
+
+OVERRIDES_SQL = """select s_suppkey::varchar as id, 'finder_override=' || s_name || ',location_override=' as fields,
+        case when s_suppkey % 2 = 0 then 'invalid_date,invalid_year' else 'invalid_date' end as waivers from supplier"""
+
+
+def override_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, entry, other): the text of an entry and of one that is no object."""
     s = table(spark, folder, "supplier")
     key = F.col("s_suppkey").cast("string")
     waivers = F.when(F.col("s_suppkey") % 2 == 0, '["invalid_date", " invalid_year ", ""]').otherwise('"invalid_date"')
     entry = F.concat(
-        F.lit('{"'), key, F.lit('": {"finder_override": " '), F.col("s_name"),
-        F.lit(' ", "location_override": null, "unknown_key": 1, "validation_waivers": '), waivers,
-        F.lit('}, "x'), key, F.lit('": "no object"}'),
-    )
-    path = scratch_path(spark, "overrides")
-    s.select(entry.alias("value")).write.text(path)
-    parsed = tables.parse_overrides(spark.read.text(path))
+        F.lit('"'), key, F.lit('": {"finder_override": " '), F.col("s_name"),
+        F.lit(' ", "location_override": null, "unknown_key": 1, "validation_waivers": '), waivers, F.lit("}"),
+    )
+    return s.select(F.col("s_suppkey").alias("key"), entry.alias("entry"), F.concat(F.lit('"x'), key, F.lit('": "no object"')).alias("other"))
+
+
+def shown_overrides(parsed: DataFrame) -> DataFrame:
     shown = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return parsed.select("id", F.concat_ws(",", shown).alias("fields"), F.concat_ws(",", "waivers").alias("waivers"))
 
 
+@query("read_overrides", OVERRIDES_SQL)
+def read_overrides(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects of about a thousand suppliers a file, indented, among entries that are no objects."""
+    path = scratch_path(spark, "overrides")
+    entries = override_entries(spark, folder)
+    both = F.concat("other", F.lit(",\n  "), "entry")
+    files = entries.groupBy(F.floor(F.col("key") / 1000).alias("file")).agg(F.sort_array(F.collect_list(F.struct("key", both.alias("t")))).alias("e"))
+    text = F.concat(F.lit("{\n  "), F.array_join(F.transform("e", lambda x: x["t"]), ",\n  "), F.lit("\n}"))
+    files.select("file", text.alias("value")).write.partitionBy("file").text(path)
+    return shown_overrides(tables.read_overrides(spark, path))
+
+
+@query("read_override_lines", OVERRIDES_SQL)
+def read_override_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One override object per supplier, each on a line of its own."""
+    path = scratch_path(spark, "overrides")
+    override_entries(spark, folder).select(F.concat(F.lit("{"), "entry", F.lit(", "), "other", F.lit("}")).alias("value")).write.text(path)
+    return shown_overrides(tables.parse_overrides(spark.read.text(path)))
+
+
 @query(
     "read_listing_xml",
     """select o_orderkey::varchar as id, 'https://archive.example.org/event/find/' || o_orderkey || '/' as url,

@@ -50,29 +50,66 @@ def sort_records(rows: DataFrame) -> DataFrame:
     return rows.orderBy(number("year").desc(), number("id").desc())
 
 
+# Ends a record, or an entry of an object of flat objects, in indented JSON. A line break can't stand inside a JSON string,
+# so these three characters are never part of a value.
+RECORD_END = "},\n"
+
+
+def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Indented JSON files in pieces of one record each; several tasks read one file. Other JSON comes as one piece."""
+    pieces = spark.read.option("lineSep", RECORD_END).option("recursiveFileLookup", True).text(path)
+    return pieces.select(F.btrim("value", F.lit(" \t\r\n")).alias("value")).where("value <> ''")
+
+
 def read_records(spark: SparkSession, path: str | list[str], array_files: bool = True) -> DataFrame:
-    """Record files; a JSON array needs ``array_files``, JSON lines are splittable and scale better."""
-    return spark.read.schema(RECORD).option("multiLine", array_files).json(path)
+    """Record files: arrays of flat records, or JSON lines without ``array_files``. Either kind is split between tasks;
+    arrays must be indented for that, a record or more on lines of their own."""
+    if not array_files:
+        return spark.read.schema(RECORD).json(path)
+    # the first piece opens the array, the last one closes it; all others have lost the brace at their end
+    ended = F.endswith("value", F.lit("}")) | F.endswith("value", F.lit("]")) | (F.col("value") == "[")
+    closed = F.when(ended, F.col("value")).otherwise(F.concat("value", F.lit("}")))
+    inner = F.regexp_replace(F.regexp_replace(closed, r"^\[", ""), r"\]$", "")
+    parsed = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), T.ArrayType(RECORD))
+    return _pieces(spark, path).select(F.explode(parsed).alias("r")).where("r is not null").select("r.*")
 
 
 def read_records_or_snapshots(spark: SparkSession, path: str, snapshots: str | list[str]) -> DataFrame:
     """The canonical file, or all yearly snapshots when it holds nothing."""
     canonical = read_records(spark, path)
-    return canonical if canonical.limit(1).count() else read_records(spark, snapshots)
+    return read_records(spark, snapshots) if canonical.isEmpty() else canonical
+
+
+def write_arrays(rows: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """Indented JSON arrays of about so many records a file, in the order of ids, newest first."""
+    rows = rows.select(F.struct(*rows.columns).alias("r"))
+    dealt = rows.withColumn("file", F.pmod(F.xxhash64("r.id"), F.lit(max(1, -(-rows.count() // per_file)))))
+    lines = F.transform(F.sort_array(F.collect_list("r"), asc=False), lambda r: F.concat(F.lit("  {\n    "), F.regexp_extract(F.to_json(r), r"^\{(.*)\}$", 1), F.lit("\n  }")))
+    texts = dealt.groupBy("file").agg(F.concat(F.lit("[\n"), F.array_join(lines, ",\n"), F.lit("\n]")).alias("value"))
+    texts.write.partitionBy("file").text(path)
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object id -> entry, one row per id: (id, fields map<string,string>, waivers array<string>).
+    """Files of one JSON object each, id -> entry, one row per id: (id, fields map<string,string>, waivers array<string>).
 
     A JSON null counts as a present, blank value; entries that are no objects are dropped;
-    a single waiver becomes a list.
+    a single waiver becomes a list. Indented files are split between tasks.
     """
-    return parse_overrides(spark.read.text(path, wholetext=True))
+    # all pieces but the first have lost the opening brace of the object, all but the last its closing one and their own
+    opened = F.when(F.startswith("value", F.lit("{")), F.col("value")).otherwise(F.concat(F.lit("{"), F.col("value")))
+    variant = F.coalesce(F.try_parse_json(opened), F.try_parse_json(F.concat(opened, F.lit("}}")))).alias("v")
+    entries = _pieces(spark, path).select(variant).where("v is not null")
+    opened_up = entries.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    return overrides_of(opened_up.where("key is not null").select(F.col("key").alias("id"), F.to_json("value").alias("entry")))
 
 
 def parse_overrides(text: DataFrame) -> DataFrame:
     """Override objects, one per text value, as rows."""
-    entries = text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("id", "entry"))
+    return overrides_of(text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("id", "entry")))
+
+
+def overrides_of(entries: DataFrame) -> DataFrame:
+    """(id, entry): JSON text of an entry."""
     parsed = entries.where(F.trim("entry").startswith("{")).select(
         "id", F.from_json("entry", T.MapType(T.StringType(), T.StringType())).alias("m")
     )

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lanternfish.operators.overrides import apply_overrides
 from lanternfish.schema import RECORD
 from lanternfish.sources import tables
@@ -63,3 +65,42 @@ def test_run_scoped_write_is_idempotent(spark, tmp_path):
         tables.write_run(rows, str(tmp_path / "runs"), run)
     got = spark.read.parquet(str(tmp_path / "runs")).groupBy("run_id").count().collect()
     assert sorted(tuple(r) for r in got) == [("a", 5), ("b", 5)]
+
+
+def record_rows(n):
+    text = 'a },\n "quoted" [x], { ' + chr(8212)
+    return [(str(k), "2024", f"{k} {text}", "u", "i" if k % 2 else None, "]", "2024-05-05") for k in range(n)]
+
+
+def test_one_array_is_read_by_several_tasks(spark, tmp_path):
+    rows = record_rows(400)
+    names = RECORD.names
+    path = tmp_path / "records.json"
+    path.write_text(json.dumps([dict(zip(names, r)) for r in rows], indent=2, ensure_ascii=False), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = tables.read_records(spark, str(path))
+        assert df.rdd.getNumPartitions() > 3
+        assert sorted(tuple(r) for r in df.collect()) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("style", [{"indent": None}, {"indent": 4}, {"indent": 0}, {"separators": (",\n", ":")}])
+def test_arrays_of_any_layout(spark, tmp_path, style):
+    rows = record_rows(5)
+    for name, some in (("some", rows), ("none", []), ("one", rows[:1])):
+        text = json.dumps([dict(zip(RECORD.names, r)) for r in some], **style)
+        (tmp_path / name).write_text(text.replace("\n", "\r\n") if name == "one" else text)
+        assert sorted(tuple(r) for r in tables.read_records(spark, str(tmp_path / name)).collect()) == sorted(some)
+    found = tables.read_records_or_snapshots(spark, str(tmp_path / "none"), str(tmp_path / "[so]*e"))
+    assert found.count() == 6
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_whole_override_objects(spark, tmp_path, indent):
+    entries = {"7": {"title_override": " T },\n { ", "validation_waivers": [" a ", ""]}, "8": "text", "9": {"notes": None, "validation_waivers": "b"}, "10": 3, "11": {}}
+    (tmp_path / "o.json").write_text(json.dumps(entries, indent=indent))
+    got = {r["id"]: (r["fields"], r["waivers"]) for r in tables.read_overrides(spark, str(tmp_path / "o.json")).collect()}
+    assert got == {"7": ({"title_override": "T },\n {"}, ["a"]), "9": ({"notes": ""}, ["b"]), "11": ({}, [])}
