@@ -15,9 +15,11 @@ from ..session import cut_lineage
 NULL_SALTS = 1024
 
 
-def repeated_keys(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Complete keys that occur more than once, with their number of rows; counted map-side first."""
-    return rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > 1)
+def repeated_keys(rows: DataFrame, keys: list[str], name: str, counts: str | None = None) -> DataFrame:
+    """Complete keys that occur more than once, with their number of rows; counted map-side first. ``counts``: column with
+    the number of rows that a row stands for."""
+    number = F.sum(counts) if counts else F.count("*")
+    return rows.dropna(subset=keys).groupBy(*keys).agg(number.alias(name)).where(F.col(name) > 1)
 
 
 def with_group_size(rows: DataFrame, keys: list[str], name: str, repeated: DataFrame | None = None) -> DataFrame:

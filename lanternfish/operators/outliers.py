@@ -60,13 +60,14 @@ def outlier_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
     return flag_numbers(distinct, group, number).where("is_outlier").select(group, number)
 
 
-def mark_outliers(rows: DataFrame, group: str, number: str, name: str = "is_outlier") -> DataFrame:
-    """All rows plus the outlier flag.
+def mark_outliers(rows: DataFrame, group: str, number: str, name: str = "is_outlier", among: DataFrame | None = None) -> DataFrame:
+    """All rows plus the outlier flag; ``among``: a smaller table with the same groups and numbers.
 
     The pairs are written out first: their file size (normally a few rows) lets the optimizer
     broadcast them, and the wide rows are not shuffled.
     """
-    outliers = cut_lineage(outlier_numbers(rows, group, number)).withColumn(name, F.lit(True))
+    found = outlier_numbers(rows if among is None else among, group, number)
+    outliers = cut_lineage(found).withColumn(name, F.lit(True))
     return rows.join(outliers, [group, number], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 

@@ -88,17 +88,19 @@ def validate(
     """Raw reports -> conformed reports with errors, suspicious flags, validity and confidence.
 
     ``waivers``: (id, waivers array<string>). Waivers apply to row errors only: an extreme number
-    cannot be waived. Cross-row facts are pre-aggregated and joined back.
+    cannot be waived. Cross-row facts are pre-aggregated together and joined back.
     """
     base = normalize(raw, place_rules, default_source).select(
         "*",
         F.nullif("float_number", F.lit("")).alias("_number"),
         F.nullif("location_normalized", F.lit("")).alias("_place"),
     )
-    # all three cross-row facts are found on the narrow columns they need, before any join
-    copies = cut_lineage(repeated_keys(base, ["_exact"], "_copies"))
-    same_key = cut_lineage(repeated_keys(base, ["year", "_number", "_place"], "_same_key"))
-    rows = mark_outliers(base, "year", "number_value")
+    # all cross-row facts come from one narrow count of the rows that are alike in all of them: the source is normalised
+    # once for it and once for the result
+    alike = cut_lineage(base.groupBy("year", "number_value", "_number", "_place", F.unhex("_exact").alias("_digest")).agg(F.count("*").alias("_n")))
+    copies = cut_lineage(repeated_keys(alike, ["_digest"], "_copies", "_n").select(F.lower(F.hex("_digest")).alias("_exact"), "_copies"))
+    same_key = cut_lineage(repeated_keys(alike, ["year", "_number", "_place"], "_same_key", "_n"))
+    rows = mark_outliers(base, "year", "number_value", among=alike)
     rows = with_group_size(rows, ["_exact"], "_copies", copies)
     rows = with_group_size(rows, ["year", "_number", "_place"], "_same_key", same_key)
     if waivers is not None:

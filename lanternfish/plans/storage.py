@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as checks
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import tables
 from ..streaming import events as growth
 from ..streaming import upsert
@@ -119,7 +119,7 @@ def write_partitioned_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 )
 def write_run_scoped(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "runs")
-    rows = quality.checked(spark, folder).select("id", "errors", "is_valid")
+    rows = cut_lineage(quality.checked(spark, folder).select("id", "errors", "is_valid"))
     for run in ("run-1", "run-2", "run-1"):
         tables.write_run(rows, path, run)
     return spark.read.parquet(path).groupBy("run_id", "is_valid").agg(F.count("*").alias("rows"))

@@ -54,3 +54,18 @@ def test_absent_columns_are_blank(spark):
     df = spark.createDataFrame([("1", "2025", "7")], "id string, year string, float_number string")
     row = quality.validate(df, RULES, last_season=2027).first()
     assert row["errors"] == [] and row["source"] == "archive"
+
+
+def test_source_is_read_twice_at_most(spark, tmp_path):
+    """Once for the facts across rows, once for the result: validation of a table of one file opens it twice."""
+    from conftest import SMALL
+    from lanternfish.operators import quality
+    from lanternfish.plans import quality as plans
+
+    raw = plans.raw_reports(spark, SMALL)
+    read = spark.sparkContext.accumulator(0)
+    counted = spark.createDataFrame(raw.rdd.map(lambda r: (read.add(1), r)[1]), raw.schema)
+    rows = raw.count()
+    checked = quality.validate(counted, plans.PLACE_RULES, plans.waivers(spark, SMALL), "archive", plans.FIRST_SEASON, plans.LAST_SEASON)
+    assert quality.summary(checked).count() > 3
+    assert rows <= read.value <= 2 * rows
