@@ -36,8 +36,8 @@ from .shipping import ship
 WIDTH = 4
 #: Percent of the union that two linked sets have in common.
 SIMILAR = 85
-#: Places of the counting table that orders shingles, as a power of two; 1 MB when it is handed out.
-PLACES = 20
+#: Places of the counting table that orders shingles, as a power of two; 8 MB when it is handed out.
+PLACES = 23
 _CHUNK = 1 << 16
 #: Bits of the filter on full sets, and of a second one for sets of more than `LARGE` shingles.
 BITS, MORE_BITS, LARGE = 1024, 16384, 1500
@@ -91,11 +91,12 @@ def prefix_length(n: int) -> int:
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: how often shingles fall on each place of the table, in chunks; places without any aren't sent."""
-    total = np.zeros(1 << PLACES, np.uint32)
+    total = np.zeros(1 << PLACES, np.uint8)
     for rows in hashes.slices(batches, _no_cut):
         flat = np.concatenate(_shingled([r[0] for r in rows]))
         place, n = np.unique(flat >> np.uint64(64 - PLACES), return_counts=True)
-        total[place] += n.astype(np.uint32)
+        # a task counts to 255, enough to tell rare shingles from others
+        total[place] = np.minimum(total[place] + n, 255)
     for chunk in range(len(total) // _CHUNK):
         some = total[chunk * _CHUNK :][:_CHUNK]
         at = np.flatnonzero(some).astype(np.uint16)
@@ -106,19 +107,19 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _classed(key: tuple, table: pa.Table) -> pa.Table:
     total = np.zeros(_CHUNK, np.float64)
     for at, n in zip(table["places"].to_pylist(), table["counts"].to_pylist()):
-        total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "classes": [np.minimum(2 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8).tobytes()]})
+        total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8)
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "classes": [np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8).tobytes()]})
 
 
 def frequency_classes(docs: DataFrame) -> tuple[bytes, int]:
-    """Class of every place of the table: twice the logarithm of the occurrences of the shingles that fall on it; and the
-    class from which on shingles are hot: 2^14 occurrences, and 16 times as many as the median place."""
+    """Class of every place of the table: eight times the logarithm of the occurrences of the shingles that fall on it; and
+    the class from which on shingles are hot: 2^14 occurrences, and 16 times as many as the median place."""
     tallies = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_tallied, "chunk int, places binary, counts binary")
     chunks = tallies.groupBy("chunk").applyInArrow(_classed, "chunk int, classes binary")
     out = np.zeros(1 << PLACES, np.uint8)
     for row in chunks.collect():  # of fixed size
         out[row["chunk"] * _CHUNK :][:_CHUNK] = np.frombuffer(row["classes"], np.uint8)
-    return out.tobytes(), max(28, int(np.median(out)) + 8)
+    return out.tobytes(), max(8 * 14, int(np.median(out)) + 8 * 4)
 
 
 # ---------------------------------------------------------------- facts, groups and lists
@@ -183,7 +184,7 @@ def _posted(parts: int, classes, hot: int):
             n, group = np.repeat(batch.column(1).to_numpy()[first], lengths), np.repeat(gid, lengths)
             # one of as many parts as the shingle has thousands of occurrences
             rank = of_place[token >> np.uint64(64 - PLACES)]
-            salts = np.left_shift(np.uint64(1), np.maximum(rank.astype(np.int64) // 2 - 10, 0).astype(np.uint64))
+            salts = np.left_shift(np.uint64(1), np.maximum(rank.astype(np.int64) // 8 - 10, 0).astype(np.uint64))
             salt = np.where(rank >= hot, hashes.spread(group.view(np.uint64)) % salts, np.uint64(0))
             held.append((token, group, pos.astype(np.uint32), n.astype(np.uint32), hashes.spread(token + salt)))
             size += len(token)
