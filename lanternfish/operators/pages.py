@@ -262,16 +262,14 @@ def listing_items(pages: DataFrame, base: str, year: str = "") -> DataFrame:
 def next_skip(html: Column) -> Column:
     """Offset that the link of the pager to the next listing page has, null on the last one."""
     pager = rf"(?is)<[a-z][a-z0-9]*(?=\s)[^>]*?{of_class('pager')}.*?(<a(?=\s)[^>]*?{of_class('nxt')}[^>]*>)"
-    forward = F.regexp_extract(html, rf"(?is)<a(?=\s[^>]*\bhref\s*=)[^>]*?{of_class('nxt')}[^>]*>", 0)
-    link = attribute(F.when(html.rlike(pager), forward).otherwise(F.lit("")), "href")
+    # the link of the pager's own match: others of that class may stand before it
+    link = attribute(F.regexp_extract(html, pager, 1), "href")
     return F.regexp_extract(link, r"[?&]skip=(\d+)", 1).try_cast("int")
 
 
 def link_items(pages: DataFrame, key: str) -> DataFrame:
     """Anchors of every page in order: position, link and text."""
-    links = F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>.*?</a>'), F.lit(1))
-    texts = F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*href="[^"]*"[^>]*>(.*?)</a>'), F.lit(1))
-    pairs = F.arrays_zip(links.alias("link"), texts.alias("text"))
-    return pages.select(key, F.posexplode(pairs).alias("position", "_a")).select(
-        key, "position", F.col("_a.link").alias("link"), visible_text(F.col("_a.text")).alias("text")
-    )
+    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a\s(?:[^>]*\s)?href\s*=[^>]*>.*?</a>"), F.lit(0))
+    found = pages.select(key, F.posexplode(anchors).alias("position", "_a"))
+    head, inner = F.regexp_extract("_a", r"(?s)^(<[^>]*>)", 1), F.regexp_extract("_a", r"(?is)^<[^>]*>(.*)</a>$", 1)
+    return found.select(key, "position", raw_attribute(head, "href").alias("link"), visible_text(inner).alias("text"))

@@ -179,7 +179,7 @@ def place_from_prose(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """One listing page per customer, written from their reports: one item each, joined as text."""
+    """One listing page per customer with an item for each of their reports, in the order of ids."""
     f = views.finds(spark, folder)
     key = F.col("id").cast("string")
     item = F.concat(
@@ -197,20 +197,25 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.col("place"),
         F.lit("</ul></div>"),
     )
-    skip = (F.col("id") % 40 * 24).cast("string")
-    html = F.concat(F.lit('<html><div class="item ad">x</div>'), item, F.lit('<div class="pager"><a href="/list?a=1&amp;skip='), skip, F.lit('" class=nxt>more</a></div></html>'))
-    return f.select(F.col("id").alias("page"), html.alias("html"))
+    skip = (F.col("custkey") % 40 * 24).cast("string")
+    items = f.groupBy("custkey").agg(F.sort_array(F.collect_list(F.struct("id", item.alias("html")))).alias("items"))
+    html = F.concat(
+        F.lit('<html><div class="item ad">x</div><a class="nxt" href="/list?skip=7">elsewhere</a>'),
+        F.array_join(F.transform("items", lambda x: x["html"]), "\n"),
+        F.lit('<div class="pager"><a href="/list?a=1&amp;skip='), skip, F.lit('" class=nxt>more</a></div></html>'),
+    )
+    return items.select(F.col("custkey").alias("page"), html.alias("html"))
 
 
 @query(
     "listing_items",
-    f"""with {views.FINDS} select id as page, id::varchar as id, '1999' as year, number || ' & ' || finder as title, 'https://archive.example.org/event/a-find/' || id || '/' as link,
+    f"""with {views.FINDS} select custkey as page, id::varchar as id, '1999' as year, number || ' & ' || finder as title, 'https://archive.example.org/event/a-find/' || id || '/' as link,
         'https://img.example.org/' || id || '.jpg' as image, place as location from finds""",
 )
 def listing_items(spark: SparkSession, folder: str) -> DataFrame:
     return pages.listing_items(listing_pages(spark, folder), BASE_URL, "1999")
 
 
-@query("listing_next_skip", f"with {views.FINDS} select id as page, (id % 40 * 24)::integer as next_skip from finds")
+@query("listing_next_skip", f"with {views.FINDS} select distinct custkey as page, (custkey % 40 * 24)::integer as next_skip from finds")
 def listing_next_skip(spark: SparkSession, folder: str) -> DataFrame:
     return listing_pages(spark, folder).select("page", pages.next_skip(F.col("html")).alias("next_skip"))

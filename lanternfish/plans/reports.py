@@ -608,8 +608,9 @@ def recent_activity(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "recent_activity_by_zone",
     f"""with {views.FINDS}, t as (select distinct date_found as target from finds)
-        select cast(t.target as varchar) as target, zone, {RECENCY_SUMS}
-        from t join finds f on f.date_found between t.target - 30 and t.target group by 1, 2""",
+        select cast(t.target as varchar) as target, z.zone, {RECENCY_SUMS}
+        from t cross join (select distinct zone from finds) z
+        left join finds f on f.zone = z.zone and f.date_found between t.target - 30 and t.target group by 1, 2""",
 )
 def recent_activity_by_zone(spark: SparkSession, folder: str) -> DataFrame:
     f = views.finds(spark, folder).select("date_found", "zone")
