@@ -2,7 +2,9 @@
 
 Candidate strings are long runs of key characters. Their class (hex, lower-case with digits, mixed) sets how random a
 window must be: the Shannon entropy of a sliding window is kept up to date from character counts, one character enters
-and one leaves at each step. Candidates on the allow-list (words, paths of words, UUIDs, counting sequences, single
+and one leaves at each step, and only the counts of these two are looked at. Long candidates are cut into pieces that
+overlap by a window less one character, and matches are placed in batches, so the work grows with the length of a text.
+Candidates on the allow-list (words, paths of words, UUIDs, counting sequences, single
 characters repeated) are suppressed, and so are those that a known shape covers already. The added span reaches from the
 first to the last window above the threshold.
 
@@ -14,11 +16,14 @@ of 0 and an empty list; repeated rows are scanned one by one; an empty table giv
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -58,6 +63,10 @@ ALLOWED = (
 
 SCALE = 1 << 20
 
+#: Characters of a candidate's piece, and matches placed before their spans are joined to those before them.
+PIECE = 128
+BATCH = 256
+
 
 def _weight(count: int) -> int:
     """count * log2(count), scaled."""
@@ -80,6 +89,8 @@ def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), group).alias("key"),
     )
 
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+
     def place(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])
         end = start + F.length(x["found"])
@@ -89,9 +100,17 @@ def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
             F.coalesce(end, start).alias("at"), F.when(good, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans")
         )
 
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    def place_batch(all_pairs: Column) -> Callable[[Column, Column], Column]:
+        def step(a: Column, k: Column) -> Column:
+            batch = F.aggregate(F.slice(all_pairs, k * BATCH + 1, BATCH), F.struct(a["at"].alias("at"), none.alias("spans")), place)
+            return let(batch, lambda x: F.struct(x["at"].alias("at"), F.concat(a["spans"], x["spans"]).alias("spans")))
+
+        return step
+
     zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, place, lambda a: a["spans"])).otherwise(none)
+    batches = lambda n: F.sequence(F.lit(0), F.floor((n - 1) / BATCH).cast("int"))
+    placed = let(pairs, lambda ps: F.aggregate(batches(F.size(ps)), zero, place_batch(ps), lambda a: a["spans"]))
+    return F.when(text.rlike(pattern), placed).otherwise(none)
 
 
 def entropy_spans(text: Column, window: int = WINDOW) -> Column:
@@ -99,42 +118,53 @@ def entropy_spans(text: Column, window: int = WINDOW) -> Column:
     weights = F.array(*[F.lit(_weight(c)).cast("long") for c in range(window + 2)])
     limits = [(pattern, _limit(bits, window)) for _, pattern, bits in CLASSES]
 
+    def weight_of(text: Column, character: Column) -> Column:
+        """What one more of a character weighs beside those in a text."""
+        count = F.length(text) - F.length(F.replace(text, character, F.lit("")))
+        return F.get(weights, count + 1) - F.get(weights, count)
+
+    def high_part(piece: Column, limit: Column) -> Column:
+        """(first, last): start of the first and end of the last window of a piece above the threshold, or nulls."""
+
+        def step(a: Column, i: Column) -> Column:
+            kept = F.substring(piece, F.greatest(i - (window - 1), F.lit(0)) + 1, F.least(i, F.lit(window - 1)))
+            lost = F.when(i >= window, weight_of(kept, F.substring(piece, i - window + 1, F.lit(1)))).otherwise(F.lit(0))
+            total = (a["total"] - lost + weight_of(kept, F.substring(piece, i + 1, F.lit(1)))).cast("long")
+
+            def moved(total: Column) -> Column:
+                high = (i >= window - 1) & (total <= limit)
+                return F.struct(
+                    total.alias("total"),
+                    F.when(high & a["first"].isNull(), i - (window - 1)).otherwise(a["first"]).alias("first"),
+                    F.when(high, i + 1).otherwise(a["last"]).alias("last"),
+                )
+
+            return let(total, moved)
+
+        nothing = F.lit(None).cast("int")
+        zero = F.struct(F.lit(0).cast("long").alias("total"), nothing.alias("first"), nothing.alias("last"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(piece) - 1), zero, step)
+
     def random_part(span: Column) -> Column:
         found = span["found"]
         limit = F.lit(limits[-1][1])
         for pattern, value in reversed(limits[:-1]):
             limit = F.when(found.rlike(pattern), F.lit(value)).otherwise(limit)
+        chunks = F.regexp_extract_all(found, F.lit(".{1,%d}" % max(PIECE, window)), F.lit(0))
 
-        def step(a: Column, i: Column) -> Column:
-            enters = F.instr(F.lit(ALPHABET), F.substring(found, i + 1, F.lit(1)))
-            leaves = F.when(i >= window, F.instr(F.lit(ALPHABET), F.substring(found, i + 1 - window, F.lit(1)))).otherwise(F.lit(0))
-            up = F.get(a["counts"], enters)
-            down = F.get(a["counts"], leaves)
-            # the entering character first; the count of place 0 stands for "none" and weighs nothing
-            gained = F.get(weights, up + 1) - F.get(weights, up)
-            down_now = down + F.when(enters == leaves, 1).otherwise(0)
-            lost = F.when(leaves > 0, F.get(weights, down_now) - F.get(weights, down_now - 1)).otherwise(F.lit(0))
-            total = a["total"] + gained - lost
-            counts = F.transform(
-                a["counts"],
-                lambda c, k: c + F.when((k == enters) & (k > 0), 1).otherwise(0) - F.when((k == leaves) & (k > 0), 1).otherwise(0),
-            )
-            high = (i >= window - 1) & (total <= limit)
-            return F.struct(
-                counts.alias("counts"),
-                total.cast("long").alias("total"),
-                F.when(high & a["first"].isNull(), i - (window - 1)).otherwise(a["first"]).alias("first"),
-                F.when(high, i + 1).otherwise(a["last"]).alias("last"),
-            )
-
-        zero = F.struct(
-            F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"),
-            F.lit(0).cast("long").alias("total"),
-            F.lit(None).cast("int").alias("first"),
-            F.lit(None).cast("int").alias("last"),
-        )
-        part = lambda a: F.struct((span["start"] + a["first"]).alias("start"), (span["start"] + a["last"]).alias("end"))
-        return F.aggregate(F.sequence(F.lit(0), F.length(found) - 1), zero, step, part)
+        def high_of_chunk(all_chunks: Column, limit: Column) -> Callable[[Column, Column], Column]:
+            def of(chunk: Column, k: Column) -> Column:
+                before = F.when(k > 0, F.right(F.get(all_chunks, k - 1), F.lit(window - 1))).otherwise(F.lit(""))
+                at = span["start"] + k * max(PIECE, window) - F.length(before)
+                return let(
+                    high_part(F.concat(before, chunk), limit),
+                    lambda x: F.struct((at + x["first"]).alias("first"), (at + x["last"]).alias("last")),
+                )
+
+            return of
+
+        highs = let(limit, lambda bound: let(chunks, lambda cs: F.transform(cs, high_of_chunk(cs, bound))))
+        return let(highs, lambda hs: F.struct(F.array_min(hs["first"]).alias("start"), F.array_max(hs["last"]).alias("end")))
 
     allowed = lambda x: F.exists(F.array(*[x["found"].rlike(p) for p in ALLOWED]), lambda y: y)
     candidates = F.filter(_matches(text, CANDIDATE, 0, window), lambda x: ~allowed(x))

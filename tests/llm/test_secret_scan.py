@@ -70,3 +70,15 @@ def test_same_spans_as_brute_force(documents):  # noqa: F811
 def test_entropy_limit():
     assert math.isclose(s._weight(8) / s.SCALE, 24)
     assert s._limit(math.log2(s.WINDOW), s.WINDOW) == 0
+
+
+def test_long_texts_of_keys(documents):  # noqa: F811
+    """A candidate far longer than a piece, random at its ends only, and more matches than a batch."""
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choice(s.ALPHABET) for _ in range(n))
+    calm = "ab1" * 4000
+    rows = [(1, key(30) + calm + key(30)), (2, calm + key(26)), (3, " ".join(key(31) for _ in range(1500))), (4, key(200_000)), (5, "é" * 300 + calm[:127] + key(40) + calm)]
+    got = {r["doc_id"]: r["spans"] for r in s.scan(documents(rows)).collect()}
+    for i, text in rows:
+        base = base_spans(text)
+        assert got[i] == joined(base + random_spans(text, base)), i
