@@ -4,7 +4,7 @@ List entries say that a pattern was added to or removed from a list on a day. Ea
 intervals, and a capture is blocked if a pattern of its URL was valid on the day it was fetched: an as-of join of
 captures with intervals. Patterns are hosts (with all hosts below) and path prefixes; a URL has one key for each host
 above it and each prefix of its path, so the join is by equality of keys. Intervals are cut into calendar months, which
-bounds the intervals that meet a capture. The capture side of a hot host is an ordinary side of a join and is split.
+bounds the intervals that meet a capture; months without a capture give no row. The capture side of a hot host is an ordinary side of a join and is split.
 
 Defined cases: a null or odd URL or a null day matches nothing; several entries of one pattern on a day: the last one by
 `seq` counts; an entry is valid from its day on, up to the day before the next entry of the pattern; repeated captures
@@ -67,13 +67,12 @@ def validity(entries: DataFrame) -> DataFrame:
 def block(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The captures (`url`, `fetched_on` and others) with `blocked` and `pattern`, the first that blocks in text order."""
     month = lambda c: F.trunc(c, "month")
-    last = captures.agg(F.max("fetched_on").alias("last_fetch"))
+    # one row with the months that have a capture, at most those of the calendar; others are of no use
+    fetched = captures.agg(F.collect_set(month(F.col("fetched_on"))).alias("months"))
     spans = (
         validity(entries)
-        .join(F.broadcast(last))  # one row: months after the last capture are of no use
-        .withColumn("upto", F.least(F.date_sub("valid_to", 1), "last_fetch"))
-        .where("valid_from <= upto")
-        .withColumn("month", F.explode(F.sequence(month("valid_from"), month("upto"), F.expr("interval 1 month"))))
+        .join(F.broadcast(fetched))
+        .withColumn("month", F.explode(F.filter("months", lambda m: (m >= month(F.col("valid_from"))) & (m < F.col("valid_to")))))
         .select("pattern", "month", "valid_from", "valid_to")
     )
     rows = packed(captures).select("doc", F.col("doc.url").alias("u"), F.col("doc.fetched_on").alias("day"))

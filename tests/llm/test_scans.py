@@ -62,6 +62,10 @@ def test_url_lists(spark):
     got = {r["page_id"]: r["blocked"] for r in out.collect()}
     assert got == {k: want for k, (_, _, want) in enumerate(asked)}
     assert url_filter.block(captures.where("false"), entries).count() == 0
+    assert url_filter.block(captures.where("fetched_on is null"), entries).where("blocked").count() == 0
+    far = captures.union(spark.createDataFrame([(99, "http://late.com", datetime.date(9000, 1, 1), "z")], captures.schema))
+    got = {r["page_id"]: r["blocked"] for r in url_filter.block(far, entries).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(asked)} | {99: True}
     assert url_filter.block(captures, entries.where("false")).where("blocked").count() == 0
 
 
