@@ -30,12 +30,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .shipping import ship
 
 #: Words in the lexicon. It is a size, not a limit of what can be encoded: other words are merged.
 LEXICON_WORDS = 40_000
 #: Different words that a task counts before it hands its counts on.
 COUNTED_AT_ONCE = 200_000
+#: Classes of word counts for each doubling of the count.
+CLASSES_TO_DOUBLE = 16
 #: Words that a worker remembers in each of two generations; when the younger is full, the older is dropped.
 REMEMBERED = 300_000
 
@@ -319,11 +322,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words (letters after a blank) of all texts; ties by the word. At most n, on the driver."""
+    """The most frequent words (letters after a blank) of all texts; ties by the word. At most n, on the driver.
+
+    A histogram of the counts, a few hundred classes, tells which classes hold the first n words; only words of these are
+    sorted. The n chosen are written first, so no task sends a list of its own to the driver.
+    """
     ship(docs.sparkSession)
     counted = docs.select("text").mapInArrow(_count_words, "word string, n bigint")
-    totals = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in totals.orderBy(F.desc("n"), "word").limit(n).collect()]
+    totals = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("class", F.floor(F.log2("n") * CLASSES_TO_DOUBLE)))
+    least, enough = 0, 0
+    for row in totals.groupBy("class").count().orderBy(F.desc("class")).collect():
+        least, enough = row["class"], enough + row["count"]
+        if enough >= n:
+            break
+    chosen = cut_lineage(totals.where(F.col("class") >= least).orderBy(F.desc("n"), "word").limit(n))
+    return [r["word"] for r in chosen.orderBy(F.desc("n"), "word").collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, n: int = LEXICON_WORDS) -> bytes:
