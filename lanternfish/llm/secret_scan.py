@@ -115,21 +115,22 @@ def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
 
 def entropy_spans(text: Column, window: int = WINDOW) -> Column:
     """Array of (start, end) of the random parts of candidate strings."""
-    weights = F.array(*[F.lit(_weight(c)).cast("long") for c in range(window + 2)])
+    gains = F.array(*[F.lit(_weight(c + 1) - _weight(c)).cast("long") for c in range(window + 1)])
     limits = [(pattern, _limit(bits, window)) for _, pattern, bits in CLASSES]
 
     def weight_of(text: Column, character: Column) -> Column:
         """What one more of a character weighs beside those in a text."""
-        count = F.length(text) - F.length(F.replace(text, character, F.lit("")))
-        return F.get(weights, count + 1) - F.get(weights, count)
+        return F.get(gains, F.length(text) - F.length(F.replace(text, character, F.lit(""))))
 
     def high_part(piece: Column, limit: Column) -> Column:
         """(first, last): start of the first and end of the last window of a piece above the threshold, or nulls."""
 
         def step(a: Column, i: Column) -> Column:
             kept = F.substring(piece, F.greatest(i - (window - 1), F.lit(0)) + 1, F.least(i, F.lit(window - 1)))
-            lost = F.when(i >= window, weight_of(kept, F.substring(piece, i - window + 1, F.lit(1)))).otherwise(F.lit(0))
-            total = (a["total"] - lost + weight_of(kept, F.substring(piece, i + 1, F.lit(1)))).cast("long")
+
+            def changed(kept: Column) -> Column:
+                lost = F.when(i >= window, weight_of(kept, F.substring(piece, i - window + 1, F.lit(1)))).otherwise(F.lit(0))
+                return (a["total"] - lost + weight_of(kept, F.substring(piece, i + 1, F.lit(1)))).cast("long")
 
             def moved(total: Column) -> Column:
                 high = (i >= window - 1) & (total <= limit)
@@ -139,7 +140,7 @@ def entropy_spans(text: Column, window: int = WINDOW) -> Column:
                     F.when(high, i + 1).otherwise(a["last"]).alias("last"),
                 )
 
-            return let(total, moved)
+            return let(let(kept, changed), moved)
 
         nothing = F.lit(None).cast("int")
         zero = F.struct(F.lit(0).cast("long").alias("total"), nothing.alias("first"), nothing.alias("last"))
