@@ -47,10 +47,42 @@ SENTENCES = (
     " derived from this software without specific prior written permission",
     "All rights reserved",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "Licensed under the Apache License, Version 2.0 (the \"License\")",
+    "This library is free software",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the"
+    " Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the"
+    " Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the"
+    " Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by"
+    " the Free Software Foundation",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+    " granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted,"
+    " provided that the above copyright notice and this permission notice appear in all copies",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+    " which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+    " which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter"
+    " it and redistribute it freely, subject to the following restrictions",
+    "Distributed under the Boost Software License, Version 1.0",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to"
+    " this software to the public domain worldwide",
+    "This is free and unencumbered software released into the public domain",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
 )
 
 #: Rules in order: licence and the numbers of its sentences, from 1.
 RULES = (
+    ("Apache-2.0", (21, 6, 7)),
     ("Apache-2.0", (5, 6, 7)),
     ("MIT", (3, 4)),
     ("GPL-3.0-or-later", (9, 10)),
@@ -69,11 +101,42 @@ RULES = (
     ("CC-BY-SA-4.0", (14,)),
     ("CC-BY-4.0", (15,)),
     ("MPL-2.0", (20,)),
+    ("Apache-2.0", (21,)),
+    ("LGPL-2.1-or-later", (22, 23)),
+    ("LGPL-3.0-or-later", (22, 24)),
+    ("LGPL-2.1-or-later", (9, 23)),
+    ("LGPL-3.0-or-later", (9, 24)),
+    ("LGPL-2.1-or-later", (23,)),
+    ("LGPL-3.0-or-later", (24,)),
+    ("AGPL-3.0-or-later", (9, 25)),
+    ("AGPL-3.0-or-later", (25,)),
+    ("GPL-2.0-only", (9, 26)),
+    ("GPL-2.0-only", (26,)),
+    ("ISC", (27,)),
+    ("ISC", (28,)),
+    ("0BSD", (29,)),
+    ("EPL-1.0", (30,)),
+    ("EPL-2.0", (31,)),
+    ("EPL-2.0", (32,)),
+    ("Zlib", (33,)),
+    ("BSL-1.0", (34,)),
+    ("CC0-1.0", (35,)),
+    ("Unlicense", (36,)),
+    ("CC-BY-SA-4.0", (37,)),
+    ("CC-BY-NC-4.0", (38,)),
+    ("CC-BY-ND-4.0", (39,)),
+    ("CC-BY-NC-SA-4.0", (40,)),
+    ("CC-BY-NC-ND-4.0", (41,)),
     ("LicenseRef-all-rights-reserved", (19,)),
 )
 
+# A file may also name any of these licences by its identifier.
+_NAMED = tuple(dict.fromkeys(name for name, _ in RULES if not name.startswith("LicenseRef")))
+RULES += tuple((name, (len(SENTENCES) + k,)) for k, name in enumerate(_NAMED, 1))
+SENTENCES += tuple(f"SPDX-License-Identifier: {name}" for name in _NAMED)
+
 #: Every known sentence has one of these; other texts need not be split.
-HINT = r"(?i)licen[cs]e|permi|redistribut|free\W+software|copyright|all\W+rights|compliance"
+HINT = r"(?i)licen[cs]e|permi|redistribut|free\W+software|copyright|all\W+rights|compliance|unencumbered"
 #: Ends of sentences; the mark of an end is no part of a normalised sentence anyway.
 END = r"[.!?:;][\x20\x09-\x0D]+|[.!?:;]$|\n+"
 

@@ -126,13 +126,18 @@ def op6_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
-    known = ", ".join("'" + license_scan.normalised(s) + "'" for s in license_scan.SENTENCES)
+    names = [license_scan.normalised(s) for s in license_scan.SENTENCES]
+    known = ", ".join(f"'{s}'" for s in names)
+    # an end is written twice, so that two sentences in a row have one each; words may be apart by an end
+    anywhere = "|".join(s.replace(" ", "(?: |\\n\\n)") for s in sorted(names, key=len, reverse=True))
     steps = [
-        f"""t0 as (
+        f"""parts as (
+  select doc_id, regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[.!?:;][\\x20\\x09-\\x0D]+|[.!?:;]$|\\n+', chr(10), 'g')),
+           '[^a-z0-9\\n]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10) || chr(10), 'g') as t from documents),
+t0 as (
   select doc_id, array_to_string(list_transform(ids, lambda i: ',' || i || ','), '') as rest, len(ids) as n, cast([] as varchar[]) as names
-  from (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?:;][\\x20\\x09-\\x0D]+|[.!?:;]$|\\n+'),
-          lambda s: coalesce(list_position([{known}], trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), 0)), lambda i: i > 0) as ids
-        from documents))"""
+  from (select doc_id, list_transform(regexp_extract_all(chr(10) || trim(t) || chr(10), '\\n(?:{anywhere})\\n'),
+          lambda s: list_position([{known}], trim(regexp_replace(s, '\\n+', ' ', 'g')))) as ids from parts))"""
     ]
     for k, (name, numbers) in enumerate(license_scan.RULES):
         seq = "," + ",,".join(map(str, numbers)) + ","

@@ -16,7 +16,7 @@ def test_licences(documents):  # noqa: F811
     ]
     got = {r["doc_id"]: (r["n_sentences"], r["licences"]) for r in license_scan.scan(documents(rows)).collect()}
     assert got[1] == got[2] == got[5] == (0, "")
-    assert got[3] == (1, "MIT") and got[4] == (4, "MIT") and got[6] == (2, "") and got[7] == (3, "Apache-2.0")
+    assert got[3] == (1, "MIT") and got[4] == (4, "MIT") and got[6] == (3, "Apache-2.0") and got[7] == (3, "Apache-2.0")
     assert got[8] == (5000, "LicenseRef-all-rights-reserved") and got[9] == (2, "GPL-2.0-or-later")
 
 
@@ -42,6 +42,63 @@ def test_every_rule_finds_its_wrapped_sentences(documents):  # noqa: F811
     assert got == wanted
 
 
+def test_published_headers(documents, spark, tmp_path):  # noqa: F811
+    """Notices as they are published, in comments and wrapped; the SQL twin finds the same."""
+    notices = {
+        "Apache-2.0": """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */""",
+        "LGPL-2.1-or-later": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,""",
+        "AGPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+        "ISC": """Copyright (c) 2020, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+        "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.""",
+        "EPL-2.0": """ * This program and the accompanying materials are made available under the
+ * terms of the Eclipse Public License 2.0 which is available at
+ * https://www.eclipse.org/legal/epl-2.0/
+ *
+ * SPDX-License-Identifier: EPL-2.0""",
+        "Zlib": """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented;""",
+        "BSL-1.0": """// Distributed under the Boost Software License, Version 1.0.
+//    (See accompanying file LICENSE_1_0.txt or copy at
+//          https://www.boost.org/LICENSE_1_0.txt)""",
+        "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.""",
+        "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or""",
+        "MIT": "# SPDX-License-Identifier: MIT\nimport os\n",
+        "": "This is free and encumbered software. The library is free; you can use it under any license named MIT.",
+    }
+    docs = documents(list(enumerate(notices.values())))
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan(docs).collect()}
+    assert got == dict(enumerate(notices))
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    verdict = compare(spark, connect(str(tmp_path)), "op7_license_scan", queries.QUERIES["op7_license_scan"], queries.SQL_TWINS["op7_license_scan"], str(tmp_path))
+    assert verdict.startswith("ok"), verdict
+
+
 def test_url_lists(spark):
     day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
     entries = spark.createDataFrame(
