@@ -64,3 +64,18 @@ def test_nearest_against_brute_force(spark):
 def test_fewer_places_than_k(spark):
     df = spark.createDataFrame([("a", 1, 1.0, 1.0), ("b", 1, 50.0, 50.0)], "name string, reports int, lat double, lon double")
     assert nearest.nearest_k(df, 5).count() == 2
+
+
+def test_dense_places_meet_few_others(spark):
+    """4,000 places within a few miles: exact lists, and a place is compared with those around it only."""
+    rng = random.Random(5)
+    points = [(f"d{i}", rng.randrange(1, 9), 41 + rng.random() / 40, -71 + rng.random() / 40) for i in range(4000)]
+    df = spark.createDataFrame(points, "name string, reports int, lat double, lon double").cache()
+    got = {}
+    for r in nearest.nearest_k(df, 2).orderBy("name", "rank").collect():
+        got.setdefault(r["name"], []).append((r["neighbor"], r["miles"]))
+    for name, _, lat, lon in points[:60]:
+        want = sorted((round(miles((lat, lon), (b, c)), 1), -n, other) for other, n, b, c in points if other != name)[:2]
+        assert got[name] == [(w[2], w[0]) for w in want], name
+    probes = nearest._probes(nearest._bounds(df, 2))
+    assert probes.join(nearest._at_levels(df), ["level", "cx", "cy"]).count() < 200 * len(points)
