@@ -1,8 +1,8 @@
 """Texts that contain patterns, for tables of patterns of any size, and what is built on it: labels and search.
 
-Every pattern is filed under one anchor: the part of at most `WIDEST` characters that the fewest patterns have. Texts are
-cut into parts of the sizes that occur and meet the anchors in an equality join, so a text is compared with the patterns
-whose anchor it has, never with all.
+Every pattern is filed under one anchor: the part of at most `WIDEST` characters that few patterns have. Texts are cut into
+parts of the sizes that occur and meet the anchors in an equality join, so a text is compared with the patterns whose anchor
+it has, never with all. Parts of sizes that few anchors have meet them where they are, only the others are shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +18,18 @@ from .archive import SEARCH_LIMIT
 #: Longest part of a pattern that it can be filed under.
 WIDEST = 8
 
+#: Rows of the table that counts the patterns of a part, and the anchors of a size that are sent to all tasks, at most.
+BINS, FEW = 1 << 20, 20_000
+
+#: Texts that a task cuts into parts.
+TEXTS_PER_TASK = 250_000
+
+#: One text of so many is looked at for frequent parts.
+SOME = 64
+
+#: More than a pattern has characters.
+STARTS = 1 << 31
+
 
 def _parts(text: Column, size: Column) -> Column:
     """All parts of that many characters, each once."""
@@ -26,22 +38,49 @@ def _parts(text: Column, size: Column) -> Column:
 
 
 def anchored(patterns: DataFrame) -> DataFrame:
-    """(pattern, anchor) for distinct patterns; blank ones have none."""
-    one = patterns.select("pattern").where(F.col("pattern") != "").distinct()
-    parts = one.select("pattern", F.explode(_parts(F.col("pattern"), F.least(F.length("pattern"), F.lit(WIDEST)))).alias("anchor"))
-    shared = parts.groupBy("anchor").agg(F.count("*").alias("n"))
-    return parts.join(shared, "anchor").groupBy("pattern").agg(F.min(F.struct("n", "anchor")).alias("a")).select("pattern", "a.anchor")
+    """Patterns, each once, with their anchor and the values of other columns; blank ones have none.
+
+    Patterns that share a part are counted in a table of bounded size. Any part is a right anchor; a part that shares its bin
+    with many others only looks more frequent than it is."""
+    one = cut_lineage(patterns.where(F.col("pattern") != "").dropDuplicates(["pattern"]))
+    size = F.least(F.length("pattern"), F.lit(WIDEST))
+    starts = F.sequence(F.lit(1), F.length("pattern") - size + 1)
+    parts = one.select("pattern", size.alias("size"), F.explode(starts).alias("start"))
+    parts = parts.withColumn("bin", F.pmod(F.xxhash64(F.col("pattern").substr(F.col("start"), F.col("size"))), F.lit(BINS)))
+    shared = parts.groupBy("bin").agg(F.count("*").alias("n"))
+    # count and start in one number, which is compared without sorting
+    rarest = F.min(F.col("n") * STARTS + F.col("start"))
+    # the parts of a pattern are made in one task, so one row of a pattern is shuffled
+    chosen = parts.join(F.broadcast(shared), "bin").groupBy("pattern").agg((rarest % STARTS).cast("int").alias("start"))
+    return one.join(chosen, "pattern").select(*patterns.columns, F.col("pattern").substr(F.col("start"), size).alias("anchor"))
+
+
+def _frequent(parts: DataFrame) -> DataFrame:
+    """Parts of many texts, found in some of the texts: parts that are no anchors and would crowd one task are dropped before
+    the shuffle. Which ones are found only matters for time."""
+    some = parts.where(F.pmod(F.xxhash64("text"), F.lit(SOME)) == 0)
+    counted = some.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return cut_lineage(counted.orderBy(F.col("n").desc(), "anchor").limit(FEW).select("anchor"))
 
 
 def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(text, pattern) for every text and every pattern that occurs in it; each pair once."""
+    """(text, columns of patterns) for every text and every pattern that occurs in it; each pair once."""
     anchors = cut_lineage(anchored(patterns))
-    sizes = anchors.select(F.length("anchor").alias("size")).distinct()  # at most WIDEST rows
-    listed = F.broadcast(sizes.agg(F.collect_list("size").alias("sizes")))
-    distinct = texts.select("text").where(F.col("text").isNotNull()).distinct()
-    parts = distinct.join(listed).select("text", F.explode("sizes").alias("size"))
-    parts = parts.select("text", F.explode(_parts(F.col("text"), F.col("size"))).alias("anchor"))
-    return parts.join(anchors, "anchor").where(F.contains("text", "pattern")).select("text", "pattern")
+    known = texts.select("text").where(F.col("text").isNotNull())
+    # texts compress so well that a shuffled partition of the usual size holds millions, each of many parts
+    distinct = known.repartition(known.count() // TEXTS_PER_TASK + 1, "text").distinct()
+    size = F.length("anchor")
+    sizes = anchors.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()  # at most WIDEST rows
+
+    def hits(some: list[int], wanted: DataFrame, shuffled: bool = False) -> DataFrame:
+        listed = F.explode(F.array(*[F.lit(n) for n in some]).cast("array<int>")).alias("size")
+        parts = distinct.select("text", listed).select("text", F.explode(_parts(F.col("text"), F.col("size"))).alias("anchor"))
+        if shuffled and some:
+            parts = parts.join(F.broadcast(_frequent(parts).join(wanted, "anchor", "left_anti")), "anchor", "left_anti")
+        return parts.join(wanted, "anchor").where(F.contains("text", "pattern")).select("text", *patterns.columns)
+
+    few, many = ([r["size"] for r in sizes if (r["n"] <= FEW) == yes] for yes in (True, False))
+    return hits(few, F.broadcast(anchors.where(size.isin(few)))).unionByName(hits(many, anchors.where(size.isin(many)), True))
 
 
 def first_match(rows: DataFrame, text: str, rules: DataFrame, out: str = "label", default: str = UNKNOWN_PLACE) -> DataFrame:
@@ -50,8 +89,9 @@ def first_match(rows: DataFrame, text: str, rules: DataFrame, out: str = "label"
     rules: (rule_order, pattern, label), patterns in squashed form. Rules with one order: the smaller pattern, then label.
     Blank texts and those without a rule get the default."""
     squashed = cut_lineage(rows.select(F.col(text).alias("raw")).distinct().select("raw", squash_place(F.col("raw")).alias("text")))
-    found = containing(squashed, rules).join(rules.select("rule_order", "pattern", "label"), "pattern")
-    best = found.groupBy("text").agg(F.min(F.struct("rule_order", "pattern", "label")).alias("b")).select("text", F.col("b.label").alias("found"))
+    first = rules.groupBy("pattern").agg(F.min(F.struct("rule_order", "label")).alias("rule"))
+    found = containing(squashed, first).select("text", F.struct("rule.rule_order", "pattern", "rule.label").alias("rule"))
+    best = found.groupBy("text").agg(F.min("rule").alias("b")).select("text", F.col("b.label").alias("found"))
     labelled = squashed.join(best, "text").select(F.col("raw").alias("raw_"), F.col("found").alias("found_"))
     joined = rows.join(labelled, F.col(text) == F.col("raw_"), "left")
     return joined.select(*rows.columns, F.coalesce("found_", F.lit(default)).alias(out))
@@ -70,7 +110,7 @@ def search(
     labelled = cut_lineage(first_match(rows, raw, rules, "row_label"))
     lowered = F.array_distinct(F.array_compact(F.array(*[F.lower(F.col(f).cast("string")) for f in [*fields, "row_label"]])))
     said = labelled.select(key, F.explode(lowered).alias("text"))
-    found = containing(said, asked).join(said, "text").select("pattern", key)
+    found = containing(said, asked.select("pattern")).join(said, "text").select("pattern", key)
     by_text = asked.select("search", "pattern").join(found, "pattern").select("search", key)
     known = asked.where(~F.col("search").contains("#") & (F.col("asked_label") != UNKNOWN_PLACE))
     by_label = known.join(labelled.select(key, F.col("row_label").alias("asked_label")), "asked_label").select("search", key)

@@ -40,6 +40,19 @@ def test_many_rules_cost_a_text_only_those_of_its_anchor(spark):
     assert labels.anchored(rule_table).groupBy("anchor").count().agg(F.max("count")).first()[0] <= 11
 
 
+def test_parts_that_are_no_anchor_are_dropped_before_the_shuffle(spark, monkeypatch):
+    """Texts share long parts that no pattern is filed under; patterns of few and of many sizes, dealt to several tasks."""
+    monkeypatch.setattr(labels, "FEW", 100)
+    monkeypatch.setattr(labels, "SOME", 2)
+    monkeypatch.setattr(labels, "TEXTS_PER_TASK", 300)
+    rule_table = spark.range(2000).select((-F.col("id")).alias("rule_order"), F.concat(F.lit("lot "), F.col("id")).alias("pattern"), F.col("id").cast("string").alias("label"))
+    rows = spark.range(0, 4000, 2).select(F.concat(F.lit("everywhere the lot "), F.col("id"), F.lit(" sold")).alias("place"))
+    got = {r["place"]: r["label"] for r in labels.first_match(rows, "place", rule_table).collect()}
+    assert got == {f"everywhere the lot {n} sold": max((str(n)[:k] for k in range(1, 5) if int(str(n)[:k]) < 2000), key=int) for n in range(0, 4000, 2)}
+    parts = rows.select(F.col("place").alias("text"), F.explode(labels._parts(F.col("place"), F.lit(8))).alias("anchor"))
+    assert {"everywhe", "the lot "} <= {r["anchor"] for r in labels._frequent(parts).collect()}
+
+
 def test_search_many_texts_at_once(spark):
     rows = spark.createDataFrame(
         [(1, 2024, "Ann", "the new harbor", "12"), (2, 2025, "Bob", "harbour", "7"), (3, 2023, "Cid", "hill", "112"), (4, 2025, None, None, None)],
