@@ -7,18 +7,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def reconcile_ids(left: DataFrame, right: DataFrame, keys: list[str], names: tuple[str, str] = ("left", "right")) -> DataFrame:
+# Keys that a task of the checks compares: ids compress so well that a shuffled partition of the usual size holds millions.
+KEYS_PER_TASK = 250_000
+
+
+def dealt(rows: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
+    """The keys, dealt to that many tasks; without a number it is left to Spark, which counts compressed bytes only."""
+    return rows.select(*keys).repartition(tasks, *keys) if tasks else rows.select(*keys)
+
+
+def reconcile_ids(
+    left: DataFrame, right: DataFrame, keys: list[str], names: tuple[str, str] = ("left", "right"), tasks: int | None = None
+) -> DataFrame:
     """Keys that only one of two stores has, with the side that has them."""
-    a = left.select(*keys).distinct().withColumn("_a", F.lit(True))
-    b = right.select(*keys).distinct().withColumn("_b", F.lit(True))
+    a = dealt(left, keys, tasks).distinct().withColumn("_a", F.lit(True))
+    b = dealt(right, keys, tasks).distinct().withColumn("_b", F.lit(True))
     both = a.join(b, keys, "full_outer")
     side = F.when(F.col("_b").isNull(), F.lit(names[0])).when(F.col("_a").isNull(), F.lit(names[1]))
     return both.select(*keys, side.alias("only_in")).where("only_in is not null")
 
 
-def missing_keys(required: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return required.select(key).distinct().join(known.select(key), key, "left_anti")
+def missing_keys(required: DataFrame, known: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    return dealt(required, [key], tasks).distinct().join(dealt(known, [key], tasks), key, "left_anti")
 
 
 def missing_fields(expected: list[str], fields: Column) -> Column:
@@ -35,8 +47,8 @@ def key_coverage(rows: DataFrame, column: str, first: int, last: int) -> DataFra
     return missing.unionByName(extra)
 
 
-def duplicate_ids(rows: DataFrame, key: str = "id") -> DataFrame:
-    repeated = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+def duplicate_ids(rows: DataFrame, key: str = "id", tasks: int | None = None) -> DataFrame:
+    repeated = dealt(rows, [key], tasks).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     return finding("duplicate_ids", repeated, F.col(key).cast("string"))
 
 
@@ -62,16 +74,17 @@ def output_checks(
     ``records``: id, year, date_found. ``table``: id. ``manifest``: total_records, latest_source_date.
     ``snapshots``: id, year. ``state``: id, fields (map). ``days``/``months``: the keys of the artifact.
     """
-    facts = records.agg(
-        F.count("*").alias("records"), F.coalesce(F.max(F.nullif("date_found", F.lit(""))), F.lit("")).alias("latest")
+    facts = cut_lineage(
+        records.agg(F.count("*").alias("records"), F.coalesce(F.max(F.nullif("date_found", F.lit(""))), F.lit("")).alias("latest"))
     )
+    tasks = facts.first()["records"] // KEYS_PER_TASK + 1
     joined = manifest.join(F.broadcast(facts))
-    drift = reconcile_ids(records, table, ["id"], ("records", "table"))
-    snapshot_drift = reconcile_ids(records, snapshots, ["id", "year"], ("records", "snapshots"))
+    drift = reconcile_ids(records, table, ["id"], ("records", "table"), tasks)
+    snapshot_drift = reconcile_ids(records, snapshots, ["id", "year"], ("records", "snapshots"), tasks)
     absent = state.select("id", F.explode(missing_fields(["url", "fetch_status"], F.col("fields"))).alias("field"))
     return all_findings(
         [
-            duplicate_ids(records),
+            duplicate_ids(records, tasks=tasks),
             finding("id_drift", drift, F.concat_ws(":", "only_in", F.col("id").cast("string"))),
             finding(
                 "manifest_total", joined.where("total_records <> records"), F.concat_ws(":", "total_records", "records")
@@ -86,7 +99,7 @@ def output_checks(
                 snapshot_drift,
                 F.concat_ws(":", "only_in", F.col("year").cast("string"), F.col("id").cast("string")),
             ),
-            finding("state_missing_id", missing_keys(records, state, "id"), F.col("id").cast("string")),
+            finding("state_missing_id", missing_keys(records, state, "id", tasks), F.col("id").cast("string")),
             finding("state_missing_field", absent, F.concat_ws(":", F.col("id").cast("string"), "field")),
             finding(
                 "artifact_days",

@@ -69,3 +69,18 @@ def test_source_is_read_twice_at_most(spark, tmp_path):
     checked = quality.validate(counted, plans.PLACE_RULES, plans.waivers(spark, SMALL), "archive", plans.FIRST_SEASON, plans.LAST_SEASON)
     assert quality.summary(checked).count() > 3
     assert rows <= read.value <= 2 * rows
+
+
+def test_output_checks_deal_their_keys_to_tasks(spark, monkeypatch):
+    """Memory of a task follows the number of keys, not their compressed bytes; the findings are the same."""
+    from conftest import SMALL
+
+    from lanternfish.operators import checks
+    from lanternfish.plans.catalog import QUERIES
+
+    together = sorted(map(tuple, QUERIES["output_checks"](spark, SMALL).collect()))
+    monkeypatch.setattr(checks, "KEYS_PER_TASK", 100)
+    assert sorted(map(tuple, QUERIES["output_checks"](spark, SMALL).collect())) == together and together
+    ids = spark.range(1000).select("id")
+    drift = checks.reconcile_ids(ids, ids.where("id < 990"), ["id"], tasks=7)
+    assert drift.rdd.getNumPartitions() == 7 and drift.count() == 10
