@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squash_place
+from ..functions.rules import first_match as first_contained
+from ..functions.text import let, squash_place
 from ..schema import UNKNOWN_PLACE
 from ..session import cut_lineage
 from .archive import SEARCH_LIMIT
@@ -21,6 +22,9 @@ WIDEST = 8
 #: Rows of the table that counts the patterns of a part, and the anchors of a size that are sent to all tasks, at most.
 BINS, FEW = 1 << 20, 20_000
 
+#: Rules that are tried one after another where the rows are, at most.
+LISTED = 100
+
 #: Texts that a task cuts into parts.
 TEXTS_PER_TASK = 250_000
 
@@ -88,6 +92,11 @@ def first_match(rows: DataFrame, text: str, rules: DataFrame, out: str = "label"
 
     rules: (rule_order, pattern, label), patterns in squashed form. Rules with one order: the smaller pattern, then label.
     Blank texts and those without a rule get the default."""
+    listed = rules.select("rule_order", "pattern", "label").where("pattern <> ''").limit(LISTED + 1).collect()
+    if 0 < len(listed) <= LISTED:
+        ordered = [(r["pattern"], r["label"]) for r in sorted(listed, key=lambda r: [(v is not None, v) for v in r])]
+        label = let(squash_place(F.col(text)), lambda t: F.coalesce(first_contained(t, ordered), F.lit(default)))
+        return rows.select(*rows.columns, label.alias(out))
     squashed = cut_lineage(rows.select(F.col(text).alias("raw")).distinct().select("raw", squash_place(F.col("raw")).alias("text")))
     first = rules.groupBy("pattern").agg(F.min(F.struct("rule_order", "label")).alias("rule"))
     found = containing(squashed, first).select("text", F.struct("rule.rule_order", "pattern", "rule.label").alias("rule"))
