@@ -382,16 +382,34 @@ def shifted_readings(spark: SparkSession, folder: str) -> DataFrame:
     return r.withColumn("ts", F.col("ts") - F.make_ym_interval(F.lit(SHIFT_YEARS), F.lit(0)))
 
 
+def lowest_stations(readings: DataFrame) -> DataFrame:
+    """Noon probes, one per date: the lowest station that has a reading on it.
+
+    A probe at noon looks back to midnight and ahead past the next one, so every station with a reading on a date has a
+    context there, and only the lowest one's is asked for.
+    """
+    noon = F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))
+    lowest = readings.groupBy(F.col("ts").cast("date").alias("date")).agg(F.min("station").alias("station"))
+    return lowest.where("date is not null and station is not null").select("station", noon.alias("probe_ts"))
+
+
+def readings_of_probes(readings: DataFrame, probes: DataFrame) -> DataFrame:
+    """Readings of a probe's station on the dates that the probe looks at; others can't be in its context."""
+    first = (F.col("probe_ts") - F.make_dt_interval(hours=F.lit(series.HOURS_BEFORE))).cast("date")
+    last = (F.col("probe_ts") + F.make_dt_interval(hours=F.lit(series.HOURS_AFTER))).cast("date")
+    seen = probes.select("station", F.explode(F.sequence(first, last)).alias("date")).distinct()
+    return readings.withColumn("date", F.col("ts").cast("date")).join(seen, ["station", "date"], "left_semi").select(*readings.columns)
+
+
 def tide_by_date(spark: SparkSession, folder: str) -> DataFrame:
-    """Noon context per date: the lowest station that has one (primary first, then fallback)."""
+    """Noon context per date: the lowest station that has one (primary first, then fallback).
+
+    The station of a date is chosen first, so only its readings around that date are put in order.
+    """
     r = shifted_readings(spark, folder)
-    noon = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))
-    probes = cut_lineage(r.select("station", noon.alias("probe_ts")).distinct())
-    context = series.tide_context(probes, r)
-    chosen = context.groupBy(F.col("probe_ts").cast("date").alias("date")).agg(
-        F.min_by(F.struct("stage", "daily_range"), "station").alias("t")
-    )
-    return chosen.select("date", "t.stage", "t.daily_range")
+    probes = cut_lineage(lowest_stations(r))
+    context = series.tide_context(probes, cut_lineage(readings_of_probes(r, probes)))
+    return context.select(F.col("probe_ts").cast("date").alias("date"), "stage", "daily_range")
 
 
 def weather_by_date(spark: SparkSession, folder: str) -> DataFrame:

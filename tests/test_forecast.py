@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.operators import backtest, briefing, seasonal
+from lanternfish.plans import forecast
 
 
 def dated(spark, rows):
@@ -219,3 +220,24 @@ def test_multipliers(spark):
     assert tide(None, None) == [1.0, 1.0, 1.0]
     air = briefing.weather_multiplier(F.col("tags"), F.lit(20), F.lit(10), F.lit(False))
     assert [x[0] for x in df.select(air).collect()] == [1.0, 1.04, 1.0]
+
+
+def test_tide_of_a_date_orders_the_readings_of_its_station_only(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 30)
+    rows = [(n, start + dt.timedelta(minutes=rng.randrange(4 * 1440)), rng.choice([3, 4, 5, 6, 7, None]), "view", rng.choice([None, rng.random() * 9])) for n in range(400)]
+    rows.append((400, None, 1, "view", 1.0))
+    rows.append((401, start - dt.timedelta(days=3), None, "view", 1.0))
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sizes, context = [], forecast.series.tide_context
+    monkeypatch.setattr(forecast.series, "tide_context", lambda p, r: sizes.append((p.count(), r.count())) or context(p, r))
+    got = {str(r["date"]): (r["stage"], r["daily_range"]) for r in forecast.tide_by_date(spark, str(tmp_path)).collect()}
+    r = forecast.shifted_readings(spark, str(tmp_path))
+    noon = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))
+    every = context(r.select("station", noon.alias("probe_ts")).distinct(), r).collect()
+    lowest = {}
+    for x in sorted(every, key=lambda x: -x["station"]):
+        lowest[str(x["probe_ts"])[:10]] = (x["stage"], x["daily_range"])
+    assert got == lowest and len(got) == 4
+    assert len(sizes) == 1 and sizes[0][0] == 4 and sizes[0][1] < 200
