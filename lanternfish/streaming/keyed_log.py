@@ -10,8 +10,9 @@ merged are removed one batch later, when the batch that merged them can't be rep
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +21,14 @@ FANOUT = 8
 
 class KeyedLog:
     """Rows (keys, other columns) at ``root``; of the rows of a key the one of the newest batch counts. A batch holds one
-    row of a key: of several, the greatest by all other columns in their order is taken."""
+    row of a key: of several, the greatest by all other columns in their order is taken.
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], fanout: int = FANOUT):
-        self.spark, self.root, self.keys, self.fanout = spark, root, list(keys), fanout
+    ``first``: text columns that a key keeps from the oldest batch in which they aren't blank. Batches needn't read old rows
+    for them, they come together when folders are merged or read. A row without a complete key has no older one.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], fanout: int = FANOUT, first: Sequence[str] = ()):
+        self.spark, self.root, self.keys, self.fanout, self.first = spark, root, list(keys), fanout, list(first)
         self.schema, self.values = schema, [c for c in schema.names if c not in keys]
         self.logged = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
 
@@ -44,12 +49,21 @@ class KeyedLog:
 
     def _read(self, folders: list[tuple[int, int]]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], self.logged)
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.logged.fields]
+            return self.spark.range(1).where(F.lit(False)).select(*nothing)
         return self.spark.read.schema(self.logged).parquet(*[self._path(f) for f in folders])
 
     def _newest(self, rows: DataFrame) -> DataFrame:
-        newest = rows.groupBy(*self.keys).agg(F.max(F.struct("batch", *self.values)).alias("row"))
-        return newest.select(*[c if c in self.keys else F.col(f"row.{c}").alias(c) for c in self.schema.names], "row.batch")
+        complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in self.keys])
+        oldest = [F.min(F.when(complete & (F.col(c) != ""), F.struct("batch", c))).alias(f"_{c}") for c in self.first]
+        newest = rows.groupBy(*self.keys).agg(F.max(F.struct("batch", *self.values)).alias("row"), *oldest)
+
+        def value(c: str) -> Column:
+            if c in self.keys:
+                return F.col(c)
+            return (F.coalesce(f"_{c}.{c}", f"row.{c}") if c in self.first else F.col(f"row.{c}")).alias(c)
+
+        return newest.select(*[value(c) for c in self.schema.names], "row.batch")
 
     def before(self, number: int, only: DataFrame | None = None) -> DataFrame:
         """The table before a batch, or its rows with the keys of ``only``."""
@@ -58,10 +72,13 @@ class KeyedLog:
             rows = rows.join(only, self.keys, "left_semi")
         return self._newest(rows).drop("batch")
 
-    def write(self, rows: DataFrame, number: int) -> None:
-        """Write the rows of a batch and merge what is complete with it."""
+    def write(self, rows: DataFrame, number: int, unique: bool = False) -> None:
+        """Write the rows of a batch and merge what is complete with it. ``unique``: the rows hold a key once, so they are
+        written where they are."""
         self._forget(number)
-        one = self._newest(rows.select(*self.schema.names, F.lit(number).alias("batch")))
+        one = rows.select(*self.schema.names, F.lit(number).alias("batch"))
+        if not unique:
+            one = self._newest(one)
         one.write.mode("overwrite").parquet(self._path((0, number)))
         for level, parts in self._merges(number):
             merged = self._newest(self._read(parts))

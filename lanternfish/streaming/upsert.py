@@ -28,25 +28,26 @@ LANDED = T.StructType(
 
 def logs(spark: SparkSession, root: str) -> tuple[KeyedLog, KeyedLog]:
     """Tables of records and of state."""
-    return KeyedLog(spark, f"{root}/records", RECORD, ["id"]), KeyedLog(spark, f"{root}/state", STATE, ["id"])
+    return KeyedLog(spark, f"{root}/records", RECORD, ["id"]), KeyedLog(spark, f"{root}/state", STATE, ["id"], first=["first_seen_at"])
 
 
 def apply_batch(batch: DataFrame, number: int, root: str, now: str) -> None:
     """Merge one micro-batch into the tables of records and state.
 
     Of several landings of an id the newest counts; of those with one date the greatest by status code, then by the other
-    fields in their order. Only what batches before this one have left is read, so replaying a batch after a failure gives
-    the same tables.
+    fields in their order. A landing is listed and fetched, so of what batches before this one have left only the date an id
+    was first seen outlives it, and a failed fetch writes no record: the logs see to both when they are merged or read. A
+    batch reads nothing old, its work doesn't grow with the tables, and replaying it after a failure gives the same tables.
     """
     fields = ["sitemap_lastmod", "status_code", "url", "rejection", "warning", "record"]
-    newest = cut_lineage(batch.groupBy("id").agg(F.max(F.struct(*fields)).alias("f")))
-    ids = newest.select("id")
+    # a file is read by one task: its rows are dealt first, so that many tasks look for the newest
+    newest = batch.repartition("id").groupBy("id").agg(F.max(F.struct(*fields)).alias("f"))
     records, state = logs(batch.sparkSession, root)
     fetched = newest.select("id", "f.status_code", "f.rejection", "f.warning", "f.record")
     landed = newest.select("id", "f.url", "f.sitemap_lastmod")
-    joined = cut_lineage(ingest.join_sources(landed, records.before(number, ids), state.before(number, ids), fetched))
-    records.write(ingest.merge_upsert(joined.where(ingest.fetch_status() == "ok")), number)
-    state.write(ingest.next_state(joined, now), number)
+    joined = cut_lineage(ingest.join_sources(landed, records.before(0), state.before(0), fetched))
+    records.write(ingest.merge_upsert(joined.where(ingest.fetch_status() == "ok")), number, unique=True)
+    state.write(ingest.next_state(joined, now), number, unique=True)
 
 
 def stream_upsert(landing: DataFrame, root: str, checkpoint: str, now: str) -> StreamingQuery:

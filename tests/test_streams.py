@@ -116,3 +116,25 @@ def test_upsert_log_across_batches(spark, tmp_path):
     assert sorted(r["id"] for r in records.collect()) == ["1", "3"]
     got = {r["id"]: (r["fetch_status"], r["first_seen_at"], r["last_seen_at"]) for r in state.collect()}
     assert got == {"1": ("http_404", "t0", "t1"), "2": ("http_404", "t0", "t0"), "3": ("ok", "t1", "t1")}
+
+
+def test_a_batch_reads_nothing_old(spark, tmp_path):
+    """The date an id was first seen comes together in the log, over merged folders too."""
+    from lanternfish.streaming import upsert
+
+    record = ("2026", "1 Ann", "u1", "i", "p", "2026-05-05")
+    root = str(tmp_path)
+    land = lambda *rows: spark.createDataFrame([(i, f"u{i}", "a", code, "", "", record if code == 200 else None) for i, code in rows], upsert.LANDED)
+    upsert.apply_batch(land(("1", 200), ("2", 404), (None, 404)), 0, root, "t0")
+    seen, before = [], upsert.KeyedLog.before
+    try:
+        upsert.KeyedLog.before = lambda log, number, *only: seen.append(before(log, number, *only)) or seen[-1]
+        for n in range(1, 9):
+            upsert.apply_batch(land((str(n % 3 + 1), 404), (None, 404)), n, root, f"t{n}")
+    finally:
+        upsert.KeyedLog.before = before
+    assert not any(df._jdf.inputFiles() for df in seen)
+    records, state = upsert.latest(spark, root, 9)
+    assert [(r["id"], r["title"]) for r in records.collect()] == [("1", "1 Ann")]
+    got = {r["id"]: (r["first_seen_at"], r["last_seen_at"]) for r in state.collect()}
+    assert got == {"1": ("t0", "t6"), "2": ("t0", "t7"), "3": ("t2", "t8"), None: ("t8", "t8")}
